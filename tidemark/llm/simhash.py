@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +48,10 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "fp": np.array([fingerprint(x, words) for x in b.text], np.uint64).view(np.int64)})
+            fp = np.array([fingerprint(x.as_py(), words) for x in b.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def variants(fp: np.ndarray) -> np.ndarray:
@@ -115,7 +117,7 @@ def links(nodes: DataFrame, n: int, bits: int = 3) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for docs(doc_id, text); component_id is the smallest doc_id reachable by links."""
     prints = stored(fingerprints(docs, words))
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    nodes = stored(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
     joined = components(links(nodes, nodes.count(), bits))
     named = stored(nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
