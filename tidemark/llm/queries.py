@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embeddings, exact, packing, sharding, simhash, toxicity
+from tidemark.llm import embeddings, exact, packing, secrets, sentencepiece, sharding, simhash, toxicity
 from tidemark.llm.shared import table
 
 
@@ -22,6 +22,20 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = sentencepiece.decoded(sentencepiece.encoded(table(spark, sf_dir, "documents"), path), path)
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.octet_length("text").cast("long").alias("n_bytes"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.trained(), "source")
+    n = F.filter("findings", lambda x: x["secret"])
+    return found.select("doc_id", F.size("findings").alias("n_candidates"), F.size(n).alias("n_secrets"), F.transform(n, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score"))).alias("secrets"), F.crc32(F.coalesce("redacted", F.lit("")).cast("binary")).alias("redacted_crc32"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
