@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embeddings, exact, packing, pii, secrets, sentencepiece, sharding, simhash, toxicity
+from tidemark.llm import embeddings, exact, packing, passages, pii, secrets, sentencepiece, sharding, simhash, toxicity
 from tidemark.llm.shared import table
 
 
@@ -59,6 +59,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.remove_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

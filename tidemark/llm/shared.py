@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -115,3 +116,19 @@ def components(links: DataFrame) -> DataFrame:
         later = out.toDF("label", "last")
         out = step.join(later, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
     return out.toDF("node", "component")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished rounds, which otherwise stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """df as a table in the shared folder, bucketed by key: later groupings by key shuffle nothing of it."""
+    spark = df.sparkSession
+    name = f"tidemark_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    _written.append((spark, path))
+    return spark.table(name)
