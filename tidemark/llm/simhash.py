@@ -3,6 +3,8 @@
 A 64-bit fingerprint is cut into two halves. Two fingerprints that differ in three bits at most have a half that
 differs in one bit at most, so they share one of that half's 32 one-wildcard variants. Distinct fingerprints meet by
 equality of variants, are verified by Hamming distance in blocks, and links are united into components.
+similar() finds texts of a given Jaccard similarity on word shingles: fingerprints of the sets of single words, which
+differ less than those of shingles, propose pairs at 7 bits or fewer from four segments; the shingles decide.
 Nulls count as empty texts, an empty text has the fingerprint zero, which links like any other; repeated rows with
 one doc_id stay as they are; an empty table gives an empty result; other columns are ignored.
 """
@@ -54,12 +56,14 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def variants(fp: np.ndarray) -> np.ndarray:
-    """64 keys for each unsigned fingerprint: half and wildcard in the upper bits, the half without it below."""
-    half = np.stack([fp >> np.uint64(32), fp & np.uint64(0xFFFFFFFF)], 1)
-    keep = ~(np.uint64(1) << np.arange(32, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)
-    tag = np.arange(64, dtype=np.uint64).reshape(2, 32) << np.uint64(32)
-    return ((half[:, :, None] & keep[None, None, :]) | tag[None]).reshape(len(fp), 64)
+def variants(fp: np.ndarray, segments: int = 2) -> np.ndarray:
+    """64 keys for each unsigned fingerprint: segment and wildcard in the upper bits, the segment without it below."""
+    width = 64 // segments
+    full = np.uint64((1 << width) - 1)
+    part = np.stack([(fp >> np.uint64(width * i)) & full for i in range(segments)], 1)
+    keep = ~(np.uint64(1) << np.arange(width, dtype=np.uint64)) & full
+    tag = np.arange(64, dtype=np.uint64).reshape(segments, width) << np.uint64(width)
+    return ((part[:, :, None] & keep[None, None, :]) | tag[None]).reshape(len(fp), 64)
 
 
 def linked(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,3 +125,142 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
     joined = components(links(nodes, nodes.count(), bits))
     named = stored(nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def word_sets(text: str | None, words: int) -> tuple[np.ndarray, int, int]:
+    """Distinct hashes of a text's shingles, the fingerprint of its distinct words, and that of its shingles."""
+    tokens = (text or "").encode().lower().split()
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(tokens) - words + 1)
+    shingles = np.unique(np.fromiter((digest(b" ".join(tokens[i : i + words]), SEED) for i in range(n)), np.uint64, n)) if tokens else np.zeros(0, np.uint64)
+    single = np.array([digest(w, SEED) for w in set(tokens)], np.uint64)
+    return shingles, _majority(single), _majority(shingles)
+
+
+def _majority(h: np.ndarray) -> int:
+    if not len(h):
+        return 0
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), 4096):
+        counts += np.unpackbits(h[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h)).view(">u8")[0])
+
+
+def best_forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The numbers of the links of a spanning forest of least weight."""
+    order = np.argsort(weight, kind="stable")
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)][order], at[len(a) :][order]
+    label, chosen, ids = np.arange(len(nodes)), [], order
+    while True:
+        p, q = label[x], label[y]
+        m = p != q
+        if not m.any():
+            return np.unique(np.concatenate(chosen)) if chosen else order[:0]
+        x, y, ids, p, q = x[m], y[m], ids[m], p[m], q[m]
+        _, first = np.unique(np.concatenate([p, q]), return_index=True)  # the best link of each tree
+        first = np.unique(first % len(p))
+        chosen.append(ids[first])
+        node, root = forest(p[first], q[first])
+        to = np.arange(len(nodes))
+        to[node] = root
+        label = to[label]
+
+
+#: Texts of one variant from which on a forest of the likeliest pairs, not all of them, is verified.
+MANY = 16
+
+
+def proposals(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, other: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that share a key and differ in so many bits at most; of runs of MANY and more texts, a spanning forest of
+    those pairs, by the least distance of their other fingerprints: texts that links of that similarity join at all are
+    joined by such a forest."""
+    order = np.argsort(keys, kind="stable")
+    keys, fp, node, other = keys[order], fp[order], node[order], other[order]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.repeat(np.diff([*begin, len(keys)]), np.diff([*begin, len(keys)]))
+    run = np.repeat(np.arange(len(begin)), np.diff([*begin, len(keys)]))
+    few, left, right, held = [], np.zeros(0, int), np.zeros(0, int), []
+    at, step, n = np.arange(len(keys)), 1, 0
+
+    def thin() -> None:
+        nonlocal left, right, n
+        left, right = np.concatenate([left, *[x for x, _ in held]]), np.concatenate([right, *[y for _, y in held]])
+        held.clear()
+        if len(left):  # places of different runs are different nodes
+            some = best_forest(left, right, np.bitwise_count(other[left] ^ other[right]))
+            left, right = left[some], right[some]
+        n = 0
+
+    while True:
+        at = at[at + step < len(keys)]
+        at = at[run[at] == run[at + step]]
+        if not len(at):
+            break
+        hit = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= bits]
+        small = hit[size[hit] < MANY]
+        few.append((small, small + step))
+        large = hit[size[hit] >= MANY]
+        held.append((large, large + step))
+        n += len(large)
+        if n > 2_000_000:
+            thin()
+        step += 1
+    thin()
+    a, b = np.concatenate([left, *[x for x, _ in few]]), np.concatenate([right, *[y for _, y in few]])
+    a, b = node[a], node[b]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 7) -> DataFrame:
+    """(doc_id, component_id) of the texts that a chain of verified links joins to another one."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+
+    def prints(batches):
+        for b in batches:
+            both = [word_sets(x.as_py(), words)[1:] for x in b.column(1)]
+            f = np.array(both, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["node", "fp", "other"])
+
+    nodes = stored(rows.mapInArrow(prints, "node long, fp long, other long"))
+    groups = parts(64 * nodes.count(), ENTRIES)
+
+    def emit(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            for at in range(0, len(b), 20_000):
+                f, k, o = (b[c].to_numpy()[at : at + 20_000].view(np.uint64) for c in ("fp", "node", "other"))
+                keys = variants(f, 4).ravel()
+                data = np.stack([keys, np.repeat(f, 64), np.repeat(k, 64), np.repeat(o, 64)])
+                to = (((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                ids, first = np.unique(to[order], return_index=True)
+                yield pd.DataFrame({"to": ids, "rows": [data[:, x].tobytes() for x in np.split(order, first[1:])]})
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        all_ = np.concatenate([np.frombuffer(x, np.uint64).reshape(4, -1) for x in part.rows], 1)
+        a, b = proposals(all_[0], all_[1], all_[2].view(np.int64), all_[3], bits)
+        return pd.DataFrame({"a": a, "b": b})
+
+    pairs = nodes.mapInPandas(emit, "to long, rows binary").repartition(groups, "to").groupBy("to").applyInPandas(meet, "a long, b long").distinct()
+    pairs = stored(pairs)
+    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+
+    def sets(batches):
+        for b in batches:
+            found = [word_sets(x.as_py(), words)[0].view(np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "s"])
+
+    shingles = stored(rows.join(asked, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s array<long>"))
+    left, right = shingles.toDF("a", "sa"), shingles.toDF("b", "sb")
+    both = F.size(F.array_intersect("sa", "sb"))
+    links = pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return components(links).toDF("doc_id", "component_id")
+
+
+def remove_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document, the smallest doc_id, of each group of similar() texts; all columns stay."""
+    gone = stored(similar(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
