@@ -167,14 +167,15 @@ def best_forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
         label = to[label]
 
 
-#: Texts of one variant from which on a forest of the likeliest pairs, not all of them, is verified.
-MANY = 16
+#: Texts of one variant from which on forests of the likeliest pairs, not all of them, are verified; and how many.
+MANY, FORESTS = 40, 4
 
 
 def proposals(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, other: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that share a key and differ in so many bits at most; of runs of MANY and more texts, a spanning forest of
-    those pairs, by the least distance of their other fingerprints: texts that links of that similarity join at all are
-    joined by such a forest."""
+    """Pairs that share a key and differ in so many bits at most; of runs of MANY and more texts, FORESTS disjoint
+    spanning forests of those pairs, by the least distance of their other fingerprints. The links of the greatest
+    similarities join all texts that links join at all; the distances stand in for similarities here, and a text that
+    one forest joins by a pair that fails has the others, and those of 63 more variants."""
     order = np.argsort(keys, kind="stable")
     keys, fp, node, other = keys[order], fp[order], node[order], other[order]
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -188,7 +189,14 @@ def proposals(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, other: np.ndar
         left, right = np.concatenate([left, *[x for x, _ in held]]), np.concatenate([right, *[y for _, y in held]])
         held.clear()
         if len(left):  # places of different runs are different nodes
-            some = best_forest(left, right, np.bitwise_count(other[left] ^ other[right]))
+            rest, kept = np.arange(len(left)), []
+            for _ in range(FORESTS):
+                some = best_forest(left[rest], right[rest], np.bitwise_count(other[left[rest]] ^ other[right[rest]]))
+                kept.append(rest[some])
+                rest = np.delete(rest, some)
+                if not len(rest):
+                    break
+            some = np.concatenate(kept)
             left, right = left[some], right[some]
         n = 0
 
