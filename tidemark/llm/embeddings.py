@@ -3,7 +3,7 @@
 Vectors compare within one label and dimension. Equal vectors collapse into one representative with a count first.
 Representatives of a label are dealt to shards of bounded size; each shard gets a layered graph. Every shard is
 queried with the representatives of every shard up to its own number, so that each pair has one place. A beam widens
-for a query while all it holds are links, and for all queries of a task while an audit against brute force over the
+for a query while all it holds are links, in the end to the whole shard, and for all queries of a task while an audit against brute force over the
 shard finds less than the recall asked for. Links are verified by cosine in double precision and united.
 Vectors that are null, zero or hold null or non-finite components, and rows without a label, link with nothing.
 Repeated rows count one by one; an empty table gives an empty result; other columns are ignored.
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import components, forest, stored
 
 SHARD, LINKS, BUILD_BEAM, BATCH = 8192, 12, 48, 256
+#: The beam from which on a query that finds nothing but links has the whole shard as its beam.
+WIDEST = 128
 
 
 class Graph:
@@ -169,9 +171,13 @@ def pairs(graph: Graph, x: np.ndarray, q: np.ndarray, least: float, same: bool,
         for at in range(0, len(q), BATCH):
             todo, width = np.arange(at, min(at + BATCH, len(q))), beam
             while len(todo):
-                width = min(width, n)
+                if width > max(WIDEST, beam) or width >= n:  # as wide as the shard: every point is in it
+                    i, j = np.nonzero(q[todo] @ x.T >= least)
+                    a.append(todo[i])
+                    b.append(j)
+                    break
                 ids, sims = graph.query(q32[todo], width)
-                more = (sims[:, -1] >= least - 1e-4) & (width < n)  # nothing but links: there may be others
+                more = sims[:, -1] >= least - 1e-4  # nothing but links: there may be others
                 i, j = np.nonzero((sims >= least - 1e-4) & (ids >= 0) & ~more[:, None])
                 a.append(todo[i])
                 b.append(ids[i, j])
