@@ -310,7 +310,7 @@ def test_toxicity(spark, empty):
 
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
-    c = toxicity.chains([[1, 2, 3, 4, 0, 5]])
+    c = toxicity.chains([np.array([1, 2, 3, 4, 0, 5])])
     u, moves, start = rng.normal(size=5), rng.normal(size=(2, 2)), 0.3
     p, _ = toxicity.marginals(c, u, moves, start)
     import itertools

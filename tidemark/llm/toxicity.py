@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Labelled documents of each kind that the model is fitted on, at most.
 SAMPLE = 1500
-BITS, CHAIN, CACHE = 20, 64, 400_000
+BITS, CHAIN, CACHE, WIDTH = 20, 64, 400_000, 10
 TOKEN = re.compile(r"\w+|[.!?\n]+")
 
 
@@ -50,19 +51,25 @@ class Words:
 
     def __init__(self) -> None:
         self.of: dict[str, int] = {}
-        self.rows: list[list[int]] = [[0] * 10]
+        self.held = array("I", [0] * WIDTH)
+        self.n = 1
 
-    def number(self, tokens: list[str]) -> list[int]:
-        of, out = self.of, []
+    def number(self, tokens: list[str]) -> np.ndarray:
+        of, out = self.of, array("I")
         for w in tokens:
             i = of.get(w)
             if i is None:
-                i = 0 if w[0] in ".!?\n" else len(self.rows)
+                i = 0 if w[0] in ".!?\n" else self.n
                 of[w] = i
                 if i:
-                    self.rows.append(features(w))
+                    self.held.extend(features(w))
+                    self.n += 1
             out.append(i)
-        return out
+        return np.frombuffer(out, np.uint32)
+
+    def rows(self, first: int = 0) -> np.ndarray:
+        """The features of the words from number first on."""
+        return np.array(self.held[first * WIDTH :], np.int64).reshape(-1, WIDTH)
 
 
 @dataclass
@@ -77,9 +84,9 @@ class Chains:
     last: np.ndarray
 
 
-def chains(numbered: list[list[int]]) -> Chains:
+def chains(numbered: list[np.ndarray]) -> Chains:
     sizes = np.fromiter(map(len, numbered), np.int64, len(numbered))
-    flat = np.fromiter((i for x in numbered for i in x), np.int64, int(sizes.sum()))
+    flat = np.concatenate([np.zeros(0, np.int64), *numbered]).astype(np.int64)
     doc = np.repeat(np.arange(len(numbered)), sizes)
     token = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     stop = flat == 0
@@ -143,12 +150,16 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Model:
         return model
     words = Words()
     c = chains([words.number(TOKEN.findall((t or "").lower())) for t in texts])
-    rows = np.array(words.rows)
+    rows = words.rows()
+    words.of.clear()
     n, y = len(texts), toxic.astype(bool)
     each = np.unique(c.doc * len(rows) + c.words)
-    seen = np.unique(((each // len(rows))[:, None] << BITS | rows[each % len(rows)]).ravel())
-    feature, kind = seen & ((1 << BITS) - 1), y[seen >> BITS]
-    bad, good = np.bincount(feature[kind], minlength=1 << BITS), np.bincount(feature[~kind], minlength=1 << BITS)
+    counts, edges = np.zeros((2, 1 << BITS), np.int64), np.searchsorted(each, np.arange(0, n + 100, 100) * len(rows))
+    for a, b in zip(edges, edges[1:], strict=False):  # a hundred texts at a time
+        seen = np.unique(((each[a:b] // len(rows))[:, None] << BITS | rows[each[a:b] % len(rows)]).ravel())
+        kind = y[seen >> BITS]
+        counts += np.stack([np.bincount((seen & ((1 << BITS) - 1))[k], minlength=1 << BITS) for k in (~kind, kind)])
+    good, bad = counts
     odds = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((good + 1.5) / ((~y).sum() + 3))
     strong = (odds > np.log(8)) & (bad >= 5)
     strong[0] = False
@@ -216,12 +227,12 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                if len(words.rows) > CACHE:
+                if words.n > CACHE:
                     words, table = Words(), np.zeros((1, 3))
                 texts = [(x.as_py() or "").lower() for x in part.column(1)]
                 c = chains([words.number(TOKEN.findall(t)) for t in texts])
-                if len(new := words.rows[len(table) :]):
-                    f = np.array(new)
+                if words.n > len(table):
+                    f = words.rows(len(table))
                     table = np.concatenate([table, np.stack([m.own[f].sum(1), m.near[0][f[:, 0]], m.near[1][f[:, 0]]], 1)])
                 p, _ = marginals(c, unary(c, *table.T), m.moves, m.start)
                 out = 1 / (1 + np.exp(-sums(p, c.doc, len(texts)) @ m.curve)) if m.curve is not None else np.zeros(len(texts))
