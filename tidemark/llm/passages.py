@@ -31,7 +31,7 @@ from tidemark.llm.suffixes import shares_prefix, suffix_array
 
 LENGTH, GRAM = 50, 16
 #: Bytes of a batch, of the text behind one group of hashes and of stretches; batches in a bucket; windows at a time.
-BATCH, HASHES, STRETCHES, TOGETHER, SLICE = 8_000_000, 32_000_000, 16_000_000, 3, 1_000_000
+BATCH, HASHES, STRETCHES, TOGETHER, SLICE = 8_000_000, 16_000_000, 8_000_000, 3, 1_000_000
 
 
 def grams(b: np.ndarray, k: int = GRAM) -> np.ndarray:
