@@ -84,8 +84,8 @@ def declared_period(observed: Column, declared: Column) -> Column:
     return F.when(declared.between(observed / 3, observed * 3), declared).otherwise(observed)
 
 
-def rates(ia: DataFrame) -> DataFrame:
+def rates(arrivals: DataFrame) -> DataFrame:
     """(keys, n, first_t, last_t, sustained_hz, mean_dt): sustained_hz is the count over last - first."""
-    out = ia.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    out = arrivals.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
     span = F.col("last_t") - F.col("first_t")
     return out.withColumn("sustained_hz", F.when(span > 0, F.col("n") / span)).withColumn("mean_dt", F.when(F.col("n") > 1, span / (F.col("n") - 1)))

@@ -49,7 +49,7 @@ def _topics(ia: DataFrame, periods: DataFrame) -> DataFrame:
 
 def _classed(spark, d):
     periods, found = _found(_pos(spark, d))
-    return health.concurrency(found, _topics(_ia(spark, d), periods), C).persist()
+    return health.concurrency(found, _topics(arrivals(spark, d), periods), C).persist()
 
 
 def arrival_interarrival(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ def arrival_interarrival(spark: SparkSession, d: str) -> DataFrame:
 
 
 def arrival_rates(spark: SparkSession, d: str) -> DataFrame:
-    r = cadence.rates(_ia(spark, d))
+    r = cadence.rates(arrivals(spark, d))
     return r.select(*KEYS, "n", *[R6(c).alias(c) for c in ("first_t", "last_t", "sustained_hz", "mean_dt")])
 
 
@@ -125,9 +125,9 @@ def jitter_episodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dropped_estimate(spark: SparkSession, d: str) -> DataFrame:
-    ia = _ia(spark, d)
-    periods, found = _found(cadence.positive(ia, C))
-    out = gaps.dropped(cadence.rates(ia), periods, found, _ends(ia))
+    a = arrivals(spark, d)
+    periods, found = _found(cadence.positive(cadence.interarrival(a), C))
+    out = gaps.dropped(cadence.rates(a), periods, found, _ends(a))
     return out.select(*KEYS, "count_based", F.col("gap_based").cast("long").alias("gap_based"), F.col("dropped").cast("long").alias("dropped"), F.round("rate", 4).alias("rate"), F.round("agreement", 4).alias("agreement"))
 
 
@@ -191,10 +191,10 @@ def coverage_fraction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _health(spark, d):
-    ia = _ia(spark, d)
-    periods, found = _found(cadence.positive(ia, C))
-    rates, ends = cadence.rates(ia), _ends(ia)
-    return health.topic_health(rates, periods, found, gaps.dropped(rates, periods, found, ends), ends, C), found, periods, ia
+    a = arrivals(spark, d)
+    periods, found = _found(cadence.positive(cadence.interarrival(a), C))
+    rates, ends = cadence.rates(a).persist(), _ends(a).persist()  # a row for each topic, and for each recording
+    return health.topic_health(rates, periods, found, gaps.dropped(rates, periods, found, ends), ends, C), found, periods, a
 
 
 def topic_score(spark: SparkSession, d: str) -> DataFrame:
@@ -203,10 +203,10 @@ def topic_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overall_verdict(spark: SparkSession, d: str) -> DataFrame:
-    h, found, periods, ia = _health(spark, d)
-    classed = health.concurrency(found, _topics(ia, periods), C)
+    h, found, periods, a = _health(spark, d)
+    classed = health.concurrency(found, _topics(a, periods), C).persist()
     stalled = health.stalls(classed, C).groupBy("mission_id").agg(F.sum(F.col("t_end") - F.col("t_start")).alias("stalled_s"))
-    out = health.verdict(h, health.coverage(health.timeline(ia, C)), stalled)
+    out = health.verdict(h, health.coverage(health.timeline(a, C)), stalled)
     return out.select("mission_id", "topics", "assessed", "messages", F.round("stalled_s", 4).alias("stalled_s"), "confidence", F.round("score", 4).alias("score"), "verdict")
 
 
