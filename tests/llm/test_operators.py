@@ -114,6 +114,37 @@ def test_similar(docs):
     assert {i for i, c in got.items() if i != c} >= {i for i, c in want.items() if i != c and len(dict(items)[i]) > 20}
 
 
+def similar_by_force(spark, texts):
+    def shingles(t):
+        w = t.encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    items = [(i, shingles(t)) for i, t in enumerate(texts)]
+    want = linked(items, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    return {i: got.get(i, i) for i, _ in items}, want
+
+
+def test_similar_in_large_groups(spark):
+    rng = random.Random(11)
+    out = []
+    for _ in range(2):  # texts of the same words in other orders: all have one fingerprint, few are near copies
+        frame = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(150)]
+
+        def turned(w, k):
+            at = rng.randrange(150 - k)
+            return [*w[:at], *w[at : at + k][::-1], *w[at + k :]]
+
+        for n in range(120):
+            w = turned(frame, 6)
+            out.append(" ".join(w))
+            if n % 3 == 0:
+                out.append(" ".join(turned(w, 10)))
+        out += [" ".join(rng.sample(frame, 150)) for _ in range(50)]
+    got, want = similar_by_force(spark, out)
+    assert got == want and 100 <= len(set(want.values())) < len(out) / 2
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, k) for k in range(2000, 2300)]
