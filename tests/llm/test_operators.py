@@ -145,6 +145,18 @@ def test_similar_in_large_groups(spark):
     assert got == want and 100 <= len(set(want.values())) < len(out) / 2
 
 
+def test_similar_near_the_threshold(spark):
+    rng = random.Random(12)
+    out = []
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(n)]
+    for n, more, gone in ((100, 24, 0), (100, 15, 0), (100, 25, 0), (100, 10, 10), (400, 60, 0), (14, 1, 1), (8, 1, 0), (4, 0, 0), (9, 1, 1)):
+        for _ in range(8):
+            w = fresh(n)
+            out += [" ".join(w), " ".join(w[: n - gone] + fresh(more))]
+    got, want = similar_by_force(spark, out)
+    assert got == want and sum(i != c for i, c in want.items()) >= 50
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, k) for k in range(2000, 2300)]
