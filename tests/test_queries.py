@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from tidemark.plans import analyse, detect, fleet
+from tidemark.sources.events import arrivals
 
 SF = "/root/testdata/sf0.001"
 SQL = detect.SQL | analyse.SQL | fleet.SQL
@@ -41,3 +42,15 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 5
+
+
+def test_timeline_has_all_errors(spark):
+    a = arrivals(spark, SF).select("mission_id", "topic", "t", "v").toPandas()
+    g = a.groupby(["mission_id", "topic"]).v
+    hot = a[((a.v - g.transform("mean")) / g.transform("std")).abs() > 2.5]
+    want = [("outlier", m, k, round(t, 6), 3) for m, k, t in zip(hot.mission_id, hot.topic, hot.t, strict=True)]
+    err = a[a.topic == "error"]
+    want += [("error", m, k, round(t, 6), 2) for m, k, t in zip(err.mission_id, err.topic, err.t, strict=True)]
+    want.sort(key=lambda x: (x[3], x[0], x[2], x[1]))
+    got = [tuple(r) for r in QUERIES["event_timeline_union"](spark, SF).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want[:200])) and len(got) == 200

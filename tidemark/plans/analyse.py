@@ -149,8 +149,8 @@ def log_burst(spark: SparkSession, d: str) -> DataFrame:
 def event_timeline_union(spark: SparkSession, d: str) -> DataFrame:
     a = arrivals(spark, d)
     hot = series.outliers_zscore(a, T, 2.5).select(F.lit("outlier").alias("kind"), "mission_id", "topic", "t", F.lit(3).alias("severity"))
-    err = a.where("topic = 'error' and k = 0").select(F.lit("error").alias("kind"), "mission_id", "topic", "t", F.lit(2).alias("severity"))
-    return hot.unionByName(err).orderBy("t", "kind", "topic").limit(200).select("kind", *T, R6("t"), "severity")
+    err = a.where("topic = 'error'").select(F.lit("error").alias("kind"), "mission_id", "topic", "t", F.lit(2).alias("severity"))
+    return hot.unionByName(err).orderBy("t", "kind", "topic", "mission_id").limit(200).select("kind", *T, R6("t"), "severity")
 
 
 def log_signal_coincidence(spark: SparkSession, d: str) -> DataFrame:
