@@ -282,6 +282,22 @@ def test_pii_collisions(spark):
     assert found.join(real.distinct(), "e", "left_semi").count() == 0
 
 
+def test_pii_formats_of_one_entity(spark):
+    import re
+
+    cards = ["4111-1111-1111-1111", "4111 1111 1111 1111", "4111111111111111"]
+    phones = ["+1 (487) 555-7209", "+1 487 555 7209", "+14875557209", "+351 912 345 678", "+351912345678"]
+    ibans = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"]
+    people = [f"Mr. {g} Smith" for g in "John Jack Jim Joe Jon Jeff Jake Josh Jay Juan Jude Jed Jan Jon Jules Jasper Jared Joel Jonah Joss Jago Jem".split()]
+    rows = [(i, f"x {e} y") for i, e in enumerate([*cards, *phones, *ibans, *people, "Mr. Smith", "Mr. SMITH"])]
+    out = [r.text[2:-2] for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    plain = [re.sub(r"[^A-Z0-9+]", "", e) for e in out[:10]]
+    assert len(set(plain[:3])) == 1 and len(set(plain[3:6])) == 1 and len(set(plain[6:8])) == 1 and len(set(plain[8:])) == 1
+    assert plain[3].startswith("+1") and plain[6].startswith("+351")
+    names = [e.split() for e in out[10:]]
+    assert len({n[-1] for n in names}) == 1 and len({n[1] for n in names[:-2]}) == len(set(people))
+
+
 def test_secrets(docs, empty):
     forest = secrets.trained()
     fresh = secrets.labelled_findings(1000, seed=77)

@@ -3,8 +3,9 @@
 Entities are found by pattern (e-mail, telephone, IPv4, IBAN, payment card, US social security number, and names after a
 title). A surrogate is a keyed function of an entity's normal form, so one entity has one surrogate in all texts. It
 keeps the format: digits become digits, letters become letters of the same script and case, separators stay; cards
-keep their check digit right, addresses stay in range, names get a given name of the same gender and script. Surrogates
-that two entities share, or that are entities of the corpus themselves, are drawn again until all are distinct.
+keep their check digit right, addresses stay in range, names get a given name of the same gender and script. The normal
+form has no separators and no case; a name has two, of the family and of the given name in the family. Surrogates that
+two normal forms share, or that are normal forms of the corpus themselves, are drawn again until all are distinct.
 Nulls stay null; an empty text and a text without findings stay as they are; repeated rows are treated one by one; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -78,13 +79,20 @@ def _letter(letters: str, at: Column) -> Column:
     return F.substring(F.lit(letters), (at + 1).cast("int"), F.lit(1))
 
 
-def shaped(key: str, e: Column, attempt: Column, seed: Column) -> Column:
-    """e with every letter and digit drawn anew, of the same script and case."""
+def normal(e: Column) -> Column:
+    """An entity that is no name without separators and case; points of addresses and mails stay."""
+    k = kind(e)
+    return F.when(k.isin("email", "ip"), F.lower(e)).when(k == "iban", F.regexp_replace(e, " ", "")).when(k == "ssn", e).otherwise(F.regexp_replace(e, "[^0-9+]", ""))
+
+
+def shaped(key: str, e: Column, attempt: Column, seed: Column, keep: Column | int = 0) -> Column:
+    """e with every letter and digit drawn anew, of the same script and case, but the first so many; separators do not count."""
 
     def one(c: Column, i: Column) -> Column:
-        out = F.when(c.rlike("[0-9]"), _draw(key, seed, attempt, i, 10).cast("string"))
+        at = F.length(F.regexp_replace(F.substring(e, F.lit(1), i), r"[^\p{L}0-9]", ""))
+        out = F.when(at < keep, c).when(c.rlike("[0-9]"), _draw(key, seed, attempt, at, 10).cast("string"))
         for letters, block in SCRIPTS.values():
-            low = _letter(letters, _draw(key, seed, attempt, i, len(letters)))
+            low = _letter(letters, _draw(key, seed, attempt, at, len(letters)))
             out = out.when(c.rlike(rf"^[\p{{Lu}}&&{block}]$"), F.upper(low)).when(c.rlike(rf"^[\p{{L}}&&{block}]$"), low)
         return out.otherwise(c)
 
@@ -99,7 +107,7 @@ def _card(key: str, e: Column, attempt: Column) -> Column:
         back = F.transform(F.reverse(d), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.floor(c.cast("int") * 2 / 10).cast("int") + (c.cast("int") * 2) % 10))
         return F.aggregate(back, F.lit(0), lambda a, x: a + x) % 10
 
-    fresh = shaped(key, e, attempt, e)
+    fresh = shaped(key, e, attempt, normal(e))
     drawn = F.split(F.regexp_replace(fresh, "[^0-9]", ""), "")
     last = F.pmod(F.element_at(drawn, -1).cast("int") + luhn(digits) - luhn(drawn), F.lit(10))
     return F.concat(F.substring(fresh, F.lit(1), F.length(fresh) - 1), last.cast("string"))
@@ -109,21 +117,34 @@ def _ip(key: str, e: Column, attempt: Column) -> Column:
     return F.concat_ws(".", *[(_draw(key, e, attempt, i, 223) + 1).cast("string") for i in range(4)])
 
 
-def _name(key: str, e: Column, attempt: Column) -> Column:
+def _words(e: Column) -> tuple[Column, Column, Column]:
+    """The title, the words after it, and the gender the title has."""
     title = F.regexp_extract(e, rf"^(?:{_TITLE})\.? ", 0)
-    rest = F.split(F.substring(e, F.length(title) + 1, F.length(e)), " ")
     gender = F.when(title.rlike(f"^(?:{'|'.join(TITLES['m'])})\\.? $"), "m").when(title.rlike(f"^(?:{'|'.join(TITLES['f'])})\\.? $"), "f").otherwise("n")
-    first = F.element_at(rest, 1)
-    script = F.when(first.rlike(r"\p{IsCyrillic}"), "cyrillic").when(first.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    given, family = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for (s, g), names in GIVEN.items():
-        here = (script == s) & (gender == g)
-        given = F.coalesce(given, F.when(here, F.element_at(F.array(*map(F.lit, names)), (_draw(key, first, F.lit(0), 1, len(names)) + 1).cast("int"))))
+    return title, F.split(F.substring(e, F.length(title) + 1, F.length(e)), " "), gender
+
+
+def _script(word: Column) -> Column:
+    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+
+
+def _family(key: str, word: Column, attempt: Column) -> Column:
+    out = F.lit(None).cast("string")
     for s, parts in SYLLABLES.items():
         of = F.array(*map(F.lit, parts))
-        made = F.concat(*[F.element_at(of, (_draw(key, F.element_at(rest, -1), attempt, i, len(parts)) + 1).cast("int")) for i in range(2, 6)])
-        family = F.coalesce(family, F.when(script == s, F.concat(F.upper(F.substring(made, 1, 1)), F.substring(made, F.lit(2), F.length(made)))))
-    return F.concat(title, F.when(F.size(rest) > 1, F.concat(given, F.lit(" "), family)).otherwise(family))
+        made = F.concat(*[F.element_at(of, (_draw(key, F.lower(word), attempt, i, len(parts)) + 1).cast("int")) for i in range(2, 6)])
+        out = F.coalesce(out, F.when(_script(word) == s, F.concat(F.upper(F.substring(made, 1, 1)), F.substring(made, F.lit(2), F.length(made)))))
+    return out
+
+
+def _given(key: str, word: Column, gender: Column, attempt: Column) -> Column:
+    """A given name; drawn again, a double one, of as many as it takes."""
+    out = F.lit(None).cast("string")
+    for (s, g), names in GIVEN.items():
+        of = F.array(*map(F.lit, names))
+        drawn = F.transform(F.sequence(F.lit(0), attempt), lambda i: F.element_at(of, (_draw(key, F.lower(word), attempt, i, len(names)) + 1).cast("int")))
+        out = F.coalesce(out, F.when((_script(word) == s) & (gender == g), F.array_join(drawn, "-")))
+    return out
 
 
 def _email(key: str, e: Column, attempt: Column) -> Column:
@@ -131,16 +152,42 @@ def _email(key: str, e: Column, attempt: Column) -> Column:
     return F.concat(shaped(key, F.regexp_extract(e, r"^(.*)\.", 1), attempt, F.lower(e)), F.lit("."), F.element_at(F.split(e, r"\."), -1))
 
 
+#: Calling codes of three digits and of one; all others have two.
+_CODE = r"^\+((?:2[1-689]|3[578]|42|5[09]|6[789]|8[0578]|9[679])[0-9]|[17]|[0-9]{2})"
+
+
 def _phone(key: str, e: Column, attempt: Column) -> Column:
     """The country's code stays."""
-    code = F.regexp_extract(e, r"^\+(?:[17]|[0-9]{2,3}(?=[^0-9])|[0-9]{2})", 0)
-    return F.concat(code, shaped(key, F.substring(e, F.length(code) + 1, F.length(e)), attempt, e))
+    return shaped(key, e, attempt, normal(e), F.length(F.regexp_extract(normal(e), _CODE, 1)))
 
 
-def surrogate(key: str, e: Column, attempt: Column) -> Column:
-    """The replacement of an entity; attempt counts how often it was drawn again."""
-    k = kind(e)
-    return F.when(k == "card", _card(key, e, attempt)).when(k == "ip", _ip(key, e, attempt)).when(k == "name", _name(key, e, attempt)).when(k == "email", _email(key, e, attempt)).when(k == "phone", _phone(key, e, attempt)).otherwise(shaped(key, e, attempt, e))
+def units(e: Column) -> Column:
+    """What of an entity is drawn as one: (kind, normal form, gender); a name's family, and its given name in that family."""
+    _, words, gender = _words(e)
+    unit = lambda k, n, g: F.struct(k.alias("kind"), n.alias("norm"), g.alias("gender"))
+    family = unit(F.lit("family"), F.lower(F.element_at(words, -1)), F.lit(""))
+    given = unit(F.lit("given"), F.lower(F.concat_ws(" ", words)), gender)
+    return F.when(kind(e) != "name", F.array(unit(kind(e), normal(e), F.lit("")))).when(F.size(words) > 1, F.array(family, given)).otherwise(F.array(family))
+
+
+def drawn_unit(key: str) -> Column:
+    """The normal form of the surrogate of the columns kind, norm, gender and attempt."""
+    k, n, t = F.col("kind"), F.col("norm"), F.col("attempt")
+    words = F.split(n, " ")
+    given = F.concat_ws(" ", F.lower(_given(key, F.element_at(words, 1), F.col("gender"), t)), F.element_at(words, -1))
+    other = shaped(key, n, t, n)
+    phone = shaped(key, n, t, n, F.length(F.regexp_extract(n, _CODE, 1)))
+    return F.when(k == "family", F.lower(_family(key, n, t))).when(k == "given", given).when(k == "card", _card(key, n, t)).when(k == "ip", _ip(key, n, t)).when(k == "email", _email(key, n, t)).when(k == "phone", phone).otherwise(other)
+
+
+def surrogate(key: str, e: Column, attempts: Column) -> Column:
+    """The replacement of an entity; attempts counts by unit how often it was drawn again."""
+    k, u = kind(e), units(e)
+    many = lambda i: F.coalesce(F.try_element_at(attempts, F.get(u, F.lit(i))), F.lit(0))
+    title, words, gender = _words(e)
+    family = _family(key, F.element_at(words, -1), many(0))
+    name = F.concat(title, F.when(F.size(words) > 1, F.concat(_given(key, F.element_at(words, 1), gender, many(1)), F.lit(" "), family)).otherwise(family))
+    return F.when(k == "card", _card(key, e, many(0))).when(k == "ip", _ip(key, e, many(0))).when(k == "name", name).when(k == "email", _email(key, e, many(0))).when(k == "phone", _phone(key, e, many(0))).otherwise(shaped(key, e, many(0), normal(e)))
 
 
 def found(text: Column) -> Column:
@@ -150,21 +197,23 @@ def found(text: Column) -> Column:
 
 
 def redrawn(entities: DataFrame, key: str) -> DataFrame:
-    """(entity, attempt) of the distinct entities(entity) whose first surrogate is another's or is an entity itself.
+    """(unit, attempt) of the units of entities(entity) whose first surrogate is another's or is a unit itself.
 
     Each round draws the colliding ones again, but the smallest of those that share one, and checks all of them.
     """
-    known = stored(entities.select("entity", F.lit(0).alias("attempt")).withColumn("s", surrogate(key, F.col("entity"), F.col("attempt"))))
+    unit = F.struct("kind", "norm", "gender")
+    real = stored(entities.select(F.explode(units(F.col("entity"))).alias("u")).select("u.*").distinct())
+    known = stored(real.withColumn("attempt", F.lit(0)).withColumn("s", drawn_unit(key)))
+    on = ["kind", "gender", "s"]
     while True:
-        shared = known.groupBy("s").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "entity")).alias("keep"))
-        real = entities.select(F.col("entity").alias("s"), F.lit(True).alias("real"))
-        bad = shared.join(real, "s", "left").where("n > 1 or real")
-        bad = stored(bad.select("s", F.when(F.col("real").isNull(), F.col("keep.entity")).alias("spared")))
+        shared = known.groupBy(*on).agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm")).alias("keep"))
+        bad = shared.join(real.select("kind", "gender", F.col("norm").alias("s"), F.lit(True).alias("real")), on, "left").where("n > 1 or real")
+        bad = stored(bad.select(*on, F.when(F.col("real").isNull(), F.col("keep.norm")).alias("spared")))
         if bad.isEmpty():
-            return known.where("attempt > 0").select("entity", "attempt")
-        marked = known.join(bad, "s", "left_semi").join(bad, "s").where("spared is null or spared <> entity").select("entity", F.lit(1).alias("more"))
-        known = known.drop("s").join(marked, "entity", "left").select("entity", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
-        known = stored(known.withColumn("s", surrogate(key, F.col("entity"), F.col("attempt"))))
+            return known.where("attempt > 0").select(unit.alias("unit"), "attempt")
+        marked = known.join(bad, on).where("spared is null or spared <> norm").select("kind", "norm", "gender", F.lit(1).alias("more"))
+        known = known.drop("s").join(marked, ["kind", "norm", "gender"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("more", F.lit(0))).drop("more")
+        known = stored(known.withColumn("s", drawn_unit(key)))
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
@@ -172,12 +221,13 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     mentions = stored(rows.select("doc_id", F.explode(F.array_distinct(found(F.col("text")))).alias("entity")))
     again = stored(redrawn(mentions.select("entity").distinct(), key))
-    # only texts with an entity that was drawn again need the list of those
-    exact = stored(mentions.join(again, "entity").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("attempts")))
+    # only texts with a unit that was drawn again need the list of those
+    within = mentions.select("doc_id", F.explode(units(F.col("entity"))).alias("unit"))
+    exact = stored(within.join(again, "unit").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("unit", "attempt"))).alias("attempts")))
     out = rows.join(exact, "doc_id", "left").withColumn("e", found(F.col("text")))
-    first = F.create_map().cast("map<string,int>")
+    first = F.create_map().cast("map<struct<kind:string,norm:string,gender:string>,int>")
     attempts = F.coalesce("attempts", first)
-    new = F.transform("e", lambda x: surrogate(key, x, F.coalesce(F.try_element_at(attempts, x), F.lit(0))))
+    new = F.transform("e", lambda x: surrogate(key, x, attempts))
     gaps = F.split(F.col("text"), PATTERN, -1)
     joined = F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
     text = F.when(F.size("e") > 0, joined).otherwise(F.col("text"))
