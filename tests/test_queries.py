@@ -54,3 +54,10 @@ def test_timeline_has_all_errors(spark):
     want.sort(key=lambda x: (x[3], x[0], x[2], x[1]))
     got = [tuple(r) for r in QUERIES["event_timeline_union"](spark, SF).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want[:200])) and len(got) == 200
+
+
+def test_log_filter_reads_whole_texts(spark, tmp_path):
+    rows = [(1, 1, "user", "x" * 80 + " then"), (1, 2, "user", "nothing"), (2, 1, "user", "then"), (15, 1, "assistant", "that " + "y" * 90), (15, 2, "assistant", "z" * 60 + "THE")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.level: r.n for r in QUERIES["log_filter_levels"](spark, str(tmp_path)).collect()}
+    assert got == {"user": 1, "assistant": 2}

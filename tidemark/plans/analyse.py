@@ -128,13 +128,13 @@ def topic_time_window(spark: SparkSession, d: str) -> DataFrame:
     return a.select(*T, "seq", R6("t"))
 
 
-def _lines(spark, d):
+def _lines(spark, d, most: int | None = None):
     c = table(spark, d, "conversations")
-    return c.select(F.col("role").alias("level"), F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("node"), (F.col("conv_id") * 10.0 + F.col("turn")).alias("t"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.substring("text", 1, 60).alias("msg"))
+    return c.select(F.col("role").alias("level"), F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("node"), (F.col("conv_id") * 10.0 + F.col("turn")).alias("t"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("text") if most is None else F.substring("text", 1, most)).alias("msg"))
 
 
 def log_template_cluster(spark: SparkSession, d: str) -> DataFrame:
-    return logs.clusters(_lines(spark, d), 150)
+    return logs.clusters(_lines(spark, d, 60), 150)
 
 
 def log_filter_levels(spark: SparkSession, d: str) -> DataFrame:
