@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tidemark.plans import analyse, detect, fleet
+from tidemark.plans import analyse, detect, fleet, live
 from tidemark.sources.events import arrivals
 
 SF = "/root/testdata/sf0.001"
@@ -56,6 +56,13 @@ def test_timeline_has_all_errors(spark):
     assert sorted(map(str, got)) == sorted(map(str, want[:200])) and len(got) == 200
 
 
+def test_clouds_of_whole_topics(spark):
+    a = arrivals(spark, SF).select("mission_id", "topic", "k").toPandas()
+    want = {k: (len(g), g.k.min(), g.k.max(), round(g.k.mean(), 4)) for k, g in a.groupby(["mission_id", "topic"])}
+    got = {(r.mission_id, r.topic): (r.n, r.min_points, r.max_points, r.mean_points) for r in live.QUERIES["pointcloud_summary"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want) and max(w[0] for w in want.values()) > 200
+
+
 def test_log_filter_reads_whole_texts(spark, tmp_path):
     rows = [(1, 1, "user", "x" * 80 + " then"), (1, 2, "user", "nothing"), (2, 1, "user", "then"), (15, 1, "assistant", "that " + "y" * 90), (15, 2, "assistant", "z" * 60 + "THE")]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")

@@ -21,11 +21,14 @@ def nearest_frames(frames: DataFrame, targets: DataFrame, keys: list[str], withi
     return near.groupBy(*keys, "target").agg(F.min_by("seq", F.struct("off_s", "us", "seq")).alias("seq"), F.min("off_s").alias("off_s"))
 
 
-def cloud_summary(clouds: DataFrame, keys: list[str], most: int = 200) -> DataFrame:
-    """(keys, n, mean, least and most points, share of empty clouds, mean bytes, verdict) of clouds(keys, us, seq, points, bytes)."""
+def cloud_summary(clouds: DataFrame, keys: list[str], most: int | None = 200) -> DataFrame:
+    """(keys, n, mean, least and most points, share of empty clouds, mean bytes, verdict) of clouds(keys, us, seq, points, bytes).
+
+    Of each topic the first so many clouds count; all of them where most is None.
+    """
     from pyspark.sql import Window
 
-    some = clouds.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("us", "seq"))).where(F.col("_r") <= most)
+    some = clouds if most is None else clouds.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("us", "seq"))).where(F.col("_r") <= most)
     out = some.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("points").alias("mean_points"), F.min("points").alias("min_points"), F.max("points").alias("max_points"), F.avg((F.col("points") == 0).cast("double")).alias("empty_share"), F.avg("bytes").alias("mean_bytes"))
     return out.withColumn("verdict", F.when(F.col("empty_share") > 0.1, "empty_clouds").when(F.col("min_points") < 0.5 * F.col("mean_points"), "uneven").otherwise("steady"))
 

@@ -61,7 +61,7 @@ def keyframes_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 def pointcloud_summary(spark: SparkSession, d: str) -> DataFrame:
     a = arrivals(spark, d).select(*KEYS, "us", "seq", F.col("k").alias("points"), (F.col("k") * 12).alias("bytes"))
-    out = frames.cloud_summary(a, list(KEYS))
+    out = frames.cloud_summary(a, list(KEYS), None)
     return out.select(*KEYS, "n", F.round("mean_points", 4).alias("mean_points"), "min_points", "max_points", F.round("empty_share", 4).alias("empty_share"), F.round("mean_bytes", 4).alias("mean_bytes"), "verdict")
 
 
