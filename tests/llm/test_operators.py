@@ -176,6 +176,16 @@ def test_sharding(docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_sharding_splits_by_share_only(spark, monkeypatch):
+    for name in ("WINDOW_ROWS", "PORTION_ROWS"):
+        monkeypatch.setattr(sharding, name, 5, raising=False)
+    rows = [(i, "one text of many" if i < 25 else "often and long" if i < 225 else f"text number {i} of its own") for i in range(2000)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8).toPandas()
+    assert len(out) == 2000 and out[out.doc_id < 25].shard.nunique() == 1 and out[out.doc_id.between(25, 224)].shard.nunique() > 1
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+
+
 def test_packing(docs, empty):
     path = queries.tokenizer()
     from tokenizers import Tokenizer

@@ -11,8 +11,8 @@ from tidemark.llm.shared import parts, stored
 
 #: Groups with a larger share of the bytes, tokens or rows are split, into portions of about half that share.
 WHOLE = 1 / 64
-#: Rows of a portion at most, on average; units that one task places; share from which on a unit is placed first.
-PORTION_ROWS, UNITS, FIRST = 50_000, 20_000, 1 / 4096
+#: Rows of one window at most, on average; units that one task places; share from which on a unit is placed first.
+WINDOW_ROWS, UNITS, FIRST = 50_000, 20_000, 1 / 4096
 #: What bytes, tokens and rows weigh in the dot product.
 WEIGHTS = (1.0, 0.5, 0.5)
 
@@ -41,8 +41,7 @@ def measured(docs: DataFrame, tokens=None) -> DataFrame:
 def assign(slim: DataFrame, shards: int) -> DataFrame:
     """slim(doc_id, size, tokens, digest, ...) with shard int and slot long.
 
-    Rows with equal digests form a group and stay in one shard, unless the group is so large (WHOLE, PORTION_ROWS)
-    that shards of near equal bytes need it split; portions are fixed by doc_id. Units of a noticeable share (at most
+    Rows with equal digests form a group and stay in one shard, unless its share is so large (WHOLE) that shards of near equal bytes need it split; portions are fixed by doc_id. Units of a noticeable share (at most
     3 / FIRST of them) are placed in one task; all others are dealt to tasks by hash, and each task fills an equal
     part of what is left of every shard. Slots count from 0 in each shard without gaps.
     An empty table gives an empty result; repeated rows count one by one and take slots of their own.
@@ -51,9 +50,11 @@ def assign(slim: DataFrame, shards: int) -> DataFrame:
     totals = np.array([max(1, x or 0) for x in total], float)
     sums = (F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     share = F.greatest(F.col("size") / totals[0], F.col("tokens") / totals[1], F.col("n") / totals[2])
-    large = slim.groupBy("digest").agg(*sums).where((F.col("n") > 1) & ((share > WHOLE) | (F.col("n") > PORTION_ROWS)))
-    large = stored(large.select(F.col("digest").alias("_d"), F.greatest(F.ceil(share * (2 / WHOLE)), F.ceil(F.col("n") / PORTION_ROWS)).cast("long").alias("_k")))
-    slim = slim.join(large, slim["digest"] == large["_d"], "left").drop("_d").withColumn("_portion", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_k")), F.lit(0).cast("long"))).drop("_k")
+    large = slim.groupBy("digest").agg(*sums).where((F.col("n") > 1) & ((share > WHOLE) | (F.col("n") > WINDOW_ROWS)))
+    large = large.withColumn("_k", F.when(share > WHOLE, F.ceil(share * (2 / WHOLE))).otherwise(F.lit(1)).cast("long"))
+    large = stored(large.select(F.col("digest").alias("_d"), "_k", F.ceil(F.col("n") / F.col("_k") / WINDOW_ROWS).cast("long").alias("_m")))
+    slim = slim.join(large, slim["digest"] == large["_d"], "left").drop("_d").withColumn("_portion", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_k")), F.lit(0).cast("long")))
+    slim = slim.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("_m")), F.lit(0).cast("long"))).drop("_k")
     units = slim.groupBy("digest", "_portion").agg(*sums)
     units = stored(units.withColumn("first", share > FIRST))
     buckets = parts(units.count(), UNITS)
@@ -83,9 +84,15 @@ def assign(slim: DataFrame, shards: int) -> DataFrame:
     start = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
     start = start.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("start"))
     placed = stored(placed.join(start, ["shard", "bucket"]).select(F.col("digest").alias("_d"), F.col("portion").alias("_p"), "shard", (F.col("start") + F.col("before")).alias("_start")))
-    rank = F.row_number().over(Window.partitionBy("digest", "_portion").orderBy("doc_id")) - 1
+    # large units are ranked by salt, then by doc_id
+    rank = F.row_number().over(Window.partitionBy("digest", "_portion", "_salt").orderBy("doc_id")) - 1
+    salts = slim.where("_m > 1").groupBy("digest", "_portion", "_salt").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("digest", "_portion").orderBy("_salt")) - F.col("_n")
+    salts = stored(salts.withColumn("_before", before).select(F.col("digest").alias("_sd"), F.col("_portion").alias("_sp"), F.col("_salt").alias("_ss"), "_before"))
     out = slim.withColumn("_rank", rank).join(placed, (F.col("digest") == F.col("_d")) & (F.col("_portion") == F.col("_p")))
-    return out.withColumn("slot", (F.col("_start") + F.col("_rank")).cast("long")).drop("_d", "_p", "_portion", "_rank", "_start")
+    out = out.join(salts, (F.col("digest") == F.col("_sd")) & (F.col("_portion") == F.col("_sp")) & (F.col("_salt") == F.col("_ss")), "left")
+    out = out.withColumn("slot", (F.col("_start") + F.coalesce("_before", F.lit(0)) + F.col("_rank")).cast("long"))
+    return out.drop("_d", "_p", "_m", "_portion", "_salt", "_rank", "_start", "_sd", "_sp", "_ss", "_before")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, tokens=None) -> DataFrame:
