@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, packing, secrets, simhash, toxicity
+from tidemark.llm import exact, packing, secrets, similar, toxicity
 from tidemark.llm.queries import tokenizer
 from tidemark.llm.shared import stored, table
 
@@ -29,7 +29,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts joined by links of 0.8 similarity or more on five-word shingles the smallest doc_id stays."""
-    return simhash.remove_similar(docs)
+    return similar.remove_similar(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

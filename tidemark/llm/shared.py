@@ -6,6 +6,8 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -30,12 +32,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _remove() -> None:
     for spark, path in _written:
         try:
-            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM has gone already
             return
 
@@ -52,6 +57,24 @@ def stored(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that were stored inside at its end, but for those that the function it gives has stored."""
+    mine, kept = len(_written), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = stored(df)
+        kept.append(_written[-1])
+        return out
+
+    yield keep
+    gone = [x for x in _written[mine:] if x not in kept]
+    _written[mine:] = kept
+    for _, path in gone:
+        _delete(spark, path)
+    release(spark)
+
+
 def parts(rows: int, each: int, least: int = 1) -> int:
     """Partitions for so many rows; grows with the input without a cap."""
     return max(least, -(-max(rows, 0) // each))

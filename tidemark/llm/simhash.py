@@ -3,8 +3,6 @@
 A 64-bit fingerprint is cut into two halves. Two fingerprints that differ in three bits at most have a half that
 differs in one bit at most, so they share one of that half's 32 one-wildcard variants. Distinct fingerprints meet by
 equality of variants, are verified by Hamming distance in blocks, and links are united into components.
-similar() finds all texts of a given Jaccard similarity on word shingles: two such sets share one of their rarest
-shingles (prefix filter), which propose pairs; the whole sets decide, and no pair is left out by count.
 Nulls count as empty texts, an empty text has the fingerprint zero, which links like any other; repeated rows with
 one doc_id stay as they are; an empty table gives an empty result; other columns are ignored.
 """
@@ -125,158 +123,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
     joined = components(links(nodes, nodes.count(), bits))
     named = stored(nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Distinct hashes of a text's shingles, in order."""
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    digest, n = xxhash.xxh64_intdigest, max(1, len(tokens) - words + 1)
-    return np.unique(np.fromiter((digest(b" ".join(tokens[i : i + words]), SEED) for i in range(n)), np.uint64, n))
-
-
-#: Texts of the sample that tells common shingles, and how often a common one is in it; any order gives equal results.
-SAMPLE, COMMON = 20_000, 3
-#: Texts of one shingle from which on they first meet one of them, in so many rounds, before all that are left meet.
-MANY, ROUNDS = 16, 3
-#: Candidate pairs that a task hands on at once.
-BLOCK = 500_000
-
-
-def prefix(shingles: np.ndarray, common: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
-    """The rarest shingles, so many that two sets of that similarity share one; the empty set has the shingle zero."""
-    n = len(shingles)
-    if not n:
-        return np.zeros(1, np.uint64)
-    count = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        count = np.where(common[at] == shingles, often[at], 0)
-    return shingles[np.lexsort((shingles, count))][: n - int(np.ceil(similarity * n - 1e-9)) + 1]
-
-
-def possible(size: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets can be similar whose first common shingle has these places; false at later ones loses nothing."""
-    most = np.minimum(size[i] - place[i], size[j] - place[j])
-    return most >= similarity * (size[i] + size[j] - most) - 1e-9
-
-
-def proposals(key: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarray, label: np.ndarray, similarity: float, turn: int):
-    """Blocks (i, j) of entries of one key and different labels that can be similar: each of a key's entries with one
-    of them that the turn chooses, or all with all where there is no turn (-1). Entries are in order of key."""
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    many = np.diff([*first, len(key)])
-    if turn >= 0:
-        mixed = (node.view(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
-        run = np.repeat(np.arange(len(first)), many)
-        chosen = np.lexsort((mixed, run))[first]
-        j = np.arange(len(key))
-        i = chosen[run]
-        m = label[i] != label[j]
-        i, j = i[m], j[m]
-        # the chosen one's place can be no first common one: all pairs that are left meet later
-        yield i, j
-        return
-    end = np.repeat(first + many, many)
-    at, step = np.arange(len(key)), 1
-    while len(at := at[at + step < end[at]]):
-        for s in range(0, len(at), BLOCK):
-            i = at[s : s + BLOCK]
-            m = label[i] != label[i + step]
-            i = i[m]
-            i = i[possible(size, place, i, i + step, similarity)]
-            if len(i):
-                yield i, i + step
-        step += 1
-
-
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of the texts that a chain of verified links joins to another one."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-
-    def sets(batches):
-        for b in batches:
-            found = [shingle_set(x.as_py(), words).view(np.int64) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "s"])
-
-    every = max(1, rows.count() // SAMPLE)
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(sets, "doc_id long, s array<long>")
-    some = some.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).toPandas()
-    common = some.s.to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(common)
-    known = spark.sparkContext.broadcast((common[order], some.n.to_numpy(np.int64)[order]))
-
-    def emit(batches):
-        names = ["key", "doc_id", "size", "place"]
-        for b in batches:
-            found = [shingle_set(x.as_py(), words) for x in b.column(1)]
-            keys = [prefix(x, *known.value, similarity) for x in found]
-            many = np.array([len(k) for k in keys], np.int64)
-            if len(many):
-                node = np.repeat(b.column(0).to_numpy(), many)
-                size = np.repeat(np.array([len(x) for x in found], np.int32), many)
-                place = np.concatenate([np.arange(n, dtype=np.int32) for n in many])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node), pa.array(size), pa.array(place)], names=names)
-
-    def ordered(batches):
-        """All entries of the partition by key, and how many their key has."""
-        all_ = [b for b in batches if len(b)]
-        if not all_:
-            return None
-        all_ = pd.concat(all_).sort_values(["key", "doc_id"], ignore_index=True)
-        first = np.flatnonzero(np.concatenate([[True], np.diff(all_.key.to_numpy()) != 0]))
-        many = np.diff([*first, len(all_)])
-        return all_, np.repeat(many, many)
-
-    def pairs_of(e: pd.DataFrame, turn: int):
-        node = e.doc_id.to_numpy()
-        label = e.label.to_numpy() if "label" in e else node
-        if not len(e):
-            return
-        for i, j in proposals(e.key.to_numpy(), node, e["size"].to_numpy(), e.place.to_numpy(), label, similarity, turn):
-            yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}).drop_duplicates()
-
-    def meet(batches):
-        if (got := ordered(batches)) is not None:
-            e, many = got
-            for pairs in pairs_of(e[many < MANY], -1):
-                yield pairs.assign(key=None, size=0, place=0)
-            large = e[many >= MANY]
-            yield pd.DataFrame({"a": large.doc_id, "b": None, "key": large.key, "size": large["size"], "place": large.place})
-
-    def again(turn: int):
-        def run(batches):
-            if (got := ordered(batches)) is not None:
-                yield from pairs_of(got[0], turn)
-
-        return run
-
-    entries = stored(rows.mapInArrow(emit, "key long, doc_id long, size int, place int"))
-    met = stored(entries.repartition(parts(entries.count(), ENTRIES), "key").mapInPandas(meet, "a long, b long, key long, size int, place int"))
-    pairs, large = met.where("b is not null").select("a", "b"), met.where("b is null").select("key", F.col("a").alias("doc_id"), "size", "place")
-    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(large.select("doc_id")).distinct())
-    shingles = stored(rows.join(asked, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s array<long>"))
-    left, right = shingles.toDF("a", "sa"), shingles.toDF("b", "sb")
-    both = F.size(F.array_intersect("sa", "sb"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return stored(pairs.distinct().join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
-
-    links = verified(pairs)
-    for turn in [*range(ROUNDS), -1]:
-        named = components(links).toDF("doc_id", "label")
-        large = large.drop("label").join(named, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        open_ = large.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-        large = stored(large.join(open_, "key", "left_semi"))
-        if large.isEmpty():
-            break
-        links = links.union(verified(large.repartition(parts(large.count(), ENTRIES), "key").mapInPandas(again(turn), "a long, b long")))
-    return components(links).toDF("doc_id", "component_id")
-
-
-def remove_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document, the smallest doc_id, of each group of similar() texts; all columns stay."""
-    gone = stored(similar(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
