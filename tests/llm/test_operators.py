@@ -49,13 +49,40 @@ def test_exact(docs, empty):
     for i, t in rows_of(docs):
         groups[t].append(i)
     for keep, f in (("smallest", min), ("largest", max)):
-        for r in exact.exact_duplicates(docs, keep).where("doc_id is not null").collect():
+        for r in exact.exact_duplicates(docs, keep).collect():
             g = next(v for t, v in groups.items() if hashlib.sha256(t.encode()).digest() == bytes(r.digest))
-            ids = [x for x in g if x is not None]
-            assert (r.keep_id, r.group_size) == (f(ids), len(g))
+            keep_id = f([x for x in g if x is not None], default=None)
+            assert (r.keep_id, r.group_size, r.kept) == (keep_id, len(g), r.doc_id == keep_id)
     assert exact.exact_duplicates(empty).count() == 0
 
 
+def test_exact_without_ids(spark):
+    docs = spark.createDataFrame([(1, "a", 0), (None, "a", 1), (None, "b", 2), (None, "b", 3), (None, None, 4), (2, "", 5)], "doc_id long, text string, keep_id int")
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_duplicates(docs).collect()), key=str)
+    want = [(1, 1, 2, True), (None, 1, 2, False), (None, None, 2, True), (None, None, 2, True), (None, 2, 2, False), (2, 2, 2, True)]
+    assert got == sorted(want, key=str)
+    kept = exact.remove_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == ["", "a", "b"]
+
+
+def test_removal_goes_by_rows(spark):
+    rows = [(1, "a", "x"), (2, "a", "y"), (2, "only here", "z"), (3, "b", "s"), (3, "b", "s"), (3, "b", "t"), (4, "b", "u"), (5, None, "v"), (6, "", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    got = sorted((r.doc_id, r.text or "") for r in exact.remove_duplicates(docs).collect())
+    assert got == [(1, "a"), (2, "only here"), (3, "b"), (5, "")]
+    got = sorted((r.doc_id, r.text or "") for r in exact.remove_duplicates(docs, "largest").collect())
+    assert got == [(2, "a"), (2, "only here"), (4, "b"), (6, "")]
+    assert exact.remove_duplicates(docs.limit(0)).count() == 0
+
+
+def test_tree_merge_keeps_unlike_witnesses_apart(spark):
+    """Equal digests of unlike texts, which no real text gives, on every level and over many runs."""
+    rows = [(i, bytes([i % 5]) * 32, (i % 2, i % 10)) for i in range(500)]
+    slim = spark.createDataFrame(rows, "doc_id long, digest binary, witness struct<bytes:int,hash:long>").repartition(7)
+    got = {(bytes(r.digest)[0], r.witness.hash): (r.keep_id, r.copies, r.group_size) for r in exact.tree_merge(slim, 500).collect()}
+    assert got == {(k % 5, k): (k, 1, 50) for k in range(10)}
+
+
 def reference_fingerprint(text, words=3):
     import xxhash
 
@@ -190,8 +217,7 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    for t in [*texts(), "<|endoftext|> x", "it's 12  \n\n é 漢字😀"]:
+    for t in [*texts(), "hello <|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|>\n a", "<|endoftext", "it's 12  \n\n é 漢字😀"]:
         assert packing.encoder(path)(t) == tok.encode(t, add_special_tokens=False).ids
     out = packing.packed(docs, path).toPandas()
     ids = {i: np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in rows_of(docs) if i is not None}
@@ -307,6 +333,45 @@ def test_pii_formats_of_one_entity(spark):
     assert len({n[-1] for n in names}) == 1 and len({n[1] for n in names[:-2]}) == len(set(people))
 
 
+def test_pii_leaves_numbers_alone(spark):
+    text = "from 1999-2000 about 10 000 people came, 25 3000 lines, see 12.345, 100 000 000 in 2024-01-15, 3.141.592, v1.2.3-444"
+    out = pii.pseudonymised(spark.createDataFrame([(1, text), (2, "call 555-123-4567 or 0170 1234567 or (487) 555-7209 or +33 1 23 45 67 89")], "doc_id long, text string"), "k").collect()
+    got = {r.doc_id: r for r in out}
+    assert got[1].text == text and got[2].types == {"phone": 4} and not any(x in got[2].text for x in ("4567", "1234567", "7209", "23 45 67"))
+
+
+def test_pii_iban_stays_valid_in_its_country(spark):
+    def valid(iban):
+        return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+    ibans = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606"]
+    out = pii.pseudonymised(spark.createDataFrame([(i, f"x {e} y") for i, e in enumerate(ibans)], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    for old, r in zip(ibans, out, strict=True):
+        new = r.text[2:-2]
+        assert valid(old) and valid(new) and new != old and new[:2] == old[:2] and len(new) == len(old)
+
+
+def test_pii_keys_and_rows_without_ids(spark):
+    rows = [(None, f"Mr. {g} Smith" + "!" * i, 0) for i, g in enumerate("John Jack Jim Joe Jon Jeff Jake Josh Jay Juan Jude Jed Jan Jules Jasper Jared Joel Jonah Joss Jago Jem Jorge".split())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, entity int")
+    out = {k: sorted(r.text.rstrip("!") for r in pii.pseudonymised(docs, k).collect()) for k in "ab"}
+    assert len(set(out["a"])) == len(rows) and out["a"] != out["b"]
+    long = "word " * 200_000 + "mail one@host.org"
+    got = pii.pseudonymised(spark.createDataFrame([(1, long), (1, long), (2, "")], "doc_id long, text string"), "a").collect()
+    assert len({r.text for r in got}) == 2 and all("one@host" not in r.text for r in got) and sorted(r.n_entities for r in got) == [0, 1, 1]
+
+
+def test_pii_ends_where_a_shape_is_full(spark):
+    import itertools
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{x}@{y}.de" for x, y in itertools.product(letters, letters)][:600]
+    out = pii.pseudonymised(spark.createDataFrame([(i, m) for i, m in enumerate(mails)], "doc_id long, text string"), "k").collect()
+    new = {r.doc_id: r.text for r in out}
+    assert len(set(new.values())) == 600 and all(v[1] == "@" and v[3:] == ".de" for v in new.values())
+    assert sum(new[i] == m for i, m in enumerate(mails)) <= 10
+
+
 def test_secrets(docs, empty):
     forest = secrets.trained()
     fresh = secrets.labelled_findings(1000, seed=77)
