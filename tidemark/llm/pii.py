@@ -1,17 +1,21 @@
 """Surrogates for personal data, in DataFrame operations only.
 
 Entities are found by pattern (e-mail, telephone, IPv4, IBAN, payment card, US social security number, and names after a
-title). A surrogate is a keyed function of an entity's normal form, so one entity has one surrogate in all texts. It
-keeps the format: digits become digits, letters become letters of the same script and case, separators stay; cards
-keep their check digit right, addresses stay in range, names get a given name of the same gender and script. The normal
-form has no separators and no case; a name has two, of the family and of the given name in the family. Surrogates that
-two normal forms share, or that are normal forms of the corpus themselves, are drawn again until all are distinct.
+title). A surrogate is a keyed function (HMAC-SHA-256) of an entity's normal form, so one entity has one surrogate in
+all texts. It keeps the format: digits become digits, letters become letters of the same script and case, separators
+stay; cards keep their check digit right, an IBAN its country, length and valid check digits, a telephone its country
+code, addresses stay in range, names get a given name of the same gender and script. The normal form has no separators
+and no case; a name has two, of the family and of the given name in the family. Digits and letters are permuted within
+their shape, names are drawn. Surrogates that two normal forms share, or that are normal forms of the corpus
+themselves, are drawn again (redrawn() says what happens where a shape has no room).
 Nulls stay null; an empty text and a text without findings stay as they are; repeated rows are treated one by one; an
 empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +58,8 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z+])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}[ .-][0-9]{3,4}(?:[ .-]?[0-9]{2,4}){0,2}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9A-Za-z])",
+    # with a country code, an area code in brackets, or nine digits and more in groups that are not those of one large number; else 555-1234
+    "phone": r"(?<![0-9A-Za-z.-])(?:\+(?=(?:[ .()-]{0,2}[0-9]){8})[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|\+[0-9]{8,15}|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|(?![0-9]{1,3}(?:[ .][0-9]{3})+(?![0-9]|[ .-][0-9]))[0-9]{3,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4}|0[0-9]{2,4}[ /-][0-9]{5,8}|[0-9]{3}-[0-9]{4})(?![0-9A-Za-z]|-[0-9])",
     "name": rf"(?={_INITIAL})(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 _NUMERIC = "ip card ssn phone".split()
@@ -69,14 +74,27 @@ def kind(e: Column) -> Column:
     return out
 
 
-def _draw(key: str, e: Column, attempt: Column, i: Column | int, n: Column | int) -> Column:
-    """A keyed number from 0 to n - 1."""
-    i = F.lit(i) if isinstance(i, int) else i
-    return F.pmod(F.xxhash64(F.lit(key), e, attempt, i), F.lit(n) if isinstance(n, int) else n)
+def hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA-256 of a text, in hexadecimal digits."""
+    k = key.encode()
+    k = (hashlib.sha256(k).digest() if len(k) > 64 else k).ljust(64, b"\0")
+    inner = F.unhex(F.sha2(F.concat(F.lit(bytes(x ^ 0x36 for x in k)), message.cast("binary")), 256))
+    return F.sha2(F.concat(F.lit(bytes(x ^ 0x5C for x in k)), inner), 256)
+
+
+def _number(digits: Column, i: Column | int) -> Column:
+    """The i-th number below 65,536 of hexadecimal digits."""
+    return F.conv(F.substring(digits, F.lit(4) * i + 1, F.lit(4)), 16, 10).cast("int")
+
+
+def _draws(key: str, word: Column, attempt: Column, what: str) -> Column:
+    """Digits of which a word draws sixteen numbers."""
+    return hmac(key, F.concat_ws("|", F.lit(what), F.lower(word), attempt.cast("string")))
 
 
-def _letter(letters: str, at: Column) -> Column:
-    return F.substring(F.lit(letters), (at + 1).cast("int"), F.lit(1))
+def _bound(value: Column, f) -> Column:
+    """f(value), which is worked out once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def normal(e: Column) -> Column:
@@ -85,36 +103,94 @@ def normal(e: Column) -> Column:
     return F.when(k.isin("email", "ip"), F.lower(e)).when(k == "iban", F.regexp_replace(e, " ", "")).when(k == "ssn", e).otherwise(F.regexp_replace(e, "[^0-9+]", ""))
 
 
-def shaped(key: str, e: Column, attempt: Column, seed: Column, keep: Column | int = 0) -> Column:
-    """e with every letter and digit drawn anew, of the same script and case, but the first so many; separators do not count."""
+#: Calling codes of three digits and of one; all others have two.
+_CODE = r"^\+((?:2[1-689]|3[578]|42|5[09]|6[789]|8[0578]|9[679])[0-9]|[17]|[0-9]{2})"
+#: Rounds of the permutation.
+FEISTEL = 8
+
+
+def _symbols(k: Column, norm: Column) -> Column:
+    """The parts of a normal form as (c, r, v): text, how many values it may have (0: it stays), and which it has.
+
+    Stay: the last label of a mail's host, the country and check digits of an IBAN, a card's check digit, and a
+    telephone's country code. An address has four parts of 256 values.
+    """
+    parts = F.when(k == "ip", F.split(norm, r"\.")).otherwise(F.split(norm, ""))
+    first = F.when(k == "iban", 4).when(k == "phone", F.length(F.regexp_extract(norm, _CODE, 1)) + F.when(norm.startswith("+"), 1).otherwise(0)).otherwise(0)
+    last = F.when(k == "email", F.length(F.regexp_extract(norm, r"^(.*)\.", 1))).when(k == "card", F.length(norm) - 1).otherwise(F.length(norm))
 
     def one(c: Column, i: Column) -> Column:
-        at = F.length(F.regexp_replace(F.substring(e, F.lit(1), i), r"[^\p{L}0-9]", ""))
-        out = F.when(at < keep, c).when(c.rlike("[0-9]"), _draw(key, seed, attempt, at, 10).cast("string"))
+        radix, value = F.when(c.rlike("^[0-9]$"), 10), F.when(c.rlike("^[0-9]+$"), c.cast("int"))
         for letters, block in SCRIPTS.values():
-            low = _letter(letters, _draw(key, seed, attempt, at, len(letters)))
-            out = out.when(c.rlike(rf"^[\p{{Lu}}&&{block}]$"), F.upper(low)).when(c.rlike(rf"^[\p{{L}}&&{block}]$"), low)
-        return out.otherwise(c)
+            radix = radix.when(c.rlike(rf"^[\p{{L}}&&{block}]$"), len(letters))
+            at = F.instr(F.lit(letters), F.lower(c))
+            value = value.when(c.rlike(rf"^[\p{{L}}&&{block}]$"), F.when(at > 0, at - 1).otherwise(F.ascii(c) % len(letters)))
+        radix = F.when(k == "ip", 256).when((i < first) | (i >= last), 0).otherwise(F.coalesce(radix, F.lit(0)))
+        return F.struct(c.alias("c"), radix.alias("r"), F.coalesce(value, F.lit(0)).alias("v"))
+
+    return F.transform(parts, one)
+
+
+def permuted(key: str, k: Column, norm: Column, attempt: Column) -> Column:
+    """The surrogate's normal form: a keyed permutation of all normal forms of that shape, another for each attempt.
+
+    A Feistel network over the characters: in turn those at even and at odd places move on by numbers that the others
+    give, so unlike forms of one shape have unlike surrogates.
+    """
+
+    def turn(acc: Column, r: Column) -> Column:
+        moves = lambda s, i: (s["r"] > 0) & (i % 2 == r % 2)
+        others = F.array_join(F.transform(acc, lambda s, i: F.when(moves(s, i), F.lit("?")).when(s["r"] > 0, s["v"].cast("string")).otherwise(s["c"])), ",")
+        message = F.concat_ws("|", k, attempt.cast("string"), r.cast("string"), others)
+        digits = F.concat(hmac(key, F.concat(F.lit("0|"), message)), hmac(key, F.concat(F.lit("1|"), message)))
+
+        def moved(h: Column) -> Column:
+            step = lambda s, i: F.pmod(s["v"] + _number(h, F.floor(i / 2).cast("int") % 32), s["r"]).cast("int")
+            return F.transform(acc, lambda s, i: F.when(moves(s, i), F.struct(s["c"].alias("c"), s["r"].alias("r"), step(s, i).alias("v"))).otherwise(s))
+
+        return _bound(digits, moved)
+
+    def shown(s: Column) -> Column:
+        out = F.when(s["r"] == 0, s["c"]).when(s["r"].isin(10, 256), s["v"].cast("string"))
+        for letters, _ in SCRIPTS.values():
+            low = F.substring(F.lit(letters), s["v"] + 1, F.lit(1))
+            out = out.when(s["r"] == len(letters), F.when(s["c"].rlike(r"^\p{Lu}$"), F.upper(low)).otherwise(low))
+        return out
 
-    return F.array_join(F.transform(F.split(e, ""), one), "")
+    fresh = F.aggregate(F.sequence(F.lit(0), F.lit(FEISTEL - 1)), _symbols(k, norm), turn)
+    text = _bound(F.transform(fresh, shown), lambda x: F.when(k == "ip", F.array_join(x, ".")).otherwise(F.array_join(x, "")))
+    return _bound(text, lambda t: F.when(k == "card", _luhn(norm, t)).when(k == "iban", _checked(t)).otherwise(t))
 
 
-def _card(key: str, e: Column, attempt: Column) -> Column:
-    """Digits drawn anew; the last one makes the sum by Luhn's rule what it was modulo 10."""
-    digits = F.split(F.regexp_replace(e, "[^0-9]", ""), "")
+def _luhn(norm: Column, fresh: Column) -> Column:
+    """fresh with a last digit that makes the sum by Luhn's rule what it was modulo 10."""
 
-    def luhn(d: Column) -> Column:
-        back = F.transform(F.reverse(d), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.floor(c.cast("int") * 2 / 10).cast("int") + (c.cast("int") * 2) % 10))
+    def total(d: Column) -> Column:
+        back = F.transform(F.reverse(F.split(d, "")), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.floor(c.cast("int") * 2 / 10).cast("int") + (c.cast("int") * 2) % 10))
         return F.aggregate(back, F.lit(0), lambda a, x: a + x) % 10
 
-    fresh = shaped(key, e, attempt, normal(e))
-    drawn = F.split(F.regexp_replace(fresh, "[^0-9]", ""), "")
-    last = F.pmod(F.element_at(drawn, -1).cast("int") + luhn(digits) - luhn(drawn), F.lit(10))
+    last = F.pmod(F.substring(fresh, -1, 1).cast("int") + total(norm) - total(fresh), F.lit(10))
     return F.concat(F.substring(fresh, F.lit(1), F.length(fresh) - 1), last.cast("string"))
 
 
-def _ip(key: str, e: Column, attempt: Column) -> Column:
-    return F.concat_ws(".", *[(_draw(key, e, attempt, i, 223) + 1).cast("string") for i in range(4)])
+def _checked(iban: Column) -> Column:
+    """An IBAN with the check digits that its country and account ask for."""
+    account, country = F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 2)
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(F.split(F.concat(account, country, F.lit("00")), ""), F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
+    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), account)
+
+
+def formatted(e: Column, k: Column, fresh: Column) -> Column:
+    """A surrogate's normal form in the format of the entity: its separators and its case."""
+
+    def one(c: Column, i: Column) -> Column:
+        before = F.length(F.regexp_replace(F.substring(e, F.lit(1), i), r"[^A-Z0-9+]", ""))
+        at = F.when(k.isin("email", "ssn"), i).otherwise(before)
+        new = F.substring(fresh, at + 1, F.lit(1))
+        return F.when(k.isin("email", "ssn") | c.rlike(r"[A-Z0-9+]"), F.when(c.rlike(r"^\p{Lu}$"), F.upper(new)).otherwise(new)).otherwise(c)
+
+    return F.when(k == "ip", fresh).otherwise(F.array_join(F.transform(F.split(e, ""), one), ""))
 
 
 def _words(e: Column) -> tuple[Column, Column, Column]:
@@ -129,36 +205,31 @@ def _script(word: Column) -> Column:
 
 
 def _family(key: str, word: Column, attempt: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for s, parts in SYLLABLES.items():
-        of = F.array(*map(F.lit, parts))
-        made = F.concat(*[F.element_at(of, (_draw(key, F.lower(word), attempt, i, len(parts)) + 1).cast("int")) for i in range(2, 6)])
-        out = F.coalesce(out, F.when(_script(word) == s, F.concat(F.upper(F.substring(made, 1, 1)), F.substring(made, F.lit(2), F.length(made)))))
-    return out
-
+    """A family name of four syllables; drawn again, of one more each time."""
 
-def _given(key: str, word: Column, gender: Column, attempt: Column) -> Column:
-    """A given name; drawn again, a double one, of as many as it takes."""
-    out = F.lit(None).cast("string")
-    for (s, g), names in GIVEN.items():
-        of = F.array(*map(F.lit, names))
-        drawn = F.transform(F.sequence(F.lit(0), attempt), lambda i: F.element_at(of, (_draw(key, F.lower(word), attempt, i, len(names)) + 1).cast("int")))
-        out = F.coalesce(out, F.when((_script(word) == s) & (gender == g), F.array_join(drawn, "-")))
-    return out
+    def made(digits: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for script, parts in SYLLABLES.items():
+            of = F.array(*map(F.lit, parts))
+            text = F.array_join(F.transform(F.sequence(F.lit(0), attempt + 3), lambda i: F.element_at(of, _number(digits, i % 16) % len(parts) + 1)), "")
+            out = F.coalesce(out, F.when(_script(word) == script, F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))))
+        return out
 
+    return _bound(_draws(key, word, attempt, "family"), made)
 
-def _email(key: str, e: Column, attempt: Column) -> Column:
-    """Everything but the last label of the host is drawn anew."""
-    return F.concat(shaped(key, F.regexp_extract(e, r"^(.*)\.", 1), attempt, F.lower(e)), F.lit("."), F.element_at(F.split(e, r"\."), -1))
 
+def _given(key: str, word: Column, gender: Column, attempt: Column) -> Column:
+    """A given name; drawn again, a double one, of as many as it takes."""
 
-#: Calling codes of three digits and of one; all others have two.
-_CODE = r"^\+((?:2[1-689]|3[578]|42|5[09]|6[789]|8[0578]|9[679])[0-9]|[17]|[0-9]{2})"
-
+    def made(digits: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for (script, g), names in GIVEN.items():
+            of = F.array(*map(F.lit, names))
+            drawn = F.transform(F.sequence(F.lit(0), attempt), lambda i: F.element_at(of, _number(digits, i % 16) % len(names) + 1))
+            out = F.coalesce(out, F.when((_script(word) == script) & (gender == g), F.array_join(drawn, "-")))
+        return out
 
-def _phone(key: str, e: Column, attempt: Column) -> Column:
-    """The country's code stays."""
-    return shaped(key, e, attempt, normal(e), F.length(F.regexp_extract(normal(e), _CODE, 1)))
+    return _bound(_draws(key, word, attempt, "given"), made)
 
 
 def units(e: Column) -> Column:
@@ -175,19 +246,22 @@ def drawn_unit(key: str) -> Column:
     k, n, t = F.col("kind"), F.col("norm"), F.col("attempt")
     words = F.split(n, " ")
     given = F.concat_ws(" ", F.lower(_given(key, F.element_at(words, 1), F.col("gender"), t)), F.element_at(words, -1))
-    other = shaped(key, n, t, n)
-    phone = shaped(key, n, t, n, F.length(F.regexp_extract(n, _CODE, 1)))
-    return F.when(k == "family", F.lower(_family(key, n, t))).when(k == "given", given).when(k == "card", _card(key, n, t)).when(k == "ip", _ip(key, n, t)).when(k == "email", _email(key, n, t)).when(k == "phone", phone).otherwise(other)
+    return F.when(k == "family", F.lower(_family(key, n, t))).when(k == "given", given).otherwise(permuted(key, k, n, t))
 
 
 def surrogate(key: str, e: Column, attempts: Column) -> Column:
     """The replacement of an entity; attempts counts by unit how often it was drawn again."""
-    k, u = kind(e), units(e)
-    many = lambda i: F.coalesce(F.try_element_at(attempts, F.get(u, F.lit(i))), F.lit(0))
-    title, words, gender = _words(e)
-    family = _family(key, F.element_at(words, -1), many(0))
-    name = F.concat(title, F.when(F.size(words) > 1, F.concat(_given(key, F.element_at(words, 1), gender, many(1)), F.lit(" "), family)).otherwise(family))
-    return F.when(k == "card", _card(key, e, many(0))).when(k == "ip", _ip(key, e, many(0))).when(k == "name", name).when(k == "email", _email(key, e, many(0))).when(k == "phone", _phone(key, e, many(0))).otherwise(shaped(key, e, many(0), normal(e)))
+
+    def one(u: Column) -> Column:
+        many = lambda i: F.coalesce(F.try_element_at(attempts, F.get(u, F.lit(i))), F.lit(0))
+        k = F.element_at(u, 1)["kind"]
+        title, words, gender = _words(e)
+        family = _family(key, F.element_at(words, -1), many(0))
+        name = F.concat(title, F.when(F.size(words) > 1, F.concat(_given(key, F.element_at(words, 1), gender, many(1)), F.lit(" "), family)).otherwise(family))
+        fresh = _bound(permuted(key, k, F.element_at(u, 1)["norm"], many(0)), lambda n: formatted(e, k, n))
+        return F.when(k == "family", name).otherwise(fresh)
+
+    return _bound(units(e), one)
 
 
 def found(text: Column) -> Column:
@@ -196,21 +270,34 @@ def found(text: Column) -> Column:
     return F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
+#: Times that a shape's colliding surrogates are drawn again before the shape counts as full.
+REDRAWS = 6
+
+
 def redrawn(entities: DataFrame, key: str) -> DataFrame:
     """(unit, attempt) of the units of entities(entity) whose first surrogate is another's or is a unit itself.
 
-    Each round draws the colliding ones again, but the smallest of those that share one, and checks all of them.
+    Each round draws the colliding ones again, but the smallest of those that share one, and checks all of them. Names
+    get longer with each draw, so that ends. A shape of digits and letters that still has collisions after REDRAWS
+    rounds is full: too many of its values occur for all to get one that doesn't. Its units all keep their first
+    surrogates, which are distinct as those of a permutation, but may be values that another text really has.
     """
     unit = F.struct("kind", "norm", "gender")
     real = stored(entities.select(F.explode(units(F.col("entity"))).alias("u")).select("u.*").distinct())
-    known = stored(real.withColumn("attempt", F.lit(0)).withColumn("s", drawn_unit(key)))
-    on = ["kind", "gender", "s"]
+    shape = F.concat(F.col("kind"), F.lit(" "), F.regexp_replace(F.regexp_replace("norm", "[0-9]", "9"), r"\p{L}", "a"))
+    known = stored(real.withColumn("attempt", F.lit(0)).withColumn("s", drawn_unit(key)).withColumn("shape", F.when(~F.col("kind").isin("family", "given"), shape)))
+    on, full, rounds = ["kind", "gender", "s"], None, 0
     while True:
         shared = known.groupBy(*on).agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm")).alias("keep"))
         bad = shared.join(real.select("kind", "gender", F.col("norm").alias("s"), F.lit(True).alias("real")), on, "left").where("n > 1 or real")
         bad = stored(bad.select(*on, F.when(F.col("real").isNull(), F.col("keep.norm")).alias("spared")))
         if bad.isEmpty():
             return known.where("attempt > 0").select(unit.alias("unit"), "attempt")
+        if rounds == REDRAWS:
+            full = stored(known.join(bad, on, "left_semi").where("shape is not null").select("shape").distinct())
+            known = stored(known.join(full, "shape", "left_anti"))
+            bad = bad.where(F.col("kind").isin("family", "given"))
+        rounds += 1
         marked = known.join(bad, on).where("spared is null or spared <> norm").select("kind", "norm", "gender", F.lit(1).alias("more"))
         known = known.drop("s").join(marked, ["kind", "norm", "gender"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("more", F.lit(0))).drop("more")
         known = stored(known.withColumn("s", drawn_unit(key)))
@@ -219,12 +306,13 @@ def redrawn(entities: DataFrame, key: str) -> DataFrame:
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_entities, types) for docs(doc_id, text): types counts entities by type."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    mentions = stored(rows.select("doc_id", F.explode(F.array_distinct(found(F.col("text")))).alias("entity")))
+    same = F.struct(F.xxhash64("text").alias("x"), F.hash("text").alias("y"))  # a text's own key, whether it has a doc_id or not
+    mentions = stored(rows.select(same.alias("same"), F.explode(F.array_distinct(found(F.col("text")))).alias("entity")))
     again = stored(redrawn(mentions.select("entity").distinct(), key))
     # only texts with a unit that was drawn again need the list of those
-    within = mentions.select("doc_id", F.explode(units(F.col("entity"))).alias("unit"))
-    exact = stored(within.join(again, "unit").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("unit", "attempt"))).alias("attempts")))
-    out = rows.join(exact, "doc_id", "left").withColumn("e", found(F.col("text")))
+    within = mentions.select("same", F.explode(units(F.col("entity"))).alias("unit"))
+    exact = stored(within.join(again, "unit").groupBy("same").agg(F.map_from_entries(F.collect_set(F.struct("unit", "attempt"))).alias("attempts")))
+    out = rows.withColumn("same", same).join(exact, "same", "left").withColumn("e", found(F.col("text")))
     first = F.create_map().cast("map<struct<kind:string,norm:string,gender:string>,int>")
     attempts = F.coalesce("attempts", first)
     new = F.transform("e", lambda x: surrogate(key, x, attempts))
