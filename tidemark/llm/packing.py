@@ -28,30 +28,44 @@ SALT_ROWS = 50_000
 
 @cache
 def encoder(path: str):
-    """A function from text to ids for a tokenizers file; special tokens' strings are ordinary text.
+    """A function from text to ids for a tokenizers file, without the special tokens that a file adds around a text.
 
-    A byte-level BPE whose ids follow its merges is run by tiktoken, which gives the same ids sooner.
+    A special token's string within a text is that token, as in the library. A byte-level BPE whose ids follow its
+    merges is run by tiktoken, which gives the same ids sooner.
     """
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     plain = spec["model"].get("type", "BPE") == "BPE" and not spec.get("normalizer") and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space")
-    if plain:
+    added = spec.get("added_tokens", [])
+    if plain and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        import re
+
         import tiktoken
 
         # byte-level files write byte b as the character b where that prints, else as the next one from 256 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         char = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in added}
         vocab = {k: v for k, v in spec["model"]["vocab"].items() if k not in special}
         merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
         if merged == sorted(merged):
             ranks = {bytes(char[c] for c in k): v for k, v in vocab.items()}
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-            return tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            ordinary = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            if not special:
+                return ordinary
+            within = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
+
+            def encode(text: str) -> list[int]:
+                cut = within.split(text)
+                if len(cut) == 1:
+                    return ordinary(text)
+                return [i for k, part in enumerate(cut) for i in ([special[part]] if k % 2 else ordinary(part))]
+
+            return encode
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     return lambda text: tok.encode(text, add_special_tokens=False).ids
 
 
