@@ -18,7 +18,7 @@ def tokenizer() -> str:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    found = sharding.shard_documents(sharding.counted(table(spark, sf_dir, "documents"), tokenizer()), tokens=F.col("tokens"))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.packing import encoder
 from tidemark.llm.shared import parts, stored
 
 #: Groups with a larger share of the bytes, tokens or rows are split, into portions of about half that share.
@@ -31,8 +33,23 @@ def place(demand: np.ndarray, residual: np.ndarray, turn: int = 0) -> np.ndarray
     return out
 
 
+def counted(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """docs(doc_id, text) with tokens, how many ids a tokenizers file gives for the text."""
+
+    def run(batches):
+        encode = encoder(tokenizer)
+        for b in batches:
+            n = [len(encode(x.as_py() or "")) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=["doc_id", "text", "tokens"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, tokens long")
+
+
 def measured(docs: DataFrame, tokens=None) -> DataFrame:
-    """(doc_id, size, tokens, text_crc32, digest): size is the UTF-8 bytes of the text and 1."""
+    """(doc_id, size, tokens, text_crc32, digest): size is the UTF-8 bytes of the text and 1.
+
+    tokens is a column; without one, words count.
+    """
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     tokens = F.regexp_count(t, F.lit(r"\S+")) if tokens is None else tokens
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), tokens.cast("long").alias("tokens"), F.crc32(t.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(t.cast("binary"), 256)).alias("digest"))
