@@ -4,8 +4,9 @@ The pieces of a model file span a lattice over the text. For a unigram model the
 taken (ties: the longest last piece). For a BPE model a piece may follow another only if merging the two alone, best
 score first, leaves them as they are; then one path alone leads to each boundary, and it is what all the merges give.
 Only a window of the longest piece's length is kept besides the undecided part of the paths: as soon as all surviving
-back pointers meet in one boundary, the ids up to it are committed. Unknown characters become byte pieces where the
-model has them.
+back pointers meet in one boundary, the ids up to it are committed. All paths of all texts meet before spaces (and
+around line ends) if no piece has one inside; the windows between such boundaries are worked out one by one, and those
+of up to 64 characters are remembered. Unknown characters become byte pieces where the model has them.
 Nulls count as empty texts, which have no ids; repeated rows are encoded one by one; an empty table gives an empty
 result; other columns are ignored. A literal U+2581 in a text decodes to a space, as the format has it.
 """
@@ -20,79 +21,92 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPACE, CACHE = "▁", 500_000
+SPACE, CACHE = "▁", 250_000
 #: What stands before a text, and for a character that no piece has.
 START, UNKNOWN = -2, -1
 
 
 class StreamingViterbi:
-    """Takes characters one by one and gives out ids as they become certain."""
+    """Takes characters and gives out ids as they become certain.
+
+    From each boundary, as soon as so many characters after it are known as the longest piece has, the pieces that begin
+    there reach later boundaries. What is kept are the boundaries that a later piece may still begin at, and those that
+    their back pointers lead to before all of them meet in one.
+    """
 
     def __init__(self, model: Model) -> None:
         self.model, self.longest = model, model.longest
-        self.base, self.text = 0, ""  # the first boundary that is kept, and the characters from it on
+        self.base, self.text, self.done = 0, "", 0  # the first boundary that is kept, the characters from it on, and how many are dealt with
         self.best: list[float] = [0.0]
-        self.back: list[int] = [-1]
+        self.back: list[int] = [0]
         self.id: list[int] = [START]
 
-    def _close(self, end: int) -> None:
-        """Finds the best piece that ends at the boundary end."""
-        top, frm, idx, m = float("-inf"), -1, UNKNOWN, self.model
-        at = end - self.base
-        for start in range(max(0, at - self.longest), at):
-            hit = m.pieces.get(self.text[start:at])
-            if hit is None:
-                if start < at - 1:
-                    continue
-                hit = (m.unknown, UNKNOWN)
-            if m.merges:
-                if m.follows(self.id[start], hit[1]):
-                    top, frm, idx = 0.0, start + self.base, hit[1]
-                    break
-            elif self.best[start] + hit[0] > top:
-                top, frm, idx = self.best[start] + hit[0], start + self.base, hit[1]
-        self.best.append(top)
-        self.back.append(frm)
-        self.id.append(idx)
-
-    def _path(self, start: int, end: int) -> list[tuple[int, str]]:
+    def _reach(self, end: int) -> None:
+        """Lets pieces begin at all boundaries before end (counted from base)."""
+        m, text, n, merges = self.model, self.text, len(self.text), self.model.merges
+        best, back, idx, trie, follows = self.best, self.back, self.id, self.model.trie, self.model.follows
+        none = float("-inf")
+        if len(best) <= n:
+            more = n + 1 - len(best)
+            best += [none] * more
+            back += [0] * more
+            idx += [UNKNOWN] * more
+        for i in range(self.done, end):
+            base, last, node, j, single = best[i], idx[i], trie, i, False
+            if base == none:
+                continue  # no path leads here
+            while j < n and (node := node.get(text[j])) is not None:
+                j += 1
+                if (hit := node.get("")) is not None:
+                    single |= j == i + 1
+                    if merges:
+                        if best[j] < 0 and follows(last, hit[1]):
+                            best[j], back[j], idx[j] = 0.0, i, hit[1]
+                    elif base + hit[0] > best[j]:
+                        best[j], back[j], idx[j] = base + hit[0], i, hit[1]
+            if not single:
+                value = 0.0 if merges else base + m.unknown
+                if value > best[i + 1]:
+                    best[i + 1], back[i + 1], idx[i + 1] = value, i, UNKNOWN
+        self.done = max(self.done, end)
+
+    def _path(self, end: int) -> list[tuple[int, str]]:
         out = []
-        while end > start:
-            frm = self.back[end - self.base]
-            out.append((self.id[end - self.base], self.text[frm - self.base : end - self.base]))
-            end = frm
+        while end:
+            out.append((self.id[end], self.text[self.back[end] : end]))
+            end = self.back[end]
         return out[::-1]
 
     def feed(self, text: str) -> list[tuple[int, str]]:
         """(id or -1, surface) of what becomes certain with these characters."""
         out: list[tuple[int, str]] = []
-        for ch in text:
-            self.text += ch
-            self._close(self.base + len(self.text))
-            if len(self.text) >= 2 * self.longest and len(self.text) % self.longest == 0:
+        for at in range(0, len(text), self.longest):
+            self.text += text[at : at + self.longest]
+            end = len(self.text) - self.longest
+            if end > self.done:
+                self._reach(end)
                 out += self._commit()
         return out
 
     def _commit(self) -> list[tuple[int, str]]:
-        end = self.base + len(self.text)
-        alive = set(range(max(self.base, end - self.longest + 1), end + 1))  # where a later piece may begin
+        """Gives out the path to the one boundary where all surviving back pointers meet, if it is not the first."""
+        none = float("-inf")
+        alive = {i for i in range(self.done, len(self.best)) if self.best[i] > none}
         while len(alive) > 1:
-            alive.add(self.back[(last := max(alive)) - self.base])
-            alive.discard(last)
-            if -1 in alive:
-                return []
+            alive.discard(last := max(alive))
+            alive.add(self.back[last])
         (meet,) = alive
-        done = self._path(self.base, meet)
-        if done:
-            cut = meet - self.base
-            shift = self.best[cut]
-            self.text, self.base = self.text[cut:], meet
-            self.best = [x - shift for x in self.best[cut:]]
-            self.back, self.id = self.back[cut:], self.id[cut:]
-        return done
+        if not meet:
+            return []
+        found, shift = self._path(meet), self.best[meet]
+        self.text, self.base, self.done = self.text[meet:], self.base + meet, max(0, self.done - meet)
+        self.best = [x - shift for x in self.best[meet:]]
+        self.back, self.id = [max(0, x - meet) for x in self.back[meet:]], self.id[meet:]
+        return found
 
     def finish(self) -> list[tuple[int, str]]:
-        return self._path(self.base, self.base + len(self.text))
+        self._reach(len(self.text))
+        return self._path(len(self.text))
 
 
 def model_type(path: str) -> int:
@@ -171,37 +185,13 @@ class Model:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def short(self, text: str) -> list[int]:
-        """The same path for a short text between two boundaries where all paths meet, found at once."""
-        n, merges = len(text), self.merges
-        best, back, idx = [float("-inf")] * (n + 1), [0] * (n + 1), [UNKNOWN] * (n + 1)
-        best[0], idx[0] = 0.0, START
-        for i in range(n):
-            base, last, node, j, single = best[i], idx[i], self.trie, i, False
-            while j < n and (node := node.get(text[j])) is not None:
-                j += 1
-                if (hit := node.get("")) is not None:
-                    single |= j == i + 1
-                    if merges:
-                        if best[j] < 0 and self.follows(last, hit[1]):
-                            best[j], back[j], idx[j] = 0.0, i, hit[1]
-                    elif base + hit[0] > best[j]:
-                        best[j], back[j], idx[j] = base + hit[0], i, hit[1]
-            if not single:
-                value = 0.0 if merges else base + self.unknown
-                if value > best[i + 1]:
-                    best[i + 1], back[i + 1], idx[i + 1] = value, i, UNKNOWN
-        found = []
-        while n:
-            found.append((idx[n], text[back[n] : n]))
-            n = back[n]
-        return self._ids(found[::-1])
-
     def stream(self, text: str) -> list[int]:
         v = StreamingViterbi(self)
         ids: list[int] = []
-        for at in range(0, len(text), 4096):
-            ids += self._ids(v.feed(text[at : at + 4096]))
+        if len(text) > 2 * self.longest:
+            ids += self._ids(v.feed(text))
+        else:  # no more than the window
+            v.text = text
         return ids + self._ids(v.finish())
 
     def _ids(self, found: list[tuple[int, str]]) -> list[int]:
@@ -224,7 +214,7 @@ class Model:
         for part in self.split.findall(text):
             ids = known.get(part)
             if ids is None:
-                ids = self.short(part) if len(part) <= 64 else self.stream(part)
+                ids = self.stream(part)
                 if len(part) <= 64:
                     if len(known) >= CACHE:
                         known.clear()
