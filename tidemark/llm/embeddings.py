@@ -2,7 +2,8 @@
 
 Vectors compare within one label and dimension. Equal vectors collapse into one representative with a count first.
 Representatives of a label are dealt to shards of bounded size; each shard gets a layered graph. Every shard is
-queried with the representatives of every shard up to its own number, so that each pair has one place. A beam widens
+queried with the representatives of every shard up to its own number, so that each pair has one place; a copy of its
+graph meets the queries of several shards, one after another. A beam widens
 for a query while all it holds are links, in the end to the whole shard, and for all queries of a task while an audit against brute force over the
 shard finds less than the recall asked for. Links are verified by cosine in double precision and united.
 Vectors that are null, zero or hold null or non-finite components, and rows without a label, link with nothing.
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import components, forest, stored
 
 SHARD, LINKS, BUILD_BEAM, BATCH = 8192, 12, 48, 256
+#: Shards of queries that meet one copy of a graph.
+BLOCK = 8
 #: The beam from which on a query that finds nothing but links has the whole shard as its beam.
 WIDEST = 128
 
@@ -218,26 +221,30 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = SHARD)
 
     kind = vectors.schema["label"].dataType.simpleString()
     graphs = stored(dealt.groupBy("label", "dim", "shard").applyInPandas(build, f"label {kind}, dim int, shards int, shard int, graph binary"))
-    asked = graphs.select("label", "dim", "shard", F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("chunk"), "graph")
-    queries = dealt.select("label", "dim", F.explode(F.sequence(F.col("shard"), F.col("shards") - 1)).alias("at"), F.col("shard").alias("chunk"), "rep", "n", "v").withColumnRenamed("at", "shard")
+    asked = graphs.select("label", "dim", "shard", F.explode(F.sequence(F.lit(0), F.floor(F.col("shard") / BLOCK).cast("int"))).alias("block"), "graph")
+    queries = dealt.select("label", "dim", F.explode(F.sequence(F.col("shard"), F.col("shards") - 1)).alias("at"), F.floor(F.col("shard") / BLOCK).cast("int").alias("block"), F.col("shard").alias("own"), "rep", "n", "v").withColumnRenamed("at", "shard")
 
     def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"kind": np.zeros(0, int), "a": np.zeros(0, int), "b": np.zeros(0, int)})
+        out = [pd.DataFrame({"kind": np.zeros(0, int), "a": np.zeros(0, int), "b": np.zeros(0, int)})]
         if not len(left) or not len(right):
-            return empty
+            return out[0]
         graph, x, rep, n = pickle.loads(left.graph[0])
-        same = int(left["shard"][0]) == int(left.chunk[0])
-        if same:
-            q, qrep, qn = x, rep, n
-        else:
-            right = right.sort_values("rep", ignore_index=True)
-            q, qrep, qn = unit(np.stack(right.v.to_numpy())), right.rep.to_numpy(), right.n.to_numpy()
-        a, b = pairs(graph, x, q, least, same)
-        cq, cx = np.bincount(a, n[b], len(q)).astype(int), np.bincount(b, qn[a], len(x)).astype(int)
-        fa, fb = forest(qrep[a], rep[b])
-        return pd.DataFrame({"kind": np.repeat([0, 0, 1], [len(q), len(x), len(fa)]), "a": np.concatenate([qrep, rep, fa]), "b": np.concatenate([cq, cx, fb])})
-
-    by = ["label", "dim", "shard", "chunk"]
+        others, trees = np.zeros(len(x), np.int64), []
+        for own, some in right.groupby("own"):
+            same = int(own) == int(left["shard"][0])
+            if same:
+                q, qrep, qn = x, rep, n
+            else:
+                some = some.sort_values("rep", ignore_index=True)
+                q, qrep, qn = unit(np.stack(some.v.to_numpy())), some.rep.to_numpy(), some.n.to_numpy()
+            a, b = pairs(graph, x, q, least, same)
+            others += np.bincount(b, qn[a], len(x)).astype(np.int64)
+            out.append(pd.DataFrame({"kind": 0, "a": qrep, "b": np.bincount(a, n[b], len(q)).astype(np.int64)}))
+            trees.append(forest(qrep[a], rep[b]))
+        fa, fb = forest(np.concatenate([t[0] for t in trees]), np.concatenate([t[1] for t in trees]))
+        return pd.concat([*out, pd.DataFrame({"kind": 0, "a": rep, "b": others}), pd.DataFrame({"kind": 1, "a": fa, "b": fb})])
+
+    by = ["label", "dim", "shard", "block"]
     found = stored(asked.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(ask, "kind int, a long, b long"))
     counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))
     joined = components(found.where("kind = 1").select("a", "b")).toDF("rep", "component")
@@ -245,4 +252,4 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = SHARD)
     classes = stored(classes.select("label", "dim", "v", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")))
     good = rows.where("not bad").join(classes, ["label", "dim", "v"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     out = good.union(rows.where("bad").select("vec_id", F.lit(0).cast("long"), "vec_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
