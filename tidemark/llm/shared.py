@@ -11,15 +11,23 @@ from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 _written: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
+
+
+#: So that Python workers find the package from any folder, and give back the memory of large arrays that are done with.
+WORKERS = {"PYTHONPATH": ROOT, "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "8388608", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)  # so that workers find the package from any folder
+    for key, value in WORKERS.items():
+        spark.sparkContext.environment.setdefault(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,6 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share; a local one only where the session names none (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -38,6 +48,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def _remove() -> None:
+    for spark, name in _tables:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # the JVM has gone already
+            return
     for spark, path in _written:
         try:
             _delete(spark, path)
@@ -75,6 +90,17 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     release(spark)
 
 
+def slices(batches, size: int, column: int = 1):
+    """Record batches cut so that the strings of a column have so many bytes at most, unless one alone has more."""
+    for b in batches:
+        texts, at, held = b.column(column), 0, 0
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy(zero_copy_only=False)
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, held + size, side="right")))
+            yield b.slice(at, end - at)
+            at, held = end, int(ends[end - 1])
+
+
 def parts(rows: int, each: int, least: int = 1) -> int:
     """Partitions for so many rows; grows with the input without a cap."""
     return max(least, -(-max(rows, 0) // each))
@@ -154,4 +180,5 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}"
     df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(name)
     _written.append((spark, path))
+    _tables.append((spark, name))
     return spark.table(name)

@@ -23,13 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import components, parts, release, scratch, stored
+from tidemark.llm.shared import components, parts, release, scratch, slices, stored
 from tidemark.llm.simhash import links
 
 #: Texts of the sample that tells common shingles, how often a common one is in it, and from when on it is a hot one.
 SAMPLE, COMMON, HOT = 20_000, 3, 200
 #: Entries of a group of keys; texts from which on a key first proposes one partner; bytes of text taken at once.
-ENTRIES, MANY, CHUNK = 1_500_000, 16, 4_000_000
+ENTRIES, MANY, CHUNK = 1_000_000, 16, 3_000_000
 #: Candidate pairs that a task hands on at once.
 BLOCK = 500_000
 
@@ -65,15 +65,9 @@ def sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batches):
-    """(ids, texts) of some rows at a time, of bounded bytes unless one text is longer."""
-    for b in batches:
-        ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
-        at, size = 0, 0
-        for k in range(len(ids)):
-            size += len(texts[k].as_buffer()) if texts[k].is_valid else 0
-            if size >= CHUNK or k + 1 == len(ids):
-                yield ids[at : k + 1], texts.slice(at, k + 1 - at).to_pylist()
-                at, size = k + 1, 0
+    """(ids, texts) of some rows at a time."""
+    for b in slices(batches, CHUNK):
+        yield b.column(0).to_numpy(), b.column(1).to_pylist()
 
 
 def bitmaps(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

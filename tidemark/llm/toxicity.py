@@ -20,9 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import slices
+
 #: Labelled documents of each kind that the model is fitted on, at most.
 SAMPLE = 1500
-BITS, CHAIN, CACHE, WIDTH = 20, 64, 400_000, 10
+BITS, CHAIN, CACHE, WIDTH = 20, 64, 150_000, 10
+#: Bytes of text that are scored at once.
+TOGETHER = 1_000_000
 TOKEN = re.compile(r"\w+|[.!?\n]+")
 
 
@@ -143,13 +147,20 @@ def sums(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.stack([top, np.log1p(np.bincount(doc, p, n)), np.ones(n)], 1)
 
 
+def lowered(text: str | None) -> str:
+    """A text in lower case with as many characters, so that places in it are places in the text."""
+    text = text or ""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Model:
     """The model of labelled whole texts."""
     model = Model()
     if not len(texts) or toxic.all() or not toxic.any():
         return model
     words = Words()
-    c = chains([words.number(TOKEN.findall((t or "").lower())) for t in texts])
+    c = chains([words.number(TOKEN.findall(lowered(t))) for t in texts])
     rows = words.rows()
     words.of.clear()
     n, y = len(texts), toxic.astype(bool)
@@ -202,6 +213,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = [label.where(F.col("toxic") == k).groupBy("doc_id", "toxic").count().orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "toxic").limit(sample) for k in (0, 1)]
     ids = chosen[0].union(chosen[1])
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    found = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one text where rows repeat a doc_id
     rows = sorted((r.doc_id, r.toxic, r.text or "") for r in found.toLocalIterator())
     toxic = np.array([r[1] for r in rows], int)
     model = fit([r[2] for r in rows], toxic)
@@ -224,30 +236,28 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     def run(batches):
         m, words = shared.value, Words()
         table = np.zeros((1, 3))
-        for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                if words.n > CACHE:
-                    words, table = Words(), np.zeros((1, 3))
-                texts = [(x.as_py() or "").lower() for x in part.column(1)]
-                c = chains([words.number(TOKEN.findall(t)) for t in texts])
-                if words.n > len(table):
-                    f = words.rows(len(table))
-                    table = np.concatenate([table, np.stack([m.own[f].sum(1), m.near[0][f[:, 0]], m.near[1][f[:, 0]]], 1)])
-                p, _ = marginals(c, unary(c, *table.T), m.moves, m.start)
-                out = 1 / (1 + np.exp(-sums(p, c.doc, len(texts)) @ m.curve)) if m.curve is not None else np.zeros(len(texts))
-                found: list[list[dict]] = [[] for _ in texts]
-                hit = np.flatnonzero(p >= least) if m.curve is not None else []
-                places: dict[int, list] = {}
-                for i in hit:
-                    d, t = int(c.doc[i]), int(c.token[i])
-                    if d not in places:
-                        places = {d: [x.span() for x in TOKEN.finditer(texts[d])]}
-                    s, e = places[d][t]
-                    if found[d] and i and p[i - 1] >= least and c.doc[i - 1] == d and not c.first[i]:
-                        found[d][-1]["end"] = e
-                    else:
-                        found[d].append({"start": s, "end": e})
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out), pa.array(found, spans)], schema=schema)
+        for part in slices(batches, TOGETHER):
+            if words.n > CACHE:
+                words, table = Words(), np.zeros((1, 3))
+            texts = [lowered(x.as_py()) for x in part.column(1)]
+            c = chains([words.number(TOKEN.findall(t)) for t in texts])
+            if words.n > len(table):
+                f = words.rows(len(table))
+                table = np.concatenate([table, np.stack([m.own[f].sum(1), m.near[0][f[:, 0]], m.near[1][f[:, 0]]], 1)])
+            p, _ = marginals(c, unary(c, *table.T), m.moves, m.start)
+            out = 1 / (1 + np.exp(-sums(p, c.doc, len(texts)) @ m.curve)) if m.curve is not None else np.zeros(len(texts))
+            found: list[list[dict]] = [[] for _ in texts]
+            hit = np.flatnonzero(p >= least) if m.curve is not None else []
+            places: dict[int, list] = {}
+            for i in hit:
+                d, t = int(c.doc[i]), int(c.token[i])
+                if d not in places:
+                    places = {d: [x.span() for x in TOKEN.finditer(texts[d])]}
+                s, e = places[d][t]
+                if found[d] and i and p[i - 1] >= least and c.doc[i - 1] == d and not c.first[i]:
+                    found[d][-1]["end"] = e
+                else:
+                    found[d].append({"start": s, "end": e})
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out), pa.array(found, spans)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")
