@@ -14,6 +14,7 @@ result; other columns are ignored. A literal U+2581 in a text decodes to a space
 from __future__ import annotations
 
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 SPACE, CACHE = "▁", 250_000
 #: What stands before a text, and for a character that no piece has.
 START, UNKNOWN = -2, -1
+NONE = float("-inf")
 
 
 class StreamingViterbi:
@@ -34,6 +36,8 @@ class StreamingViterbi:
     their back pointers lead to before all of them meet in one.
     """
 
+    __slots__ = ("back", "base", "best", "done", "id", "longest", "model", "text")
+
     def __init__(self, model: Model) -> None:
         self.model, self.longest = model, model.longest
         self.base, self.text, self.done = 0, "", 0  # the first boundary that is kept, the characters from it on, and how many are dealt with
@@ -43,9 +47,8 @@ class StreamingViterbi:
 
     def _reach(self, end: int) -> None:
         """Lets pieces begin at all boundaries before end (counted from base)."""
-        m, text, n, merges = self.model, self.text, len(self.text), self.model.merges
-        best, back, idx, trie, follows = self.best, self.back, self.id, self.model.trie, self.model.follows
-        none = float("-inf")
+        m, text, n = self.model, self.text, len(self.text)
+        best, back, idx, trie, merges, pairs, none = self.best, self.back, self.id, m.trie, m.merges, m.pairs, NONE
         if len(best) <= n:
             more = n + 1 - len(best)
             best += [none] * more
@@ -57,13 +60,19 @@ class StreamingViterbi:
                 continue  # no path leads here
             while j < n and (node := node.get(text[j])) is not None:
                 j += 1
-                if (hit := node.get("")) is not None:
-                    single |= j == i + 1
+                if "" in node:
+                    score, piece = node[""]
+                    if j == i + 1:
+                        single = True
                     if merges:
-                        if best[j] < 0 and follows(last, hit[1]):
-                            best[j], back[j], idx[j] = 0.0, i, hit[1]
-                    elif base + hit[0] > best[j]:
-                        best[j], back[j], idx[j] = base + hit[0], i, hit[1]
+                        if best[j] < 0:
+                            ok = last < 0 or pairs.get(last << 32 | piece)
+                            if ok is None:
+                                ok = m.follows(last, piece)
+                            if ok:
+                                best[j], back[j], idx[j] = 0.0, i, piece
+                    elif base + score > best[j]:
+                        best[j], back[j], idx[j] = base + score, i, piece
             if not single:
                 value = 0.0 if merges else base + m.unknown
                 if value > best[i + 1]:
@@ -90,7 +99,7 @@ class StreamingViterbi:
 
     def _commit(self) -> list[tuple[int, str]]:
         """Gives out the path to the one boundary where all surviving back pointers meet, if it is not the first."""
-        none = float("-inf")
+        none = NONE
         alive = {i for i in range(self.done, len(self.best)) if self.best[i] > none}
         while len(alive) > 1:
             alive.discard(last := max(alive))
@@ -128,7 +137,7 @@ class Model:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.merges = model_type(path) == 2
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.surface = [sp.id_to_piece(i) for i in range(n)]
         self.pieces: dict[str, tuple[float, int] | None] = {}
         self.bytes: dict[int, int] = {}
@@ -152,7 +161,8 @@ class Model:
         spaced = all(SPACE not in p.lstrip(SPACE) for p in self.pieces)
         lines = all("\n" not in p or p == "\n" for p in self.pieces)
         self.split = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n" if lines else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if spaced else None
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
         self.trie: dict = {}
         for piece, hit in self.pieces.items():
@@ -165,11 +175,11 @@ class Model:
         """Whether a piece of a BPE model may stand after another."""
         if left < 0 or right < 0:
             return True
-        ok = self.pairs.get((left, right))
+        ok = self.pairs.get(left << 32 | right)
         if ok is None:
-            if len(self.pairs) >= 4 * CACHE:
+            if len(self.pairs) >= 3 * CACHE:
                 self.pairs.clear()
-            ok = self.pairs[left, right] = self.merged(self.surface[left] + self.surface[right]) == [self.surface[left], self.surface[right]]
+            ok = self.pairs[left << 32 | right] = self.merged(self.surface[left] + self.surface[right]) == [self.surface[left], self.surface[right]]
         return ok
 
     def merged(self, text: str) -> list[str]:
@@ -204,23 +214,32 @@ class Model:
                 out += [self.bytes[b] for b in raw] if all(b in self.bytes for b in raw) else [self.unk]
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
+        """The ids of a window between two boundaries where all paths meet; short ones are remembered.
+
+        What was not asked for since the memory was last full is forgotten when it is full again.
+        """
+        ids = self.older.get(part)
+        if ids is None:
+            ids = array("I", self.stream(part)).tobytes()
+        if len(part) <= 64:
+            if len(self.known) >= CACHE:
+                self.known, self.older = {}, self.known
+            self.known[part] = ids
+        return ids
+
+    def coded(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
-            return []
+            return b""
         text = SPACE + text.replace(" ", SPACE)
         if self.split is None:
-            return self.stream(text)
-        known, out = self.known, []
-        for part in self.split.findall(text):
-            ids = known.get(part)
-            if ids is None:
-                ids = self.stream(part)
-                if len(part) <= 64:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[part] = ids
-            out += ids
-        return out
+            return np.array(self.stream(text), "<u4").tobytes()
+        known, part = self.known.get, self._part
+        return b"".join([known(p) or part(p) for p in self.split.findall(text)])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.coded(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.out[i] for i in ids]).decode("utf-8", "replace")
@@ -238,7 +257,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         m = model(path)
         for b in batches:
-            ids = [np.array(m.encode(x.as_py() or ""), "<u4").tobytes() for x in b.column(1)]
+            ids = [m.coded(x.as_py() or "") for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
