@@ -27,9 +27,7 @@ def frame(spark, rows):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_gaps_equal_the_fold(spark, seed):
     rows = recording(seed)
-    ia = cadence.interarrival(frame(spark, rows))
-    pos = cadence.positive(ia, ROBOT)
-    found = gaps.gaps(gaps.candidates(cadence.with_period(pos, cadence.learned(pos, ROBOT)), ROBOT), ROBOT)
+    found = gaps.gaps(gaps.candidates(cadence.timed(frame(spark, rows), ROBOT)[0], ROBOT), ROBOT)
     got = {(r.topic, round(r.t_start, 5), round(r.t_end, 5)) for r in found.collect()}
     want = set()
     t0 = rows[0][1] // 1000

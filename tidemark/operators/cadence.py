@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import ROBOT, Config
 from tidemark.sources.events import KEYS
+from tidemark.sources.tables import kept
 
 ORDER = ("us", "seq")
 
@@ -45,26 +46,35 @@ def mode(ia: DataFrame, c: Config = ROBOT) -> DataFrame:
     return best.select(*KEYS, F.col("b.bin").alias("bin"), (-F.col("b.neg")).alias("n"), centre(F.col("b.bin"), c).alias("mode_s"))
 
 
+def warmed(ia: DataFrame, c: Config = ROBOT) -> DataFrame:
+    """Adds warm_n, the number of the arrival at which the topic is warm, to all its rows; null where it never is."""
+    warm = (F.col("dt") > 0) & (F.col("n") >= c.warm_messages) & (F.col("t") - F.col("first_t") >= c.warm_seconds)
+    return ia.withColumn("warm_n", F.min(F.when(warm, F.col("n"))).over(Window.partitionBy(*KEYS)))
+
+
 def positive(ia: DataFrame, c: Config = ROBOT) -> DataFrame:
-    """Rows with dt > 0: pr numbers them, run_mode is the mode so far, run_median the median of the last five."""
+    """Rows with dt > 0: pr numbers them, run_mode is the mode so far, run_median the median of the first five at most."""
     w = per_topic()
     counted = ia.where("dt > 0").withColumn("pr", F.row_number().over(w).cast("long")).withColumn("bin", log_bin(F.col("dt"), c))
     counted = counted.withColumn("_c", F.count("*").over(Window.partitionBy(*KEYS, "bin").orderBy(*ORDER)))
     counted = counted.withColumn("_m", F.max("_c").over(w))
     same = Window.partitionBy(*KEYS, "_m").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     counted = counted.withColumn("mode_bin", F.min(F.when(F.col("_c") == F.col("_m"), F.col("bin"))).over(same))
-    return counted.withColumn("run_mode", centre(F.col("mode_bin"), c)).withColumn("run_median", F.expr("percentile(dt, 0.5)").over(w.rowsBetween(-4, 0))).drop("_c", "_m")
+    few = F.array_sort(F.array_compact(F.array(*[F.lag("dt", k).over(w) if k else F.col("dt") for k in range(4)])))
+    half = F.size(few) / 2
+    median = (F.element_at(few, F.floor(half + 0.5).cast("int")) + F.element_at(few, F.floor(half + 1).cast("int"))) / 2
+    return counted.withColumn("run_mode", centre(F.col("mode_bin"), c)).withColumn("run_median", F.when(F.col("pr") < 5, median)).drop("_c", "_m")
 
 
 def learned(pos: DataFrame, c: Config = ROBOT) -> DataFrame:
-    """(keys, warm_n, period, period_cv) of topics that are warm."""
-    warm = pos.where((F.col("n") >= c.warm_messages) & (F.col("t") - F.col("first_t") >= c.warm_seconds)).groupBy(*KEYS).agg(F.min("n").alias("warm_n"))
-    ring = pos.join(warm, list(KEYS)).where("n <= warm_n")
+    """(keys, warm_n, period, period_cv) of topics that are warm, from positive rows that have warm_n."""
+    ring = pos.where("n <= warm_n")
     ring = ring.withColumn("_r", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("pr")))).where(F.col("_r") <= c.ring)
     at = ring.groupBy(*KEYS, "warm_n").agg(F.max_by("run_mode", "pr").alias("mode_s"), F.collect_list("dt").alias("dts"))
     median = lambda x: F.when(F.size(x) > 0, (F.element_at(F.array_sort(x), F.floor((F.size(x) + 1) / 2).cast("int")) + F.element_at(F.array_sort(x), F.floor(F.size(x) / 2 + 1).cast("int"))) / 2)
-    at = at.withColumn("o1", F.coalesce(median(F.filter("dts", lambda d: (d >= 0.5 * F.col("mode_s")) & (d <= 1.5 * F.col("mode_s")))), F.col("mode_s")))
-    at = at.withColumn("narrow", F.filter("dts", lambda d: F.abs(d - F.col("o1")) < c.refine * F.col("o1")))
+    at = at.withColumn("wide", F.filter("dts", lambda d: (d > 0.5 * F.col("mode_s")) & (d < 1.5 * F.col("mode_s"))))
+    at = at.withColumn("o1", F.coalesce(median(F.col("wide")), F.col("mode_s")))
+    at = at.withColumn("narrow", F.filter("wide", lambda d: F.abs(d - F.col("o1")) < c.refine * F.col("o1")))
     at = at.withColumn("period", F.coalesce(median(F.col("narrow")), F.col("o1")))
     k = F.size("narrow")
     mean = F.aggregate("narrow", F.lit(0.0), lambda a, x: a + x) / k
@@ -72,11 +82,22 @@ def learned(pos: DataFrame, c: Config = ROBOT) -> DataFrame:
     return at.select(*KEYS, "warm_n", "period", F.when(k > 2, sd / mean).otherwise(F.lit(0.02)).alias("period_cv"))
 
 
-def with_period(pos: DataFrame, periods: DataFrame) -> DataFrame:
-    """Adds period as it stood at each arrival: learned once warm, else the running mode, else the running median."""
-    known = periods.select(*KEYS, "warm_n", F.col("period").alias("_p"))
-    out = pos.join(known, list(KEYS), "left")
-    return out.withColumn("period", F.when(F.col("n") >= F.col("warm_n"), F.col("_p")).when(F.col("pr") >= 5, F.col("run_mode")).otherwise(F.col("run_median"))).drop("_p")
+def timed_of(ia: DataFrame, c: Config = ROBOT) -> tuple[DataFrame, DataFrame]:
+    """timed() of rows that warmed() has made."""
+    early = positive(ia.where("warm_n is null or n <= warm_n"), c)
+    periods = kept(learned(early, c))
+    late = ia.where("dt > 0 and n >= warm_n").join(periods.select(*KEYS, "period"), list(KEYS))
+    early = early.where("warm_n is null or n < warm_n").withColumn("period", F.when(F.col("pr") >= 5, F.col("run_mode")).otherwise(F.col("run_median")))
+    return late.unionByName(early.select(*late.columns)), periods
+
+
+def timed(arrivals: DataFrame, c: Config = ROBOT) -> tuple[DataFrame, DataFrame]:
+    """Rows with dt > 0 and their period as it stood, and the learned periods (a row for each topic, kept).
+
+    The period is the learned one once a topic is warm, else the running mode, else the running median. Running modes
+    are worked out for the beginnings of topics only, which are short: rows after them take one sort by topic.
+    """
+    return timed_of(warmed(interarrival(arrivals), c), c)
 
 
 def declared_period(observed: Column, declared: Column) -> Column:

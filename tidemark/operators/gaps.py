@@ -41,11 +41,22 @@ def longest(found: DataFrame, n: int) -> DataFrame:
 
 
 def jitter_cv(timed: DataFrame, c: Config = ROBOT) -> DataFrame:
-    """Arrivals with dt of five periods at most, and cv of the last window of them with its size."""
+    """Arrivals with dt of five periods at most, and cv of the last window of them with its size.
+
+    Sums run over the whole topic and those before the window are taken off, so a row costs the same for any window;
+    values count from the topic's first one, which keeps the differences exact enough.
+    """
     ok = timed.where(F.col("period").isNull() | (F.col("dt") <= 5 * F.col("period")))
-    w = per_topic().rowsBetween(-(c.jitter_window - 1), 0)
-    ok = ok.withColumn("win_n", F.count("dt").over(w)).withColumn("_m", F.avg("dt").over(w)).withColumn("_s", F.stddev_samp("dt").over(w))
-    return ok.withColumn("cv", F.when(F.col("_m") > 0, F.coalesce("_s", F.lit(0.0)) / F.col("_m")).otherwise(0.0)).drop("_m", "_s")
+    w = per_topic()
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    ok = ok.withColumn("_x", F.col("dt") - F.first("dt").over(run)).withColumn("_i", F.row_number().over(w).cast("long"))
+    ok = ok.withColumn("_s", F.sum("_x").over(run)).withColumn("_q", F.sum(F.col("_x") * F.col("_x")).over(run))
+    ok = ok.withColumn("win_n", F.least(F.col("_i"), F.lit(c.jitter_window).cast("long")))
+    for name in ("_s", "_q"):
+        ok = ok.withColumn(name, F.col(name) - F.coalesce(F.lag(name, c.jitter_window).over(w), F.lit(0.0)))
+    part = F.col("_s") / F.col("win_n")
+    mean, var = F.col("dt") - F.col("_x") + part, F.greatest(F.lit(0.0), (F.col("_q") - F.col("win_n") * part * part) / (F.col("win_n") - 1))
+    return ok.withColumn("cv", F.when((F.col("win_n") > 1) & (mean > 0), F.sqrt(var) / mean).otherwise(0.0)).drop("_x", "_i", "_s", "_q")
 
 
 def jitter_episodes(cvs: DataFrame, c: Config = ROBOT) -> DataFrame:
@@ -60,22 +71,26 @@ def jitter_episodes(cvs: DataFrame, c: Config = ROBOT) -> DataFrame:
     return out.where(F.col("t_end") - F.col("t_start") >= c.jitter_sustain).withColumn("severity", F.when(F.col("peak") > 3 * F.col("threshold"), 3).otherwise(2)).drop("run")
 
 
-def dropped(rates: DataFrame, periods: DataFrame, found: DataFrame, ends: DataFrame) -> DataFrame:
-    """(keys, expected_hz, dropped, rate, agreement): what a topic's period leaves missing outside critical gaps.
+def dropped(rates: DataFrame, periods: DataFrame, found: DataFrame, ends: DataFrame, stalled: DataFrame) -> DataFrame:
+    """(keys, expected_hz, count_based, gap_based, dropped, rate, agreement, severity): messages that a topic misses.
 
-    ends(mission_id, t_end) closes each recording.
+    What its period leaves missing outside critical gaps or stalls, whichever are longer, or what its other gaps have
+    lost beyond the stalls' share; the larger one, if it is over the noise of the period. ends(mission_id, t_end)
+    closes each recording; stalled(keys, stall_s) has the silent seconds within stalls.
     """
     hz = 1 / F.col("period")
     by_gap = found.join(periods.select(*KEYS, F.col("period").alias("_p")), list(KEYS)).groupBy(*KEYS).agg(
-        F.sum(F.when(F.col("severity") == 4, F.col("duration_s")).otherwise(0.0)).alias("excluded"),
-        F.sum(F.when(F.col("severity") < 4, F.greatest(F.lit(0), F.bround(F.col("duration_s") / F.col("_p"), 0).cast("long") - 1)).otherwise(0)).alias("gap_based"),
+        F.sum(F.when(F.col("severity") == 4, F.col("duration_s")).otherwise(0.0)).alias("critical"),
+        F.sum(F.when(F.col("severity") < 4, F.greatest(F.lit(0), F.bround(F.col("duration_s") / F.col("_p"), 0).cast("long") - 1)).otherwise(0)).alias("by_gaps"),
     )
-    out = rates.join(periods, list(KEYS)).join(by_gap, list(KEYS), "left").join(ends, "mission_id")
-    active = F.greatest(F.lit(0.0), F.col("t_end") - F.col("first_t") - F.coalesce("excluded", F.lit(0.0)))
-    out = out.withColumn("expected_hz", hz).withColumn("expected_n", hz * active)
-    out = out.withColumn("count_based", F.greatest(F.lit(0), F.bround("expected_n", 0).cast("long") - F.col("n"))).withColumn("gap_based", F.coalesce("gap_based", F.lit(0)))
+    out = rates.join(periods, list(KEYS)).join(by_gap, list(KEYS), "left").join(stalled, list(KEYS), "left").join(ends, "mission_id")
+    out = out.fillna(0, ["critical", "by_gaps", "stall_s"]).withColumn("expected_hz", hz)
+    active = F.greatest(F.lit(1e-9), F.col("t_end") - F.col("first_t") - F.greatest("critical", "stall_s"))
+    out = out.withColumn("expected_n", hz * active).withColumn("count_based", F.greatest(F.lit(0), F.bround("expected_n", 0).cast("long") - F.col("n")))
+    out = out.withColumn("gap_based", F.greatest(F.lit(0), F.col("by_gaps") - F.bround(F.col("stall_s") * hz, 0).cast("long")))
     most = F.greatest("count_based", "gap_based")
     out = out.withColumn("rate", F.when(F.col("expected_n") > 0, most / F.col("expected_n")).otherwise(0.0))
-    quiet = (F.col("rate") < F.greatest(F.lit(0.02), 4 * F.col("period_cv") / F.sqrt(F.lit(50.0)))) | (most < 5)
+    quiet = (F.col("rate") < F.greatest(F.lit(0.02), 4 * F.col("period_cv") / F.sqrt(F.lit(50.0)))) | (most < 5) | (F.col("n") < 2)
     out = out.withColumn("agreement", 1 - F.abs(F.col("count_based") - F.col("gap_based")) / F.greatest(most, F.lit(1)))
-    return out.withColumn("dropped", F.when(quiet, 0).otherwise(most)).select(*KEYS, "expected_hz", "count_based", "gap_based", "dropped", "rate", "agreement", "period_cv")
+    level = F.when(F.col("rate") >= 0.30, 4).when(F.col("rate") >= 0.10, 3).when(F.col("rate") >= 0.03, 2).otherwise(1)
+    return out.withColumn("dropped", F.when(quiet, 0).otherwise(most)).select(*KEYS, "expected_hz", "count_based", "gap_based", "dropped", "rate", "agreement", "period_cv", F.when(F.col("dropped") > 0, level).otherwise(0).alias("severity"))

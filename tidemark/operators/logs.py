@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 # fixed values: what a template abstracts, in this order
 ABSTRACTED = (
-    (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<uuid>"),
-    (r"0x[0-9a-fA-F]+", "<hex>"),
-    (r"(/[A-Za-z0-9_.-]+){2,}", "<path>"),
-    (r"\"[^\"]*\"", "<str>"),
-    (r"[0-9]+(\.[0-9]+)?", "<num>"),
+    (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<uuid>"),
+    (r"\b0x[0-9a-fA-F]+\b", "<hex>"),
+    (r"(/[\p{L}\p{N}_.-]+){2,}", "<path>"),
+    (r"'[^']*'|\"[^\"]*\"", "<str>"),
+    (r"(?<![\p{L}\p{N}_.])[-+]?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?(?![\p{L}\p{N}_.])", "<num>"),
     (r"\s+", " "),
 )
 
@@ -24,14 +24,17 @@ def template(msg: Column) -> Column:
 
 
 def clusters(lines: DataFrame, most: int = 200) -> DataFrame:
-    """(level, template, n, first_t, last_t) of lines(level, t, id, msg).
+    """(level, template, n, first_t, last_t, example) of lines(level, t, id, msg).
 
-    Templates of a level beyond the first so many to appear fold into one called <other>.
+    Templates beyond the first so many to appear fold into one of their level called <other>. The example is the first
+    line.
     """
-    one = lines.withColumn("template", template(F.col("msg"))).groupBy("level", "template").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.min("id").alias("first_id"))
-    rank = F.row_number().over(Window.partitionBy("level").orderBy("first_id"))
-    one = one.withColumn("template", F.when(rank > most, "<other>").otherwise(F.col("template")))
-    return one.groupBy("level", "template").agg(F.sum("n").alias("n"), F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t"))
+    at = F.struct("t", "id")
+    one = lines.withColumn("template", template(F.col("msg"))).groupBy("level", "template").agg(F.count("*").alias("n"), F.max("t").alias("last_t"), F.min(at).alias("at"), F.min_by("msg", at).alias("example"))
+    kept = one.orderBy("at").limit(most).select("level", "template", F.lit(True).alias("kept"))
+    one = one.join(kept, ["level", "template"], "left").withColumn("template", F.when(F.col("kept"), F.col("template")).otherwise("<other>"))
+    out = one.groupBy("level", "template").agg(F.sum("n").alias("n"), F.max("last_t").alias("last_t"), F.min("at").alias("at"), F.min_by("example", "at").alias("example"))
+    return out.select("level", "template", "n", F.col("at.t").alias("first_t"), "last_t", "example")
 
 
 def matching(lines: DataFrame, level: str | None = None, node: str | None = None, pattern: str | None = None, start: float | None = None, end: float | None = None) -> DataFrame:

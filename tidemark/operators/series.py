@@ -168,11 +168,47 @@ def ks(samples: DataFrame, keys: list[str]) -> DataFrame:
     return counts.select(*keys, gap.alias("g")).groupBy(*keys).agg(F.coalesce(F.max("g"), F.lit(0.0)).alias("ks"))
 
 
+def _chunk(alpha: float) -> int:
+    """Rows after which what came before has a weight of about 1e-5."""
+    return max(2, math.ceil(math.log(1e-5) / math.log1p(-alpha))) if alpha < 1 else 2
+
+
+def _terms(samples: DataFrame, keys: list[str], alpha: float, value: str, order: tuple[str, ...]) -> DataFrame:
+    """Rows with _c, the chunk, _r, the place in it, and _term, a value with the weight it has at the chunk's beginning."""
+    size, keep = _chunk(alpha), 1 - alpha
+    rows = samples.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+    rows = rows.withColumn("_c", F.floor(F.col("_i") / size)).withColumn("_r", F.col("_i") % size)
+    weight = F.when(F.col("_i") == 0, 1.0).otherwise(alpha)
+    return rows.withColumn("_term", weight * F.col(value) * F.pow(F.lit(keep), -F.col("_r")))
+
+
+def ewma_rows(samples: DataFrame, keys: list[str], alpha: float, value: str = "dt", order: tuple[str, ...] = ("us", "seq")) -> DataFrame:
+    """samples with ewma, the average so far, seeded with the first value; alpha is below 1.
+
+    A chunk's sum needs its own rows only, and four chunks back nothing weighs any more, so no group is gathered.
+    """
+    size, keep = _chunk(alpha), 1 - alpha
+    own = Window.partitionBy(*keys, "_c").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = _terms(samples, keys, alpha, value, order).withColumn("_own", F.sum("_term").over(own) * F.pow(F.lit(keep), F.col("_r")))
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    total, last = F.col("_own"), F.col("_own")
+    for m in range(4):
+        name = f"_p{m}"
+        rows = rows.withColumn(name, F.last(F.when(F.col("_r") == size - 1, last), True).over(before))
+        total = total + F.coalesce(F.col(name), F.lit(0.0)) * F.pow(F.lit(keep), F.col("_r") + 1 + m * size)
+        last = F.col(name)
+    return rows.withColumn("ewma", total).drop("_i", "_c", "_r", "_term", "_own", *[f"_p{m}" for m in range(4)])
+
+
 def ewma(samples: DataFrame, keys: list[str], alpha: float, value: str = "dt", order: tuple[str, ...] = ("us", "seq")) -> DataFrame:
-    """(keys, ewma): the last value of an average seeded with the first value."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("x"))))
-    out = samples.groupBy(*keys).agg(items.alias("s"))
-    return out.select(*keys, F.aggregate(F.slice("s", 2, F.size("s")), F.col("s")[0]["x"], lambda a, e: a + alpha * (e["x"] - a)).alias("ewma"))
+    """(keys, ewma): the last value of an average seeded with the first value; alpha is below 1."""
+    size, keep = _chunk(alpha), 1 - alpha
+    chunks = _terms(samples, keys, alpha, value, order).groupBy(*keys, "_c").agg(F.sum("_term").alias("_s"), F.max("_r").alias("_l"))
+    chunks = chunks.withColumn("_s", F.col("_s") * F.pow(F.lit(keep), F.col("_l")))
+    w = Window.partitionBy(*keys).orderBy(F.desc("_c"))
+    chunks = chunks.withColumn("_b", F.row_number().over(w) - 1).withColumn("_first", F.first("_l").over(w)).where("_b < 5")
+    back = F.when(F.col("_b") == 0, 1.0).otherwise(F.pow(F.lit(keep), F.col("_first") + 1 + (F.col("_b") - 1) * size))
+    return chunks.groupBy(*keys).agg(F.sum(F.col("_s") * back).alias("ewma"))
 
 
 def slopes(points: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import EVENTS as C
-from tidemark.operators import attribution, cadence, clock, health, logs, redact, series, spatial
+from tidemark.operators import attribution, clock, logs, redact, series, spatial
 from tidemark.operators.intervals import merged
-from tidemark.plans.detect import STEPS, K, _classed, _ends, _ia, chain, r
+from tidemark.plans.detect import STEPS, K, _ends, _ia, _stalls, chain, r
 from tidemark.sources.events import KEYS, arrivals, table
 
 R6 = lambda c: F.round(c, 6).alias(c)
@@ -128,13 +128,13 @@ def topic_time_window(spark: SparkSession, d: str) -> DataFrame:
     return a.select(*T, "seq", R6("t"))
 
 
-def _lines(spark, d, most: int | None = None):
+def _lines(spark, d):
     c = table(spark, d, "conversations")
-    return c.select(F.col("role").alias("level"), F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("node"), (F.col("conv_id") * 10.0 + F.col("turn")).alias("t"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("text") if most is None else F.substring("text", 1, most)).alias("msg"))
+    return c.select(F.col("role").alias("level"), F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("node"), (F.col("conv_id") * 10.0 + F.col("turn")).alias("t"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("msg"))
 
 
 def log_template_cluster(spark: SparkSession, d: str) -> DataFrame:
-    return logs.clusters(_lines(spark, d, 60), 150)
+    return logs.clusters(_lines(spark, d))
 
 
 def log_filter_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -196,12 +196,12 @@ def tf_roots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stall_pattern_dispersion(spark: SparkSession, d: str) -> DataFrame:
-    out = attribution.dispersion(health.stalls(_classed(spark, d), C), _ends(arrivals(spark, d)), DAY)
+    out = attribution.dispersion(_stalls(spark, d), _ends(arrivals(spark, d)), DAY)
     return out.select("mission_id", "n", R6("index"), "pattern")
 
 
 def stall_attribution(spark: SparkSession, d: str) -> DataFrame:
-    m = merged(health.stalls(_classed(spark, d), C), ["mission_id"], "t_start", "t_end")
+    m = merged(_stalls(spark, d), ["mission_id"], "t_start", "t_end")
     m = m.withColumn("stall", F.row_number().over(Window.partitionBy("mission_id").orderBy("t_start")))
     out = attribution.attribution(arrivals(spark, d), m, T, 7200.0, 3600.0, 3600.0)
     return out.select(*T, "n_pre", "n_base", F.round("d", 4).alias("d"), F.round("consistency", 4).alias("consistency"), "verdict")
@@ -238,7 +238,7 @@ STEPS |= {
     "st3": f"SELECT *, sum(flip) OVER (PARTITION BY {K} ORDER BY us, seq) AS run FROM st2",
     "cu": f"SELECT *, lag(x) OVER w AS xp, lag(y) OVER w AS yp, lead(x) OVER w AS xn, lead(y) OVER w AS yn FROM pts WINDOW w AS (PARTITION BY {K} ORDER BY us, seq)",
     "tr": "SELECT 'f' || (user_id % 7) AS parent, 'f' || (user_id % 7 + 1 + seq % 2) AS child, us, seq, t, v AS x, k::DOUBLE AS y FROM a",
-    "ln": "SELECT role AS level, 'conv' || conv_id AS node, conv_id * 10.0::DOUBLE + turn AS t, conv_id * 1000 + turn AS id, substr(text, 1, 60) AS msg FROM conversations",
+    "ln": "SELECT role AS level, 'conv' || conv_id AS node, conv_id * 10.0::DOUBLE + turn AS t, conv_id * 1000 + turn AS id, text AS msg FROM conversations",
     "m1": f"SELECT *, CASE WHEN coalesce(t_start > max(t_end) OVER (PARTITION BY mission_id ORDER BY t_start, t_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) THEN 1 ELSE 0 END AS f FROM stalls",
     "m2": "SELECT *, sum(f) OVER (PARTITION BY mission_id ORDER BY t_start, t_end) AS i FROM m1",
     "ms": "SELECT mission_id, i AS stall, min(t_start) AS t_start, max(t_end) AS t_end FROM m2 GROUP BY ALL",
@@ -273,7 +273,11 @@ def _six(topic: str) -> str:
 
 _TPL = "msg"
 for _p, _n in logs.ABSTRACTED:
-    _TPL = f"regexp_replace({_TPL}, '{_p}', '{_n}', 'g')"
+    if _n == "<num>":  # no look-around here: the characters around a number are put back, in two turns as neighbours share one
+        for _ in range(2):
+            _TPL = f"regexp_replace({_TPL}, '(^|[^\\p{{L}}\\p{{N}}_.])[-+]?[0-9]+(\\.[0-9]+)?([eE][-+]?[0-9]+)?($|[^\\p{{L}}\\p{{N}}_.])', '\\1<num>\\4', 'g')"
+    else:
+        _TPL = "regexp_replace({}, '{}', '{}', 'g')".format(_TPL, _p.replace("'", "''"), _n)
 
 SQL = {
     "resample_mean_with_gaps": chain(f"SELECT {K}, bin, {r('centre')}, {r('mean')}, n FROM rs", "rs"),
@@ -299,10 +303,10 @@ SQL = {
     "decimated_sample": chain(f"SELECT {K}, i AS position, seq FROM (SELECT *, count(*) OVER (PARTITION BY {K}) AS c FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY us, seq) - 1 AS i FROM a) WHERE i <= 2000) WHERE list_contains(list_transform(range(20), lambda x: round_even(x * (c - 1) / 19.0::DOUBLE, 0)::BIGINT), i)", "a"),
     "redacted_projection": "SELECT event_id, event_type AS topic, '[redacted]' AS user_id, value FROM events WHERE event_type NOT LIKE 'err%'",
     "topic_time_window": chain(f"SELECT {K}, seq, {r('t')} FROM a WHERE topic IN ('click', 'view') AND t BETWEEN 86400.0 AND 172800.0", "a"),
-    "log_template_cluster": chain(f"SELECT level, template, sum(n)::BIGINT AS n, min(first_t) AS first_t, max(last_t) AS last_t FROM (SELECT level, CASE WHEN row_number() OVER (PARTITION BY level ORDER BY first_id) > 150 THEN '<other>' ELSE template END AS template, n, first_t, last_t FROM (SELECT level, trim({_TPL}) AS template, count(*) AS n, min(t) AS first_t, max(t) AS last_t, min(id) AS first_id FROM ln GROUP BY ALL)) GROUP BY ALL", "ln"),
+    "log_template_cluster": chain(f"SELECT level, template, sum(n)::BIGINT AS n, min(first_t) AS first_t, max(last_t) AS last_t, first(example ORDER BY first_t, first_id) AS example FROM (SELECT level, CASE WHEN row_number() OVER (ORDER BY first_t, first_id) > 200 THEN '<other>' ELSE template END AS template, n, first_t, last_t, first_id, example FROM (SELECT level, trim({_TPL}) AS template, count(*) AS n, min(t) AS first_t, max(t) AS last_t, arg_min(id, (t, id)) AS first_id, arg_min(msg, (t, id)) AS example FROM ln GROUP BY ALL)) GROUP BY ALL", "ln"),
     "log_filter_levels": chain("SELECT level, count(*) AS n FROM ln WHERE contains(node, 'conv1') AND regexp_matches(msg, '(?i)th[ea]') AND t >= 10.0 GROUP BY ALL", "ln"),
     "log_burst": chain(f"SELECT {K}, user_id, n, round(lo + (b + 0.5) * (hi - lo) / bins, 2) AS centre FROM (SELECT *, row_number() OVER (PARTITION BY {K}, user_id ORDER BY c DESC, b) AS q FROM (SELECT {K}, user_id, n, lo, hi, bins, least(floor((t - lo) / ((hi - lo) / bins)), bins - 1) AS b, count(*) AS c FROM a JOIN (SELECT {K}, user_id, count(*) AS n, min(t) AS lo, max(t) AS hi, least(20, greatest(4, floor(count(*) / 3))) AS bins FROM a GROUP BY ALL HAVING count(*) > 4 AND max(t) > min(t)) USING ({K}, user_id) GROUP BY ALL)) WHERE q = 1 AND c > 1.5::DOUBLE * n / bins", "a"),
-    "event_timeline_union": chain(f"SELECT kind, {K}, round(t, 6) AS t, severity FROM (SELECT 'outlier' AS kind, {K}, t, 3 AS severity FROM zs UNION ALL SELECT 'error', {K}, t, 2 FROM a WHERE topic = 'error' AND k = 0) ORDER BY t, kind, topic LIMIT 200", "zs"),
+    "event_timeline_union": chain(f"SELECT kind, {K}, round(t, 6) AS t, severity FROM (SELECT 'outlier' AS kind, {K}, t, 3 AS severity FROM zs UNION ALL SELECT 'error', {K}, t, 2 FROM a WHERE topic = 'error') ORDER BY t, kind, topic, mission_id LIMIT 200", "zs"),
     "log_signal_coincidence": chain("SELECT mission_id, seq, round(t, 6) AS t FROM a WHERE topic = 'error' AND EXISTS (SELECT 1 FROM zs WHERE zs.mission_id = a.mission_id AND abs(zs.t - a.t) <= 300.0)", "zs"),
     "trajectory_summary": chain(f"SELECT {K}, count(*) AS n, round(sum(step), 4) AS length, round(max(speed), 4) AS max_speed, round(min(x), 4) AS min_x, round(max(x), 4) AS max_x, round(min(y), 4) AS min_y, round(max(y), 4) AS max_y, round(sqrt(pow(last(x ORDER BY us, seq) - first(x ORDER BY us, seq), 2) + pow(last(y ORDER BY us, seq) - first(y ORDER BY us, seq), 2)), 4) AS displacement FROM spd GROUP BY ALL", "spd"),
     "stops": chain(f"SELECT {K}, round(min(t), 6) AS t_start, round(max(next_t), 6) AS t_end FROM st3 WHERE still = 1 GROUP BY mission_id, topic, run HAVING max(next_t) - min(t) >= 60.0", "st3"),

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import EVENTS as C
-from tidemark.operators import fleet, gate, health, qos, series
+from tidemark.operators import fleet, gate, qos, series
 from tidemark.operators.series import dtw_rank as dtw_rank_op
-from tidemark.plans.detect import STEPS, K, _gaps, _classed, chain, r
+from tidemark.plans.detect import STEPS, K, _gaps, _stalls, chain, r
 from tidemark.sources.events import KEYS, arrivals, table
 
 R = lambda c, n=6: F.round(c, n).alias(c)
@@ -195,7 +194,7 @@ def dtw_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def stalls_joined(spark: SparkSession, d: str) -> DataFrame:
     """Interval join: arrivals inside system-wide stalls, counted by topic."""
-    s = health.stalls(_classed(spark, d), C).select("mission_id", "stall", F.col("t_start").alias("rs"), F.col("t_end").alias("re"))
+    s = _stalls(spark, d).select("mission_id", "stall", F.col("t_start").alias("rs"), F.col("t_end").alias("re"))
     a = arrivals(spark, d).select(*KEYS, "seq", F.col("t").alias("ls"), F.col("t").alias("le"))
     from tidemark.operators.intervals import overlapping
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,24 +10,22 @@ from tidemark.operators import frames
 from tidemark.plans.detect import K, chain
 from tidemark.sources import recordings
 from tidemark.sources.events import KEYS, arrivals, table
+from tidemark.sources.tables import fresh_folder
 from tidemark.streaming import monitor
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/tidemark-live-{uuid.uuid4().hex}"
-
-
 def stream_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Gaps as a stream of the events sees them end."""
+    """Gaps as a stream of the events sees them end or grow; times count from the beginning of the month."""
     e = table(spark, d, "events")
     raw = spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet*")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = raw.select(F.date_format("ts", "yyyy-MM").alias("mission_id"), F.col("event_type").alias("topic"), F.col("event_id").alias("seq"), us.alias("us"), (us / F.lit(1e6)).alias("t"))
-    out = _folder(spark)
+    t = (us - F.unix_micros(F.date_trunc("month", "ts").cast("timestamp"))) / F.lit(1e6)
+    rows = raw.select(F.date_format("ts", "yyyy-MM").alias("mission_id"), F.col("event_type").alias("topic"), F.col("event_id").alias("seq"), us.alias("us"), t.alias("t"))
+    out = fresh_folder(spark)
     q = monitor.gaps_of(rows, C).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("mission_id string, topic string, t_start double, t_end double, period double, n long").parquet(f"{out}/rows")
+    seen = spark.read.schema("mission_id string, topic string, t_start double, t_end double, period double, n long").parquet(f"{out}/rows")
+    return seen.select(*KEYS, F.round("t_start", 6).alias("t_start"), F.round("t_end", 6).alias("t_end"), F.round("period", 5).alias("period"))
 
 
 def recording_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +64,8 @@ def pointcloud_summary(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (stream_gaps, recording_roundtrip, db3_join, keyframes_nearest, pointcloud_summary)}
 
 SQL = {
+    "stream_gaps": chain(f"SELECT {K}, round(first_value((us - m) / 1e6 - dt) OVER w, 6) AS t_start, round((us - m) / 1e6, 6) AS t_end, round(first_value(period) OVER w, 5) AS period FROM (SELECT *, epoch_us(strptime(mission_id || '-01', '%Y-%m-%d')) AS m FROM c2) WINDOW w AS (PARTITION BY {K}, gap ORDER BY us, seq)", "c2"),
     "db3_join": "SELECT n_name AS name, count(us) AS n, min(us) AS first_us, max(us) AS last_us FROM nation LEFT JOIN (SELECT user_id % 30 AS topic_id, epoch_us(ts) AS us FROM events) ON topic_id = n_nationkey GROUP BY n_name",
     "keyframes_nearest": chain(f"SELECT {K}, target, seq, round(off, 6) AS off_s FROM (SELECT {K}, i * 36000.0::DOUBLE AS target, seq, abs(t - i * 36000.0::DOUBLE) AS off, row_number() OVER (PARTITION BY {K}, i ORDER BY abs(t - i * 36000.0::DOUBLE), us, seq) AS q FROM a, range(12) r(i) WHERE abs(t - i * 36000.0::DOUBLE) <= 3600.0) WHERE q = 1", "a"),
-    "pointcloud_summary": chain(f"SELECT {K}, n, round(m, 4) AS mean_points, lo AS min_points, hi AS max_points, round(e, 4) AS empty_share, round(b, 4) AS mean_bytes, CASE WHEN e > 0.1 THEN 'empty_clouds' WHEN lo < 0.5 * m THEN 'uneven' ELSE 'steady' END AS verdict FROM (SELECT {K}, count(*) AS n, avg(k) AS m, min(k) AS lo, max(k) AS hi, avg((k = 0)::INT::DOUBLE) AS e, avg(k * 12) AS b FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY us, seq) AS q FROM a) WHERE q <= 200 GROUP BY ALL)", "a"),
+    "pointcloud_summary": chain(f"SELECT {K}, n, round(m, 4) AS mean_points, lo AS min_points, hi AS max_points, round(e, 4) AS empty_share, round(b, 4) AS mean_bytes, CASE WHEN e > 0.1 THEN 'empty_clouds' WHEN lo < 0.5 * m THEN 'uneven' ELSE 'steady' END AS verdict FROM (SELECT {K}, count(*) AS n, avg(k) AS m, min(k) AS lo, max(k) AS hi, avg((k = 0)::INT::DOUBLE) AS e, avg(k * 12) AS b FROM a GROUP BY ALL)", "a"),
 }
