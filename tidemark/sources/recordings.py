@@ -83,24 +83,52 @@ def mcap(b: bytes) -> Iterator[Arrival]:
     yield from each(mcap_records(b))
 
 
-def write_mcap(rows: list[Arrival], chunk: int = 0) -> bytes:
-    """An MCAP file of empty payloads of the given sizes; chunks of so many messages, zstd, or none."""
+def unpacked_chunk(r: bytes) -> bytes:
+    """The records within a chunk's content."""
+    size = struct.unpack_from("<Q", r, 16)[0]
+    kind, at = _text(r, 28)
+    n = struct.unpack_from("<Q", r, at)[0]
+    return _unpacked(r[at + 8 : at + 8 + n], kind, size)
+
+
+def write_mcap(rows: list[Arrival], chunk: int = 0, indexed: bool = False, schemas: dict[str, tuple[str, str]] | None = None, payloads: list[bytes] | None = None) -> bytes:
+    """An MCAP file of empty payloads of the given sizes, or of payloads; chunks of so many messages, zstd, or none.
+
+    schemas are (name, text) by topic. indexed adds the summary: schemas, channels, chunk index and statistics.
+    """
     text = lambda s: struct.pack("<I", len(s.encode())) + s.encode()
     record = lambda op, r: struct.pack("<BQ", op, len(r)) + r
+    pairs = lambda kind, d: struct.pack("<I", len(d) * struct.calcsize("<" + kind)) + b"".join(struct.pack("<" + kind, *x) for x in d.items())
     ids = {t: i + 1 for i, t in enumerate(dict.fromkeys(r[0] for r in rows))}
-    out = [MAGIC, record(0x01, text("") + text("tidemark"))]
-    out += [record(0x04, struct.pack("<HH", i, 0) + text(t) + text("") + struct.pack("<I", 0)) for t, i in ids.items()]
-    messages = [record(0x05, struct.pack("<HIQQ", ids[t], k, log, pub) + bytes(size)) for k, (t, log, pub, size) in enumerate(rows)]
+    of = {t: i + 1 for i, t in enumerate(schemas or {})}
+    known = [record(0x03, struct.pack("<H", of[t]) + text(name) + text("ros2msg") + text(body)) for t, (name, body) in (schemas or {}).items()]
+    known += [record(0x04, struct.pack("<HH", i, of.get(t, 0)) + text(t) + text("cdr" if t in of else "") + struct.pack("<I", 0)) for t, i in ids.items()]
+    out = [MAGIC, record(0x01, text("") + text("tidemark")), *known]
+    body = payloads or [bytes(r[3]) for r in rows]
+    messages = [record(0x05, struct.pack("<HIQQ", ids[t], k, log, pub) + x) for k, ((t, log, pub, _), x) in enumerate(zip(rows, body, strict=True))]
+    at, index = sum(map(len, out)), []
     if chunk:
         import zstandard
 
-        for at in range(0, len(messages), chunk):
-            raw = b"".join(messages[at : at + chunk])
+        for a in range(0, len(messages), chunk):
+            raw, some = b"".join(messages[a : a + chunk]), rows[a : a + chunk]
             packed = zstandard.compress(raw)
-            out.append(record(0x06, struct.pack("<QQQI", 0, 0, len(raw), 0) + text("zstd") + struct.pack("<Q", len(packed)) + packed))
+            first, last = min(r[1] for r in some), max(r[1] for r in some)
+            out.append(record(0x06, struct.pack("<QQQI", first, last, len(raw), 0) + text("zstd") + struct.pack("<Q", len(packed)) + packed))
+            where = {ids[t]: 0 for t in dict.fromkeys(r[0] for r in some)}
+            index.append(record(0x08, struct.pack("<QQQQ", first, last, at, len(out[-1])) + pairs("HQ", where) + struct.pack("<Q", 0) + text("zstd") + struct.pack("<QQ", len(packed), len(raw))))
+            at += len(out[-1])
     else:
         out += messages
-    return b"".join([*out, record(0x0F, struct.pack("<I", 0)), record(0x02, struct.pack("<QQI", 0, 0, 0)), MAGIC])
+    out.append(record(0x0F, struct.pack("<I", 0)))
+    begin = sum(map(len, out)) if indexed else 0
+    if indexed:
+        n: dict[int, int] = {}
+        for r in rows:
+            n[ids[r[0]]] = n.get(ids[r[0]], 0) + 1
+        times = [r[1] for r in rows] or [0]
+        out += [*known, *index, record(0x0B, struct.pack("<QHIIIIQQ", len(rows), len(of), len(ids), 0, 0, len(index), min(times), max(times)) + pairs("HQ", n))]
+    return b"".join([*out, record(0x02, struct.pack("<QQI", begin, 0, 0)), MAGIC])
 
 
 def db3(b: bytes) -> Iterator[Arrival]:
@@ -110,6 +138,18 @@ def db3(b: bytes) -> Iterator[Arrival]:
         yield topic, t, t, size
 
 
+def db3_rows(path: str, topics: set[str] | None = None, low: int | None = None) -> Iterator[tuple[str, str, int, int, int, int, bytes, str]]:
+    """Messages of a file on disk in order of time; SQLite filters by topic and time."""
+    con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    where, args = ["timestamp >= ?"], [low if low is not None else -(1 << 62)]
+    if topics is not None:
+        where.append(f"name IN ({', '.join('?' * len(topics))})")
+        args += sorted(topics)
+    sql = f"SELECT name, type, messages.id, timestamp, length(data) FROM messages JOIN topics ON topics.id = topic_id WHERE {' AND '.join(where)} ORDER BY timestamp, messages.id"
+    for topic, kind, k, t, size in con.execute(sql, args):
+        yield topic, kind or "", k, t, t, size, b"", ""
+
+
 def write_db3(rows: list[Arrival]) -> bytes:
     con = sqlite3.connect(":memory:")
     con.execute("CREATE TABLE topics(id INTEGER PRIMARY KEY, name TEXT, type TEXT, serialization_format TEXT, offered_qos_profiles TEXT)")
@@ -199,16 +239,35 @@ def bag(b: bytes) -> Iterator[Arrival]:
     yield from each(b, len(BAG))
 
 
+def write_bag(rows: list[Arrival], chunk: int = 500) -> bytes:
+    """A ROS 1 bag of empty payloads of the given sizes, in plain chunks of so many messages."""
+    def record(fields: dict[str, bytes], data: bytes) -> bytes:
+        head = b"".join(struct.pack("<I", len(k) + 1 + len(v)) + k.encode() + b"=" + v for k, v in fields.items())
+        return struct.pack("<I", len(head)) + head + struct.pack("<I", len(data)) + data
+
+    ids = {t: i for i, t in enumerate(dict.fromkeys(r[0] for r in rows))}
+    out = [BAG, record({"op": b"\x03", "index_pos": bytes(8), "conn_count": struct.pack("<I", len(ids)), "chunk_count": bytes(4)}, b" ")]
+    for at in range(0, len(rows), chunk):
+        inner = [record({"op": b"\x07", "conn": struct.pack("<I", i), "topic": t.encode()}, b"") for t, i in ids.items()] if not at else []
+        inner += [record({"op": b"\x02", "conn": struct.pack("<I", ids[t]), "time": struct.pack("<II", *divmod(log, 1_000_000_000))}, bytes(size)) for t, log, _, size in rows[at : at + chunk]]
+        raw = b"".join(inner)
+        out.append(record({"op": b"\x05", "compression": b"none", "size": struct.pack("<I", len(raw))}, raw))
+    return b"".join(out)
+
+
 READERS: dict[str, Callable[[bytes], Iterator[Arrival]]] = {"mcap": mcap, "db3": db3, "ulg": ulg, "bag": bag}
 
 
+def mission_of(size: int, head: bytes, tail: bytes) -> str:
+    h = hashlib.blake2b(str(size).encode(), digest_size=12)
+    h.update(head)
+    h.update(tail)
+    return h.hexdigest()
+
+
 def mission_id(b: bytes) -> str:
     """Of the size, the first MiB, and the last one of files over two."""
-    h = hashlib.blake2b(str(len(b)).encode(), digest_size=12)
-    h.update(b[: 1 << 20])
-    if len(b) > 2 << 20:
-        h.update(b[-(1 << 20) :])
-    return h.hexdigest()
+    return mission_of(len(b), b[: 1 << 20], b[-(1 << 20) :] if len(b) > 2 << 20 else b"")
 
 
 def integrity(b: bytes, kind: str) -> dict[str, object]:
