@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.config import ROBOT, Config
 from tidemark.operators.cadence import per_topic
+from tidemark.operators.series import ewma
 from tidemark.sources.events import KEYS
 
 
@@ -33,6 +38,45 @@ def lag(clocked: DataFrame) -> DataFrame:
     return clocked.groupBy("mission_id").agg(F.avg(d).alias("mean_lag"), F.max(F.abs(d)).alias("peak_lag"), F.min_by(d, F.struct("us", "seq")).alias("first_lag"), F.max_by(d, F.struct("us", "seq")).alias("last_lag"))
 
 
+def events(clocked: DataFrame, least: float = 0.5, apart: float = 1.0) -> DataFrame:
+    """(mission_id, kind, topic, t, size): steps and backward jumps of a recording's publishing clock, topics together.
+
+    Of the candidates of one kind, in publishing time, one counts if it is so many seconds after the last that counted;
+    only candidates, which are few, go through the fold of a recording.
+    """
+    step = F.when(F.abs("divergence") > least, F.struct(F.lit("step").alias("kind"), F.col("divergence").alias("size")))
+    back = F.when(F.col("d_pub") < 0, F.struct(F.lit("backward").alias("kind"), (-F.col("d_pub")).alias("size")))
+    rows = clocked.select("mission_id", "topic", "seq", "us", "t", F.col("pub_us"), F.explode(F.array_compact(F.array(step, back))).alias("e")).select("*", "e.*").drop("e")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["us", "seq"])
+        last, keep = {}, []
+        for kind, pub in zip(part.kind, part.pub_us / 1e6, strict=True):
+            ok = pub - last.get(kind, -math.inf) >= apart if kind == "step" else pub - last.get(kind, -math.inf) > apart
+            keep.append(ok)
+            if ok:
+                last[kind] = pub
+        return part[keep][["mission_id", "kind", "topic", "t", "size"]]
+
+    return rows.groupBy("mission_id").applyInPandas(run, "mission_id string, kind string, topic string, t double, size double")
+
+
+def lag_trend(clocked: DataFrame, alpha: float = 0.01) -> DataFrame:
+    """(mission_id, start_lag, end_lag, growth, peak_lag): the average of log time behind publishing time, in log order."""
+    rows = clocked.withColumn("lag", (F.col("us") - F.col("pub_us")) / F.lit(1e6))
+    ends = rows.groupBy("mission_id").agg(F.min_by("lag", F.struct("us", "seq")).alias("start_lag"), F.max(F.abs("lag")).alias("peak_lag"))
+    out = ewma(rows, ["mission_id"], alpha, "lag").join(ends, "mission_id")
+    return out.select("mission_id", "start_lag", F.col("ewma").alias("end_lag"), (F.col("ewma") - F.col("start_lag")).alias("growth"), "peak_lag")
+
+
+def report(clocked: DataFrame, c: Config = ROBOT) -> DataFrame:
+    """(mission_id, backward, steps, growth, peak_lag, lagging): a recording's clocks; where time runs back, lag says nothing."""
+    found = events(clocked, c.step).groupBy("mission_id").agg(F.sum((F.col("kind") == "backward").cast("long")).alias("backward"), F.sum((F.col("kind") == "step").cast("long")).alias("steps"))
+    out = lag_trend(clocked).join(found, "mission_id", "left").fillna(0, ["backward", "steps"])
+    lagging = (F.col("backward") == 0) & ((F.col("growth") > c.lag_growth) | (F.col("peak_lag") > 0.5))
+    return out.select("mission_id", "backward", "steps", "growth", "peak_lag", lagging.alias("lagging"))
+
+
 def decimated(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """n evenly spaced rows of each key, the first and the last among them."""
     w = Window.partitionBy(*keys)

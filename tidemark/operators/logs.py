@@ -23,18 +23,18 @@ def template(msg: Column) -> Column:
     return F.trim(out)
 
 
-def clusters(lines: DataFrame, most: int = 200) -> DataFrame:
-    """(level, template, n, first_t, last_t, example) of lines(level, t, id, msg).
+def clusters(lines: DataFrame, most: int = 200, by: list[str] = ()) -> DataFrame:
+    """(by, level, template, n, first_t, last_t, example) of lines(by, level, t, id, msg).
 
-    Templates beyond the first so many to appear fold into one of their level called <other>. The example is the first
-    line.
+    Templates beyond the first so many to appear (of each recording, where by names columns) fold into one of their
+    level called <other>. The example is the first line.
     """
-    at = F.struct("t", "id")
-    one = lines.withColumn("template", template(F.col("msg"))).groupBy("level", "template").agg(F.count("*").alias("n"), F.max("t").alias("last_t"), F.min(at).alias("at"), F.min_by("msg", at).alias("example"))
-    kept = one.orderBy("at").limit(most).select("level", "template", F.lit(True).alias("kept"))
-    one = one.join(kept, ["level", "template"], "left").withColumn("template", F.when(F.col("kept"), F.col("template")).otherwise("<other>"))
-    out = one.groupBy("level", "template").agg(F.sum("n").alias("n"), F.max("last_t").alias("last_t"), F.min("at").alias("at"), F.min_by("example", "at").alias("example"))
-    return out.select("level", "template", "n", F.col("at.t").alias("first_t"), "last_t", "example")
+    at, keys = F.struct("t", "id"), [*by, "level", "template"]
+    one = lines.withColumn("template", template(F.col("msg"))).groupBy(*keys).agg(F.count("*").alias("n"), F.max("t").alias("last_t"), F.min(at).alias("at"), F.min_by("msg", at).alias("example"))
+    first = one.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("at"))).where(F.col("_r") <= most) if by else one.orderBy("at").limit(most)
+    one = one.join(first.select(*keys, F.lit(True).alias("kept")), keys, "left").withColumn("template", F.when(F.col("kept"), F.col("template")).otherwise("<other>"))
+    out = one.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("last_t").alias("last_t"), F.min("at").alias("at"), F.min_by("example", "at").alias("example"))
+    return out.select(*keys, "n", F.col("at.t").alias("first_t"), "last_t", "example")
 
 
 def matching(lines: DataFrame, level: str | None = None, node: str | None = None, pattern: str | None = None, start: float | None = None, end: float | None = None) -> DataFrame:

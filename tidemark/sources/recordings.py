@@ -300,12 +300,12 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return found.select("path", "length", F.lower(F.element_at(F.split("path", r"\."), -1)).alias("kind"))
 
 
-def _parsed(spark: SparkSession, root: str, run, schema: str) -> DataFrame:
+def _parsed(spark: SparkSession, root: str | list[str], run, schema: str) -> DataFrame:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{mcap,db3,bag,ulg}").load(root)
     return found.select("path", F.lower(F.element_at(F.split("path", r"\."), -1)).alias("kind"), "content").mapInArrow(run, schema)
 
 
-def read_arrivals(spark: SparkSession, root: str) -> DataFrame:
+def read_arrivals(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """(path, mission_id, topic, seq, log_time_ns, publish_time_ns, size_bytes) of all recordings, whole records only."""
     schema = pa.schema([("path", pa.string()), ("mission_id", pa.string()), ("topic", pa.string()), *[(c, pa.int64()) for c in ("seq", "log_time_ns", "publish_time_ns", "size_bytes")]])
 
@@ -328,7 +328,7 @@ def read_arrivals(spark: SparkSession, root: str) -> DataFrame:
     return _parsed(spark, root, run, "path string, mission_id string, topic string, seq long, log_time_ns long, publish_time_ns long, size_bytes long")
 
 
-def read_integrity(spark: SparkSession, root: str) -> DataFrame:
+def read_integrity(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """(path, mission_id, readable, summary, messages, torn_bytes, truncated, file_score) of all recordings."""
     names = ("readable", "summary", "messages", "torn_bytes", "truncated", "file_score")
 
