@@ -118,17 +118,21 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for docs(doc_id, text)."""
     spark = docs.sparkSession
     t = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    slim = stored(rows.select("row", "doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n")).where(F.col("n") >= length).where("doc_id is not null"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    slim = stored(rows.select("doc_id", "digest", F.octet_length("text").alias("n")).where(F.col("n") >= length).where("doc_id is not null"))
     copies = stored(slim.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    gone = stored(slim.join(copies, "digest").where("doc_id > least").select("row").distinct())
+    gone = stored(slim.join(copies, "digest").where("doc_id > least").select("doc_id", "digest").distinct())
     release(spark)
     total = slim.agg(F.sum("n")).first()[0] or 0
     batches, hash_groups, groups = parts(total, BATCH), parts(total, HASHES), parts(total, STRETCHES)
-    work = rows.where(F.octet_length("text") >= length).where("doc_id is not null").join(gone, "row", "left_anti")
-    work = bucketed(work.select("row", "doc_id", "text", F.pmod(F.xxhash64("row"), F.lit(batches)).alias("batch")), "batch", min(parts(batches, TOGETHER), 50_000))
+    work = rows.where(F.octet_length("text") >= length).where("doc_id is not null").join(gone, ["doc_id", "digest"], "left_anti")
+    work = bucketed(work.select("doc_id", "digest", "text", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(batches)).alias("batch")), "batch", min(parts(batches, TOGETHER), 50_000))
     release(spark)
 
+    def in_order(part: pd.DataFrame) -> pd.DataFrame:
+        """A batch's rows by document and text: their places there name them in all steps."""
+        return part.sort_values(["doc_id", "digest"], ignore_index=True)
+
     def deal(h: np.ndarray, groups: int):
         to = ((h >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
         order = np.argsort(to, kind="stable")
@@ -178,7 +182,8 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in answers.data]))
         if not len(known):
             return empty
-        texts, ids, names = part.text.tolist(), part.doc_id.tolist(), part.row.tolist()
+        part = in_order(part)
+        texts, ids = part.text.tolist(), part.doc_id.tolist()
         first: dict[bytes, tuple[int, int, list[tuple[int, int]]]] = {}
         local: list[tuple[int, int, int]] = []
         for h, text, start, size in stretches(texts, length):
@@ -190,11 +195,11 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if seen is None or doc < seen[1]:
                     if seen is not None:
                         local += [(r, a, a + n) for r, a in seen[2]]
-                    first[piece] = (x, doc, [(names[i], s)])
+                    first[piece] = (x, doc, [(i, s)])
                 elif doc == seen[1]:
-                    seen[2].append((names[i], s))
+                    seen[2].append((i, s))
                 else:
-                    local.append((names[i], s, s + n))
+                    local.append((i, s, s + n))
         batch, out = int(part.batch.iloc[0]), []
         flat = [(x, doc, r, s, piece) for piece, (x, doc, where) in first.items() for r, s in where]
         h = np.array([x[0] for x in flat], np.uint64)
@@ -250,8 +255,8 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             return pd.DataFrame({"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}).astype({k: int for k in ("doc_id", "n_bytes", "n_removed", "n_spans")})
         all_ = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in covers.data]) if len(covers) else np.zeros((0, 3), np.int64)
         all_ = all_[np.argsort(all_[:, 0], kind="stable")]
-        out = []
-        for doc, row, text in zip(part.doc_id.tolist(), part.row.tolist(), part.text.tolist(), strict=True):
+        part, out = in_order(part), []
+        for row, (doc, text) in enumerate(zip(part.doc_id.tolist(), part.text.tolist(), strict=True)):
             a, e = np.searchsorted(all_[:, 0], row, "left"), np.searchsorted(all_[:, 0], row, "right")
             if a == e:
                 out.append((doc, len(text), 0, 0, text))
@@ -270,5 +275,5 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n = F.octet_length("text").cast("long")
     zero = F.lit(0).cast("long")
     short = rows.where((F.octet_length("text") < length) | F.col("doc_id").isNull()).select("doc_id", n.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").alias("kept"))
-    again = slim.join(gone, "row", "left_semi").select("doc_id", F.col("n").cast("long").alias("n_bytes"), F.col("n").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
+    again = slim.join(gone, ["doc_id", "digest"], "left_semi").select("doc_id", F.col("n").cast("long").alias("n_bytes"), F.col("n").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
     return out.union(short).union(again)
