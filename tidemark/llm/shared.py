@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 import numpy as np
@@ -21,8 +22,14 @@ _written: list[tuple[SparkSession, str]] = []
 _tables: list[tuple[SparkSession, str]] = []
 
 
-#: So that Python workers find the package from any folder, and give back the memory of large arrays that are done with.
-WORKERS = {"PYTHONPATH": ROOT, "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "8388608", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: So that Python workers find the package from any folder.
+WORKERS = {"PYTHONPATH": ROOT, "MALLOC_ARENA_MAX": "2"}
+
+
+def trim() -> None:
+    """Gives a worker's free memory back; workers live on from stage to stage."""
+    with suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +99,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 
 def slices(batches, size: int, column: int = 1):
     """Record batches cut so that the strings of a column have so many bytes at most, unless one alone has more."""
+    trim()
     for b in batches:
         texts, at, held = b.column(column), 0, 0
         ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy(zero_copy_only=False)
@@ -99,6 +107,7 @@ def slices(batches, size: int, column: int = 1):
             end = max(at + 1, int(np.searchsorted(ends, held + size, side="right")))
             yield b.slice(at, end - at)
             at, held = end, int(ends[end - 1])
+    trim()
 
 
 def parts(rows: int, each: int, least: int = 1) -> int:
