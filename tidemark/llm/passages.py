@@ -121,16 +121,32 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     slim = stored(rows.select("doc_id", "digest", F.octet_length("text").alias("n")).where(F.col("n") >= length).where("doc_id is not null"))
     copies = stored(slim.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    gone = stored(slim.join(copies, "digest").where("doc_id > least").select("doc_id", "digest").distinct())
-    release(spark)
     total = slim.agg(F.sum("n")).first()[0] or 0
     batches, hash_groups, groups = parts(total, BATCH), parts(total, HASHES), parts(total, STRETCHES)
-    work = rows.where(F.octet_length("text") >= length).where("doc_id is not null").join(gone, ["doc_id", "digest"], "left_anti")
-    work = bucketed(work.select("doc_id", "digest", "text", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(batches)).alias("batch")), "batch", min(parts(batches, TOGETHER), 50_000))
+    batch = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(batches)).alias("batch")
+    gone = stored(slim.join(copies, "digest").where("doc_id > least").select("doc_id", "digest").distinct().select("doc_id", "digest", batch))
+    release(spark)
+    work = rows.where(F.octet_length("text") >= length).where("doc_id is not null")
+    work = bucketed(work.select("doc_id", "digest", "text", batch), "batch", min(parts(batches, TOGETHER), 50_000))
     release(spark)
 
+    def beside(found: DataFrame | None = None) -> DataFrame:
+        """What a batch needs besides its texts: (batch, data) of found, and which of its rows are copies."""
+        copied = gone.select("batch", F.lit(None).cast("binary").alias("data"), "doc_id", "digest")
+        none = (F.lit(0).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest"))
+        return copied if found is None else copied.unionByName(found.select("batch", "data", *none))
+
+    def apart(part: pd.DataFrame, side: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """A batch's rows that are no copies, in order: their places there name them in all steps; and the found data."""
+        part, copied = in_order(part), side[side.digest.notna()]
+        if len(copied):
+            known = set(zip(copied.doc_id.tolist(), map(bytes, copied.digest), strict=True))
+            keep = [x not in known for x in zip(part.doc_id.tolist(), map(bytes, part.digest), strict=True)]
+            part = part[keep].reset_index(drop=True)
+        return part, side[side.data.notna()]
+
     def in_order(part: pd.DataFrame) -> pd.DataFrame:
-        """A batch's rows by document and text: their places there name them in all steps."""
+        """A batch's rows by document and text."""
         return part.sort_values(["doc_id", "digest"], ignore_index=True)
 
     def deal(h: np.ndarray, groups: int):
@@ -139,7 +155,8 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         ids, first = np.unique(to[order], return_index=True)
         return zip(ids.tolist(), np.split(order, first[1:]), strict=True) if len(ids) else ()
 
-    def ask(part: pd.DataFrame) -> pd.DataFrame:
+    def ask(part: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        part, _ = apart(part, side)
         found, texts = [], part.text.tolist()
         for h, text, _, _ in stretches(texts, length):
             pairs = np.unique(np.stack([h, text.astype(np.uint64)]), axis=1) if len(h) < 2 else None
@@ -177,12 +194,12 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     empty = pd.DataFrame({"to": np.zeros(0, int), "batch": np.zeros(0, int), "cover": np.zeros(0, bool), "data": []})
 
     def send(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        part, answers = apart(part, answers)
         if not len(part) or not len(answers):
             return empty
         known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in answers.data]))
         if not len(known):
             return empty
-        part = in_order(part)
         texts, ids = part.text.tolist(), part.doc_id.tolist()
         first: dict[bytes, tuple[int, int, list[tuple[int, int]]]] = {}
         local: list[tuple[int, int, int]] = []
@@ -251,11 +268,12 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pd.DataFrame({"batch": np.array([x[0] for x in out], np.int64), "data": [x[1] for x in out]})
 
     def cut(part: pd.DataFrame, covers: pd.DataFrame) -> pd.DataFrame:
+        part, covers = apart(part, covers)
         if not len(part):
             return pd.DataFrame({"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}).astype({k: int for k in ("doc_id", "n_bytes", "n_removed", "n_spans")})
         all_ = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in covers.data]) if len(covers) else np.zeros((0, 3), np.int64)
         all_ = all_[np.argsort(all_[:, 0], kind="stable")]
-        part, out = in_order(part), []
+        out = []
         for row, (doc, text) in enumerate(zip(part.doc_id.tolist(), part.text.tolist(), strict=True)):
             a, e = np.searchsorted(all_[:, 0], row, "left"), np.searchsorted(all_[:, 0], row, "right")
             if a == e:
@@ -265,13 +283,13 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append((doc, len(text), int(m.sum()), int(m[0]) + int((m[1:] & ~m[:-1]).sum()), np.frombuffer(text, np.uint8)[~m].tobytes()))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    asked = work.groupBy("batch").applyInPandas(ask, "to long, batch long, data binary").repartition(hash_groups, "to")
+    asked = work.groupBy("batch").cogroup(beside().groupBy("batch")).applyInPandas(ask, "to long, batch long, data binary").repartition(hash_groups, "to")
     answers = stored(asked.groupBy("to").applyInPandas(answer, "batch long, data binary"))
     release(spark)
-    sent = work.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(send, "to long, batch long, cover boolean, data binary").repartition(groups, "to")
+    sent = work.groupBy("batch").cogroup(beside(answers).groupBy("batch")).applyInPandas(send, "to long, batch long, cover boolean, data binary").repartition(groups, "to")
     covers = stored(sent.groupBy("to").applyInPandas(sort, "batch long, data binary"))
     release(spark)
-    out = work.groupBy("batch").cogroup(covers.groupBy("batch")).applyInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = work.groupBy("batch").cogroup(beside(covers).groupBy("batch")).applyInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     n = F.octet_length("text").cast("long")
     zero = F.lit(0).cast("long")
     short = rows.where((F.octet_length("text") < length) | F.col("doc_id").isNull()).select("doc_id", n.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").alias("kept"))
