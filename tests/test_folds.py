@@ -95,6 +95,125 @@ def test_alerts_clock_and_trend():
     assert f.episodes
 
 
+def stalled_rows():
+    rows = recordings.synthetic({"/a": 20.0, "/b": 10.0, "/c": 50.0}, 60.0, 8)
+    start = rows[0][1]
+    return [r for r in rows if not 30 < (r[1] - start) / 1e9 < 37]
+
+
+def test_snapshots_leave_the_state_alone():
+    rows = stalled_rows()
+    fold, seen = folds.MissionFold(ROBOT), []
+    plain = folds.MissionFold(ROBOT)
+    for topic, log, _, _ in rows:
+        t = (log - rows[0][1]) / 1e9
+        fold.push(topic, t)
+        plain.push(topic, t)
+        if fold.n % 50 == 0:
+            seen.append(fold.snapshot())
+    assert fold.snapshot() == plain.snapshot() and fold.topics == plain.topics
+    assert 6.5 < seen[-1]["stalled_s"] < 7.5 and len(fold.stalls) == 1
+    assert [s["stalled_s"] for s in seen] == sorted(s["stalled_s"] for s in seen)
+
+
+def test_stalls_equal_the_batch(spark):
+    from tidemark.plans.detect import audited
+
+    rows = stalled_rows()
+    fold = folds.MissionFold(ROBOT, 3)
+    t0 = rows[0][1] // 1000
+    for topic, log, _, _ in rows:
+        fold.push(topic, (log // 1000 - t0) / 1e6)
+    got = [(round(r.t_start, 5), round(r.t_end, 5)) for r in audited(frame(spark, rows), None, ROBOT)["stalls"].collect()]
+    assert got == [(round(a, 5), round(b, 5)) for a, b in fold.stalls]
+
+
+def test_stream_restarts_with_its_state(spark, tmp_path):
+    from tidemark.streaming import monitor
+
+    rows = stalled_rows()
+    arrivals = frame(spark, rows).select(*KEYS, "us", "seq", "t")
+    pressure = monitor.Pressure()
+    spark.streams.addListener(pressure)
+    for k, part in enumerate(("t < 20", "t >= 20 and t < 45", "t >= 45")):
+        arrivals.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = spark.readStream.schema(arrivals.schema).parquet(str(tmp_path / "in"))
+        q = monitor.snapshots_of(s).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert spark.read.parquet(str(tmp_path / "out")).count() == k + 1
+    spark.streams.removeListener(pressure)
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("n").collect()
+    whole = folds.MissionFold(ROBOT)
+    t0 = rows[0][1] // 1000
+    for topic, log, _, _ in rows:
+        whole.push(topic, (log // 1000 - t0) / 1e6)
+    assert got[-1].n == len(rows) and abs(got[-1].stalled_s - whole.stalled()) < 1e-6 and got[1].alert in ("raise", "critical") and pressure.rows in (0, len(rows))
+
+
+def test_state_of_another_version_is_refused():
+    from tidemark.streaming import monitor
+
+    class State:
+        exists, get = True, (monitor.VERSION + 1, b"")
+
+    with pytest.raises(ValueError, match="version"):
+        monitor._restored(State(), dict)
+
+
+def test_drift_equals_the_fold(spark):
+    from tidemark.operators import degradation
+
+    rng = np.random.default_rng(3)
+    t, rows = 0.0, []
+    for k in range(6000):
+        t += (0.02 + 0.00001 * max(0, k - 1500)) * (1 + 0.02 * rng.normal())
+        rows.append(("m", "/a", k, int(t * 1e6)))
+    f = spark.createDataFrame(rows, "mission_id string, topic string, seq long, us long").withColumn("t", F.col("us") / 1e6)
+    timed, periods = cadence.timed(f, ROBOT)
+    got = degradation.degradation(timed, f.groupBy("mission_id").agg(F.max("t").alias("t_end")), ROBOT).collect()
+    assert len(got) == 1 and got[0].slope < -0.15 and got[0].hz_end < got[0].hz_start
+    mean, want, period = None, [], periods.first().period
+    t0, edge, last = None, None, None
+    for r in rows:  # the rule, one arrival after another
+        x = r[3] / 1e6
+        dt, last = (None, x) if last is None else (x - last, x)
+        if dt is None:
+            continue
+        mean = dt if mean is None else mean + ROBOT.ewma * (dt - mean)
+        if edge is None:
+            t0, edge = x, x + ROBOT.bucket
+            continue
+        while x >= edge:
+            want.append(1 / mean)
+            edge += ROBOT.bucket
+    buckets = [r.hz for r in degradation.rate_buckets(timed, ROBOT).orderBy("k").collect()]
+    assert np.allclose(buckets, want, rtol=1e-9) and period > 0 and t0 is not None
+
+
+def test_change_points_against_force(spark):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(m, 1, 60) for m in (0, 5, 1)])
+    d = spark.createDataFrame([("k", i, i, float(x)) for i, x in enumerate(v)], "key string, us long, seq long, v double")
+    got = [(r.cut, r.mean_before, r.mean_after) for r in series.changepoints(d, ["key"], 20, 2).orderBy("cut").collect()]
+
+    def sse(x):
+        return ((x - x.mean()) ** 2).sum()
+
+    first = min(range(20, 161), key=lambda i: sse(v[:i]) + sse(v[i:]))
+    second = min((sse(v[a:i]) + sse(v[i:b]) - sse(v[a:b]), i) for a, b in ((0, first), (first, 180)) if b - a >= 40 for i in range(a + 20, b - 19))[1]
+    cuts = sorted([first, second])
+    assert [g[0] for g in got] == cuts and got[0][1] == pytest.approx(v[: cuts[0]].mean()) and got[1][2] == pytest.approx(v[cuts[1] :].mean())
+
+
+def test_similar_recordings(spark):
+    from tidemark.operators import fleet
+
+    f = spark.createDataFrame([(i, float(i % 4), float(i), ["a", "b"], ["x"]) for i in range(20)], "id int, f1 double, f2 double, topics array<string>, templates array<string>")
+    s = spark.createDataFrame([(i, k, float(np.sin(k / 5 + (i % 5)))) for i in range(20) for k in range(60)], "id int, i int, v double")
+    got = fleet.most_similar(f, "id", ["f1", "f2"], "topics", "templates", 0, s, 3).collect()
+    assert [r.id for r in got] == [5, 10] + [got[2].id] and got[0].distance == got[1].distance == 0 and "same topics" in got[0].why
+
+
 def test_results():
     from tidemark.functions import fitted, next_page, page_start, spaced, tokens
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,6 +26,7 @@ class TopicFold:
     period: float | None = None
     period_cv: float = 0.0
     gaps: list[list[float]] = field(default_factory=list)  # start, end, period, silent
+    evicted: int = 0  # gaps that the cap has let go
 
     def _mode(self) -> float:
         c = self.config
@@ -70,9 +72,80 @@ class TopicFold:
             self.gaps[-1][3] += dt
         else:
             self.gaps.append([t - dt, t, p, dt])
-        if len(self.gaps) > c.gap_cap:
+        last = self.gaps[-1]
+        if len(self.gaps) > c.gap_cap:  # the longest stay
             self.gaps.remove(min(self.gaps, key=lambda g: g[1] - g[0]))
-        return self.gaps[-1]
+            self.evicted += 1
+        return last
+
+    def nominal(self) -> float:
+        """The spacing to expect: learned, else the mean so far, else 0."""
+        return self.period or ((self.last - self.first) / (self.n - 1) if self.n > 1 and self.last > self.first else 0.0)
+
+    def blind(self) -> bool:
+        """Whether there is no usable rate yet."""
+        if self.period is None or self.n < 2 or self.last <= self.first:
+            return True
+        return 1 / self.period > self.config.aperiodic_ratio * self.n / (self.last - self.first)
+
+
+@dataclass
+class MissionFold:
+    """All topics of a recording in order: gaps, and what of them are stalls, judged as each silence ends."""
+
+    config: Config = ROBOT
+    expected: int = 0  # topics that the recording declares; 0 if it can't tell
+    topics: dict[str, TopicFold] = field(default_factory=dict)
+    silences: dict[str, list[tuple[float, float]]] = field(default_factory=dict)  # of the last minute
+    stalls: list[list[float]] = field(default_factory=list)  # disjoint, in order
+    n: int = 0
+    end: float = 0.0
+
+    def push(self, topic: str, t: float) -> float | None:
+        """The share of topics that were silent with the silence that this arrival ends, if it ends one."""
+        fold = self.topics.setdefault(topic, TopicFold(self.config))
+        self.n, self.end = self.n + 1, max(self.end, t)
+        gap = fold.push(t)
+        if gap is None or fold.blind():
+            return None
+        own = [x for x in self.silences.get(topic, []) if x[1] >= t - 60 and x[0] != gap[0]]
+        self.silences[topic] = [*own, (gap[0], gap[1])]
+        share = self._share(topic, gap[0], gap[1])
+        if share > self.config.system_wide:
+            self._stall(gap[0], gap[1])
+        return share
+
+    def _share(self, topic: str, start: float, end: float) -> float:
+        there = {k: f for k, f in self.topics.items() if k != topic and f.first <= start}
+        due = {k: f for k, f in there.items() if not f.blind() and 0 < f.nominal() < end - start}
+        if not due:
+            return 0.0
+        need = self.config.overlap * (end - start)
+        silent = sum(f.last <= start or sum(max(0.0, min(end, b) - max(start, a)) for a, b in self.silences.get(k, ())) >= need for k, f in due.items())
+        return silent / max(len(due), (self.expected - 1) * len(due) / len(there))
+
+    def _stall(self, start: float, end: float) -> None:
+        out: list[list[float]] = []
+        for a, b in sorted([*self.stalls, [start, end]]):
+            if out and a <= out[-1][1] + self.config.stall_slack:
+                out[-1][1] = max(out[-1][1], b)
+            else:
+                out.append([a, b])
+        self.stalls = out
+
+    def stalled(self) -> float:
+        """Seconds in stalls, without those that are too long for one; what is sent on from here never falls."""
+        return sum(b - a for a, b in self.stalls if b - a <= self.config.stall_fraction * max(self.end, 1e-9))
+
+    def snapshot(self) -> dict[str, object]:
+        """The state as if the recording ended here, worked out on a copy: silences that last still count as gaps."""
+        twin = pickle.loads(pickle.dumps(self))
+        for f in twin.topics.values():
+            p = f.provisional()
+            if p and self.end - f.last > max(self.config.gap_k * p, self.config.gap_floor):
+                f.gaps.append([f.last, self.end, p, self.end - f.last])
+        gaps = [g for f in twin.topics.values() for g in f.gaps]
+        return {"n": self.n, "t": self.end, "topics": len(twin.topics), "gaps": len(gaps), "longest_gap_s": max((g[1] - g[0] for g in gaps), default=0.0), "stalled_s": self.stalled(), "evicted": sum(f.evicted for f in twin.topics.values())}
 
 
 @dataclass

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.series import slopes
+from tidemark.operators.series import dtw_rank, slopes
 
 
 def upserted(current: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -94,9 +94,11 @@ def preflight(history: DataFrame, unit: str, lookback: int = 5) -> DataFrame:
     return out.withColumn("decision", F.when(block, "block").when(warn, "warn").otherwise("go"))
 
 
-def fingerprint(history: DataFrame, unit: str, metrics: list[str], keep: int = 20) -> DataFrame:
-    """(unit, metric, slope, weight) of metrics that get worse, by how fast against their spread."""
-    rows = history.select(unit, F.col("x").cast("double").alias("x"), F.explode(F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*[F.col(m).cast("double") for m in metrics]))).alias("metric", "y"))
+def fingerprint(history: DataFrame, unit: str, metrics: list[str], keep: int = 20, lookback: int = 50) -> DataFrame:
+    """(unit, metric, slope, weight) of metrics that get worse over the last recordings, by how fast against their spread."""
+    last = F.row_number().over(Window.partitionBy(unit).orderBy(F.desc("x")))
+    rows = history.withColumn("_l", last).where(F.col("_l") <= lookback)
+    rows = rows.select(unit, F.col("x").cast("double").alias("x"), F.explode(F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*[F.col(m).cast("double") for m in metrics]))).alias("metric", "y"))
     out = trends(rows, [unit, "metric"]).where("trend = 'worsening'").withColumn("weight", F.abs("slope") / F.greatest("mad", F.lit(1e-9)))
     rank = F.row_number().over(Window.partitionBy(unit).orderBy(F.desc("weight"), "metric"))
     return out.withColumn("_r", rank).where(F.col("_r") <= keep).select(unit, "metric", "slope", "weight")
@@ -105,3 +107,77 @@ def fingerprint(history: DataFrame, unit: str, metrics: list[str], keep: int = 2
 def precedents(events: DataFrame, recordings: DataFrame, key: str, unit: str, kind: str, most: int = 20) -> DataFrame:
     """The newest events(key, kind, t) of a kind with their unit."""
     return events.where(F.col("kind") == kind).join(recordings, key).orderBy(F.desc("t"), key).limit(most)
+
+
+def affected(found: DataFrame, unit: str) -> DataFrame:
+    """(occurrences, units, fleet_wide) of precedents: whether more units than one have seen it."""
+    units = F.array_sort(F.collect_set(unit))
+    return found.agg(F.count("*").alias("occurrences"), units.alias("units"), (F.size(units) > 1).alias("fleet_wide"))
+
+
+#: What recordings rank by: a column of theirs, or an aggregate over their topics or events, 0 where they have none.
+METRICS = {
+    "health_score": ("recordings", F.max, "health_score"),
+    "duration_s": ("recordings", F.max, "duration_s"),
+    "message_count": ("recordings", F.max, "message_count"),
+    "size_bytes": ("recordings", F.max, "size_bytes"),
+    "gap_count": ("topics", F.sum, "gap_count"),
+    "estimated_dropped": ("topics", F.sum, "estimated_dropped"),
+    "max_jitter_cv": ("topics", F.max, "jitter_cv"),
+    "event_count": ("events", F.count, "severity"),
+    "critical_events": ("events", lambda c: F.sum((F.col(c) >= 4).cast("long")), "severity"),
+}
+
+
+def ranked(metric: str, recordings: DataFrame, topics: DataFrame, events: DataFrame, key: str, ascending: bool = False, most: int = 10) -> DataFrame:
+    """(metric, rank, key, value): the first recordings by one of METRICS; ties go by key."""
+    table, how, column = METRICS[metric]
+    if table == "recordings":
+        rows = recordings.select(key, F.col(column).cast("double").alias("value"))
+    else:
+        of = {"topics": topics, "events": events}[table].groupBy(key).agg(how(column).cast("double").alias("value"))
+        rows = recordings.select(key).join(of, key, "left").select(key, F.coalesce("value", F.lit(0.0)).alias("value"))
+    first = rows.orderBy(F.asc_nulls_last("value") if ascending else F.desc_nulls_last("value"), key).limit(most)
+    w = Window.orderBy(F.asc_nulls_last("value") if ascending else F.desc_nulls_last("value"), key)  # over the first few rows
+    return first.select(F.lit(metric).alias("metric"), F.row_number().over(w).alias("rank"), key, "value")
+
+
+def anchors(samples: DataFrame, key: str, signals: list[str], least: float = 0.05) -> DataFrame:
+    """(key, t, source): when a recording began to move, the first sample beyond least of the first signal that has one."""
+    place = F.array_position(F.array(*map(F.lit, signals)), F.col("signal"))
+    moving = samples.where(F.col("signal").isin(signals) & (F.abs("v") > least)).groupBy(key, "signal", place.alias("_p")).agg(F.min("t").alias("t"))
+    return moving.groupBy(key).agg(F.min_by("t", "_p").alias("t"), F.min_by("signal", "_p").alias("source"))
+
+
+def aligned(samples: DataFrame, key: str, mode: str, durations: DataFrame | None = None, moves: DataFrame | None = None) -> DataFrame:
+    """samples(key, t) with t as it is (absolute), as a share of the recording (progress), or since its anchor (event).
+
+    durations(key, duration_s) and moves(key, t) come from the catalog and anchors(); without an anchor t stays.
+    """
+    if mode == "progress":
+        out = samples.join(durations.select(key, "duration_s"), key)
+        return out.withColumn("t", F.col("t") / F.greatest("duration_s", F.lit(1e-9))).drop("duration_s")
+    if mode == "event":
+        out = samples.join(moves.select(key, F.col("t").alias("_m")), key, "left")
+        return out.withColumn("t", F.col("t") - F.coalesce("_m", F.lit(0.0))).drop("_m")
+    if mode != "absolute":
+        raise ValueError(mode)
+    return samples
+
+
+def most_similar(features: DataFrame, key: str, columns: list[str], topics: str, templates: str, target, series_: DataFrame | None = None, top: int = 5, band: int = 20) -> DataFrame:
+    """(key, similarity, distance, why): recordings like the target; time warping of series_(key, i, v) ranks a shortlist.
+
+    The shortlist are the first by similarity, three times as many as are asked for and ten at least.
+    """
+    both = similarity(features, key, columns, topics, templates, target)
+    goal = features.where(F.col(key) == target).select(F.col(topics).alias("_gt"), F.col(templates).alias("_gp"))
+    short = both.orderBy(F.desc("similarity"), key).limit(max(3 * top, 10)).join(features.select(key, topics, templates), key).crossJoin(F.broadcast(goal))  # one row
+    if series_ is not None:
+        near = series_.join(short.select(key).unionByName(features.where(F.col(key) == target).select(key)), key, "left_semi")
+        short = short.join(dtw_rank(near, key, target, band), key, "left")
+    else:
+        short = short.withColumn("distance", F.lit(None).cast("double"))
+    why = F.concat_ws(", ", F.when(jaccard(F.col(topics), F.col("_gt")) > 0.9, "same topics"), F.when(jaccard(F.col(templates), F.col("_gp")) > 0.5, "similar log patterns"), F.when(F.col("distance").isNotNull(), F.format_string("distance %.3f", "distance")))
+    out = short.select(key, "similarity", "distance", F.when(why == "", "closest of all").otherwise(why).alias("why"))
+    return out.orderBy(F.asc_nulls_last("distance"), F.desc("similarity"), key).limit(top)

@@ -65,6 +65,24 @@ def against_baseline(now: DataFrame, baseline: DataFrame, key: str, least: float
     return out.withColumn("passed", (order >= rank) & (F.col("score") >= least) & (F.col("before").isNull() | (F.col("before") - F.col("score") <= drop)))
 
 
+#: Which detectors' findings answer for a kind of label.
+ANSWERS = {"gap": ["gap", "stall", "subsystem"], "stall": ["stall", "subsystem", "gap"], "rate": ["rate_degradation"], "jitter": ["jitter"], "dropped": ["dropped", "gap"], "clock": ["clock", "clock_step"], "clock_lag": ["clock_lag"], "file": ["file_integrity"]}
+
+
+def answering(truth: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """truth(kind) and found(detector) with kind on both: a finding stands once for each kind it answers for."""
+    pairs = [(d, k) for k, ds in ANSWERS.items() for d in ds]
+    of = truth.sparkSession.createDataFrame(pairs, "detector string, kind string")
+    return truth, found.join(F.broadcast(of), "detector")  # a few rows
+
+
+def false_alarms(found: DataFrame, clean: DataFrame, key: str) -> DataFrame:
+    """(recordings, alarms, per_recording): findings in recordings that are known to be clean(key)."""
+    n = clean.join(found.groupBy(key).agg(F.count("*").alias("_n")), key, "left")
+    out = n.agg(F.count("*").alias("recordings"), F.coalesce(F.sum("_n"), F.lit(0)).alias("alarms"))
+    return out.withColumn("per_recording", F.when(F.col("recordings") > 0, F.col("alarms") / F.col("recordings")).otherwise(0.0))
+
+
 def matched(truth: DataFrame, found: DataFrame, keys: list[str], tolerance: float, cell: float) -> DataFrame:
     """(tp, fn, fp, precision, recall, f1) of truth(keys, id, lo, hi) windows and found(keys, id, lo, hi); 1 where undefined."""
     a = truth.select(*keys, F.col("id").alias("tid"), (F.col("lo") - tolerance).alias("ls"), (F.col("hi") + tolerance).alias("le"))

@@ -26,14 +26,14 @@ def concurrency(found: DataFrame, topics: DataFrame, arrivals: DataFrame, c: Con
 
     found(keys, gap, t_start, t_end); topics(keys, first_t, nominal, assessable), one row for each topic that has
     messages. Topics without a rate open no interval and have no vote. A topic counts if it was there before the interval
-    began and would have published within it; it is silent with it if its own intervals overlap enough of it, or it has
-    no message in it. The topics that count stand for all of the recording: where some start later, the share is of the
+    began and would have published within it; it is silent with it if its own intervals that have ended by then overlap
+    enough of it, or it has no message in it. The topics that count stand for all of the recording: where some start later, the share is of the
     same part of those.
     """
     found = found.join(topics.where("assessable").select(*KEYS), list(KEYS), "left_semi")
     own = found.select(*KEYS, "gap", F.col("t_start").alias("ls"), F.col("t_end").alias("le"))
     others = found.select("mission_id", F.col("topic").alias("other"), F.col("t_start").alias("rs"), F.col("t_end").alias("re"))
-    shared = overlapping(own, others, ["mission_id"], cell).where("topic <> other")
+    shared = overlapping(own, others, ["mission_id"], cell).where("topic <> other and re <= le")
     shared = shared.groupBy(*KEYS, "gap", "other").agg(F.sum(shared_seconds()).alias("s"))
     peers = topics.select("mission_id", F.col("topic").alias("other"), F.col("first_t").alias("from_t"), "nominal", "assessable")
     before = own.join(peers, "mission_id").where((F.col("topic") != F.col("other")) & (F.col("from_t") <= F.col("ls")))

@@ -63,12 +63,16 @@ def rolling_mad(v: np.ndarray, window: int) -> np.ndarray:
 
 
 def outliers_mad(samples: DataFrame, keys: list[str], k: float, window: int = 101) -> DataFrame:
-    """(keys, seq, score) of rolling robust z-scores over k; a series is one group, shorter ones than the window have none."""
+    """(keys, seq, score) of rolling robust z-scores over k; a series is one group.
+
+    The window shrinks to a shorter series, to five values at least; series of fewer have no outliers.
+    """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["us", "seq"], ignore_index=True)
         v = part.v.to_numpy(float)
-        part["score"] = rolling_mad(v, window) if len(v) >= window else 0.0
+        n = len(v)
+        part["score"] = rolling_mad(v, max(5, min(window, n if n % 2 else n - 1))) if n >= 5 else 0.0
         return part[part.score > k][[*keys, "seq", "score"]]
 
     kinds = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in [*keys, "seq"])
@@ -127,21 +131,54 @@ def changepoints(samples: DataFrame, keys: list[str], least: int = 20, most: int
     return samples.groupBy(*keys).applyInPandas(run, f"{kinds}, cut long, mean_before double, mean_after double, shift double")
 
 
+#: Positions of a series that one group correlates.
+BLOCK = 100_000
+
+
 def cross_correlation(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
-    """(lag, r) for two resampled series(i, v), by position; gaps hold the mean; the denominator is that of lag 0."""
-    n = F.least(F.lit(a.agg(F.max("i")).first()[0]), F.lit(b.agg(F.max("i")).first()[0]))
+    """(lag, r, n) for two resampled series(i, v), by position; gaps hold the mean; the denominator is that of lag 0.
+
+    Blocks of positions meet with what follows and precedes them by so many, and add up their products for all lags.
+    """
+    n = a.agg(F.max("i").alias("_a")).crossJoin(b.agg(F.max("i").alias("_b"))).select(F.least("_a", "_b").alias("_n"))  # one row
 
     def centred(d: DataFrame) -> DataFrame:
-        d = d.where(F.col("i") <= n)
-        m = d.agg(F.avg("v").alias("m"))
-        return d.crossJoin(F.broadcast(m)).select("i", (F.coalesce("v", "m") - F.col("m")).alias("x"))  # one row
+        d = d.crossJoin(F.broadcast(n)).where("i <= _n").drop("_n")
+        return d.crossJoin(F.broadcast(d.agg(F.avg("v").alias("m")))).select(F.col("i").cast("long").alias("i"), (F.coalesce("v", "m") - F.col("m")).alias("x"))
 
     x, y = centred(a), centred(b)
-    power = x.agg(F.sum(F.col("x") * F.col("x")).alias("px")).crossJoin(y.agg(F.sum(F.col("x") * F.col("x")).alias("py")))
-    lags = x.select("i", "x", F.explode(F.sequence(F.lit(-most).cast("long"), F.lit(most).cast("long"))).alias("lag"))
-    y = y.select(F.col("i").alias("j"), F.col("x").alias("y"))
-    out = lags.join(y, lags["i"] + lags["lag"] == y["j"]).groupBy("lag").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    return out.crossJoin(F.broadcast(power)).select("lag", (F.col("s") / F.sqrt(F.col("px") * F.col("py"))).alias("r"))
+    block = lambda i: F.floor(i / BLOCK)
+    x = x.select(block(F.col("i")).alias("block"), F.lit(0).alias("side"), "i", "x")
+    y = y.select(F.explode(F.array_distinct(F.array(block(F.col("i") - most), block(F.col("i")), block(F.col("i") + most)))).alias("block"), F.lit(1).alias("side"), "i", "x")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        at = int(part.block.iloc[0]) * BLOCK - most
+        one, other = np.zeros((2, BLOCK + 2 * most))
+        for side, to in ((0, one), (1, other)):
+            some = part[part.side == side]
+            to[(some.i - at).to_numpy()] = some.x.to_numpy()
+        mine = other[most : most + BLOCK]
+        own = one[most : most + BLOCK]
+        lags = np.arange(-most, most + 1)
+        s = [own @ other[most + k : most + k + BLOCK] for k in lags]
+        return pd.DataFrame({"lag": lags, "s": s, "px": own @ own, "py": mine @ mine, "n": int((part.side == 0).sum())})
+
+    out = x.unionByName(y).groupBy("block").applyInPandas(run, "lag long, s double, px double, py double, n long")
+    out = out.groupBy("lag").agg(*[F.sum(c).alias(c) for c in ("s", "px", "py", "n")])
+    return out.select("lag", F.when(F.col("px") * F.col("py") > 0, F.col("s") / F.sqrt(F.col("px") * F.col("py"))).otherwise(0.0).alias("r"), "n")
+
+
+def correlation(a: DataFrame, b: DataFrame, bin_s: float, most_s: float = 5.0) -> DataFrame:
+    """(lag_s, r, relation): the lag of the strongest correlation, and who leads; nothing below eight bins in common.
+
+    relation is none below 0.3, together without a lag, else a leads or b leads. Of equals the smallest lag counts.
+    """
+    rows = cross_correlation(a, b, int(most_s / bin_s)).where(F.abs("lag") <= F.least(F.lit(int(most_s / bin_s)), F.col("n") - 2))
+    best = rows.agg(F.min_by(F.struct("lag", "r", "n"), F.struct((-F.round(F.abs("r"), 9)).alias("s"), "lag")).alias("b"))
+    ok = F.col("b.n") >= 8
+    lag, r = F.when(ok, F.col("b.lag") * bin_s).otherwise(0.0), F.when(ok, F.col("b.r")).otherwise(0.0)
+    relation = F.when(F.abs(r) < 0.3, "none").when(F.abs(lag) < bin_s, "together").when(lag > 0, "a leads").otherwise("b leads")
+    return best.select(lag.alias("lag_s"), r.alias("r"), relation.alias("relation"))
 
 
 def cohens_d(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Column) -> Column:

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Points of a plan: 16 bytes each go to every task.
+PLAN = 100_000
+
+
 def steps(points: DataFrame, keys: list[str]) -> DataFrame:
     """points(keys, us, seq, t, x, y, z) with step lengths and the speed in the plane."""
     w = Window.partitionBy(*keys).orderBy("us", "seq")
@@ -42,7 +46,12 @@ def curvature(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def deviation(points: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, mean, max) distance of points from the nearest point of plan(px, py), a polyline of one message."""
+    """(keys, mean, max) distance of points from the nearest point of plan(px, py), a polyline of one message.
+
+    The plan goes to all tasks; one of over PLAN points is refused.
+    """
+    if plan.limit(PLAN + 1).count() > PLAN:
+        raise ValueError(f"a plan has {PLAN} points at most")
     near = points.crossJoin(F.broadcast(plan)).groupBy(*keys, "seq").agg(F.min(F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2)).alias("d"))
     return near.groupBy(*keys).agg(F.avg("d").alias("mean_deviation"), F.max("d").alias("max_deviation"))
 

@@ -63,6 +63,17 @@ def cross_correlate_lag(spark: SparkSession, d: str) -> DataFrame:
     return series.cross_correlation(_binned(spark, d, "click"), _binned(spark, d, "view"), 5).select("lag", F.round("r", 5).alias("r"))
 
 
+def correlate_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Whether clicks lead views or follow them, by bins of six hours."""
+    out = series.correlation(_binned(spark, d, "click"), _binned(spark, d, "view"), 21600.0, 108000.0)
+    return out.select("lag_s", F.round("r", 5).alias("r"), "relation")
+
+
+def outliers_mad_short(spark: SparkSession, d: str) -> DataFrame:
+    """Outliers of each user's values, whose series are shorter than the window."""
+    return series.outliers_mad(arrivals(spark, d), ["user_id"], 3.0).select("user_id", "seq", F.round("score", 4).alias("score"))
+
+
 def _sided(spark, d):
     a = arrivals(spark, d)
     half = a.groupBy("mission_id").agg((F.max("t") / 2).alias("h"))
@@ -213,7 +224,7 @@ def payload_flatten(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.explode(m).alias("key", "value"))
 
 
-QUERIES = {f.__name__: f for f in (resample_mean_with_gaps, resample_empty_runs, describe_field, json_field_stats, outliers_zscore, outliers_iqr, outliers_mad, changepoint_first, changepoints_all, cross_correlate_lag, compare_windows, ks_statistic, ewma_interarrival, theil_sen_trend, rate_bucket_trend, rolling_stats, median_absolute_deviation, nearest_message, decimated_sample, redacted_projection, topic_time_window, log_template_cluster, log_filter_levels, log_burst, event_timeline_union, log_signal_coincidence, trajectory_summary, stops, curvature, plan_deviation, tf_edges, tf_roots, stall_pattern_dispersion, stall_attribution, payload_flatten)}
+QUERIES = {f.__name__: f for f in (resample_mean_with_gaps, resample_empty_runs, describe_field, json_field_stats, outliers_zscore, outliers_iqr, outliers_mad, changepoint_first, changepoints_all, cross_correlate_lag, correlate_signals, outliers_mad_short, compare_windows, ks_statistic, ewma_interarrival, theil_sen_trend, rate_bucket_trend, rolling_stats, median_absolute_deviation, nearest_message, decimated_sample, redacted_projection, topic_time_window, log_template_cluster, log_filter_levels, log_burst, event_timeline_union, log_signal_coincidence, trajectory_summary, stops, curvature, plan_deviation, tf_edges, tf_roots, stall_pattern_dispersion, stall_attribution, payload_flatten)}
 
 STEPS |= {
     "span": f"SELECT {K}, min(t) AS t0, greatest(1, ceil((max(t) - min(t)) / 3600.0))::BIGINT AS nb FROM a GROUP BY ALL",
@@ -226,6 +237,11 @@ STEPS |= {
     "mp": "SELECT *, list_concat(list_concat(list_transform(range(greatest(0, 51 - i)), lambda x: fv), l), list_transform(range(greatest(0, 50 - (c - i))), lambda x: lv)) AS p FROM mw WHERE c >= 101",
     "mm": "SELECT *, list_sort(p)[51] AS med FROM mp",
     "mz": "SELECT *, list_sort(list_transform(p, lambda x: abs(x - med)))[51] AS mad FROM mm",
+    "mu": "SELECT user_id, seq, v, row_number() OVER (PARTITION BY user_id ORDER BY us, seq) AS i, count(*) OVER (PARTITION BY user_id) AS c FROM a",
+    "ml": "SELECT user_id, list(v ORDER BY us, seq) AS l FROM a GROUP BY ALL",
+    "mh": "SELECT user_id, seq, v, list_transform(range(-h, h + 1), lambda j: l[greatest(1, least(c, i + j))]) AS p, h FROM (SELECT mu.*, l, greatest(5, least(101, CASE WHEN c % 2 = 1 THEN c ELSE c - 1 END)) // 2 AS h FROM mu JOIN ml USING (user_id) WHERE c >= 5)",
+    "mk": "SELECT *, list_sort(p)[h + 1] AS med FROM mh",
+    "mj": "SELECT *, list_sort(list_transform(p, lambda x: abs(x - med)))[h + 1] AS mad FROM mk",
     "cp": f"SELECT *, row_number() OVER w AS i, sum(v) OVER w AS s, count(*) OVER (PARTITION BY {K}) AS c, sum(v) OVER (PARTITION BY {K}) AS al FROM a WINDOW w AS (PARTITION BY {K} ORDER BY us, seq ROWS UNBOUNDED PRECEDING)",
     "sided": "SELECT a.*, CASE WHEN t < h THEN 'a' ELSE 'b' END AS side FROM a JOIN (SELECT mission_id, max(t) / 2 AS h FROM a GROUP BY ALL) USING (mission_id)",
     "kc": f"SELECT {K}, v, sum((side = 'a')::INT) AS na, sum((side = 'b')::INT) AS nb FROM sided GROUP BY ALL",
@@ -292,6 +308,7 @@ SQL = {
         f"""SELECT lag, round(s / sqrt(px * py), 5) AS r FROM (SELECT l AS lag, sum(x.x * y.x) AS s FROM (SELECT unnest(range(-5, 6)) AS l), x0 x JOIN y0 y ON y.i = x.i + l GROUP BY ALL), (SELECT sum(x * x) AS px FROM x0), (SELECT sum(x * x) AS py FROM y0)""".replace("FROM (SELECT l AS lag", "FROM (WITH n AS (SELECT least((SELECT max(i) FROM " + _six("click") + "), (SELECT max(i) FROM " + _six("view") + ")) AS n), x1 AS (SELECT * FROM " + _six("click") + " WHERE i <= (SELECT n FROM n)), y1 AS (SELECT * FROM " + _six("view") + " WHERE i <= (SELECT n FROM n)), x0 AS (SELECT i, coalesce(v, (SELECT avg(v) FROM x1)) - (SELECT avg(v) FROM x1) AS x FROM x1), y0 AS (SELECT i, coalesce(v, (SELECT avg(v) FROM y1)) - (SELECT avg(v) FROM y1) AS x FROM y1) SELECT (SELECT sum(x * x) FROM x0) AS px, (SELECT sum(x * x) FROM y0) AS py, l AS lag").replace(", (SELECT sum(x * x) AS px FROM x0), (SELECT sum(x * x) AS py FROM y0)", ""),
         "a",
     ),
+    "outliers_mad_short": chain("SELECT user_id, seq, round(abs(v - med) / (1.4826::DOUBLE * mad), 4) AS score FROM mj WHERE mad > 0 AND abs(v - med) / (1.4826::DOUBLE * mad) > 3.0", "mj"),
     "compare_windows": chain(f"SELECT {K}, n_a, n_b, {r('mean_a')}, {r('mean_b')}, {r('d')}, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS magnitude FROM (SELECT *, CASE WHEN n_a >= 2 AND n_b >= 2 AND ((n_a - 1) * va + (n_b - 1) * vb) > 0 THEN (mean_b - mean_a) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2)) ELSE 0 END AS d FROM (SELECT {K}, count(v) FILTER (side = 'a') AS n_a, count(v) FILTER (side = 'b') AS n_b, avg(v) FILTER (side = 'a') AS mean_a, avg(v) FILTER (side = 'b') AS mean_b, var_samp(v) FILTER (side = 'a') AS va, var_samp(v) FILTER (side = 'b') AS vb FROM sided GROUP BY ALL))", "sided"),
     "ks_statistic": chain(f"SELECT {K}, round(coalesce(max(g), 0), 6) AS ks FROM (SELECT {K}, abs(sum(na) OVER o / sum(na) OVER w - sum(nb) OVER o / sum(nb) OVER w) AS g FROM kc WINDOW o AS (PARTITION BY {K} ORDER BY v), w AS (PARTITION BY {K})) GROUP BY ALL", "kc"),
     "ewma_interarrival": chain(f"SELECT {K}, round(list_reduce(list(dt ORDER BY us, seq), lambda acc, x: acc + {C.ewma}::DOUBLE * (x - acc)), 4) AS ewma FROM ia WHERE dt > 0 GROUP BY ALL", "ia"),
@@ -318,3 +335,4 @@ SQL = {
     "stall_attribution": chain(f"SELECT {K}, n_pre, n_base, round(d, 4) AS d, round(consistency, 4) AS consistency, CASE WHEN d IS NULL THEN 'no_data' WHEN abs(d) >= 0.5 AND consistency >= 0.7 AND stalls >= 3 THEN 'attributed' ELSE 'unexplained' END AS verdict FROM (SELECT *, CASE WHEN n_pre >= 10 AND n_base >= 50 AND v_pre + v_base > 0 THEN greatest(-10, least(10, (m_pre - m_base) / sqrt((v_pre + v_base) / 2))) END AS d FROM sums LEFT JOIN shift USING ({K}))", "shift"),
     "payload_flatten": "SELECT event_id, 'k' AS key, props->>'$.k' AS value FROM events",
 }
+SQL["correlate_signals"] = SQL["cross_correlate_lag"].replace("SELECT lag, round(s / sqrt(px * py), 5) AS r FROM", "SELECT lag * 21600.0::DOUBLE AS lag_s, round(r, 5) AS r, CASE WHEN abs(r) < 0.3 THEN 'none' WHEN lag = 0 THEN 'together' WHEN lag > 0 THEN 'a leads' ELSE 'b leads' END AS relation FROM (SELECT lag, s / sqrt(px * py) AS r FROM", 1) + ") ORDER BY round(abs(r), 9) DESC, lag LIMIT 1"

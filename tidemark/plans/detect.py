@@ -336,7 +336,7 @@ STEPS = {
     "episodes": f"SELECT {K}, run, min(t) AS t_start, max(next_t) AS t_end, max(cv) AS peak, min(threshold) AS threshold FROM j4 WHERE high = 1 GROUP BY ALL HAVING max(next_t) - min(t) >= {C.jitter_sustain}",
     "topics": f"SELECT {K}, first_t, coalesce(period, mean_dt) AS nominal, period IS NOT NULL AND coalesce(NOT 1 / period > {C.aperiodic_ratio} * sustained_hz, true) AS ok FROM rates LEFT JOIN learned USING ({K})",
     "vg": f"SELECT gaps.* FROM gaps JOIN topics USING ({K}) WHERE ok",
-    "shared": f"SELECT g.mission_id, g.topic, g.gap, o.topic AS other, sum(greatest(0, least(g.t_end, o.t_end) - greatest(g.t_start, o.t_start))) AS s FROM vg g JOIN vg o ON g.mission_id = o.mission_id AND g.topic <> o.topic AND g.t_start < o.t_end AND o.t_start < g.t_end GROUP BY ALL",
+    "shared": f"SELECT g.mission_id, g.topic, g.gap, o.topic AS other, sum(greatest(0, least(g.t_end, o.t_end) - greatest(g.t_start, o.t_start))) AS s FROM vg g JOIN vg o ON g.mission_id = o.mission_id AND g.topic <> o.topic AND g.t_start < o.t_end AND o.t_start < g.t_end AND o.t_end <= g.t_end GROUP BY ALL",
     "asked": "SELECT g.mission_id, g.topic, g.gap, g.t_start AS ls, g.t_end AS le, p.topic AS other, coalesce(p.ok AND p.nominal > 0 AND p.nominal < g.t_end - g.t_start, false) AS due FROM vg g JOIN topics p ON g.mission_id = p.mission_id AND g.topic <> p.topic AND p.first_t <= g.t_start",
     "seen": "SELECT asked.*, a.t AS last_seen FROM asked ASOF LEFT JOIN a ON asked.mission_id = a.mission_id AND asked.other = a.topic AND asked.le >= a.t",
     "silent": f"SELECT seen.*, due AND (coalesce(s, 0) >= {C.overlap} * (le - ls) OR last_seen <= ls) AS hit FROM seen LEFT JOIN shared USING (mission_id, topic, gap, other)",

@@ -132,6 +132,50 @@ def precedents(spark: SparkSession, d: str) -> DataFrame:
     return fleet.precedents(e, m, "id", "unit", "error").select("id", "kind", R("t"), "unit")
 
 
+def precedents_summary(spark: SparkSession, d: str) -> DataFrame:
+    out = fleet.affected(precedents(spark, d), "unit")
+    return out.select("occurrences", F.array_join(F.transform("units", lambda x: x.cast("string")), ",").alias("units"), "fleet_wide")
+
+
+def rank_missions(spark: SparkSession, d: str) -> DataFrame:
+    """The first five orders by each metric; lines stand for topics, and lines that were returned for events."""
+    m = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("health_score"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("duration_s"), (F.col("o_custkey") % 1000).alias("message_count"), (F.col("o_totalprice") * 100).cast("long").alias("size_bytes"))
+    lines = table(spark, d, "lineitem")
+    topics = lines.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("gap_count"), F.col("l_quantity").alias("estimated_dropped"), F.col("l_discount").alias("jitter_cv"))
+    events = lines.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("severity"))
+    out = [fleet.ranked(k, m, topics, events, "id", k == "duration_s", 5) for k in fleet.METRICS]
+    for x in out[1:]:
+        out[0] = out[0].unionByName(x)
+    return out[0].select("metric", "rank", "id", F.round("value", 4).alias("value"))
+
+
+def alignment_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's first arrival by the clock, as a share of the recording and since the user's anchor."""
+    a = arrivals(spark, d).select("user_id", F.col("topic").alias("signal"), "t", "v")
+    moves = fleet.anchors(a, "user_id", ["purchase", "signup", "click"], 90.0)
+    durations = a.groupBy("user_id").agg(F.max("t").alias("duration_s"))
+    first = a.groupBy("user_id").agg(F.min("t").alias("t"))
+    out = first.select("user_id", F.col("t").alias("absolute")).join(moves.select("user_id", F.col("t").alias("anchor"), "source"), "user_id", "left")
+    for mode in ("progress", "event"):
+        out = out.join(fleet.aligned(first, "user_id", mode, durations, moves).withColumnRenamed("t", mode), "user_id")
+    return out.select("user_id", R("absolute"), R("anchor"), "source", R("progress"), R("event"))
+
+
+def find_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The five users most like user 1, by fingerprint and then by time warping."""
+    bins = series.resample(arrivals(spark, d), ["user_id"], 43200.0).where("mean is not null").select("user_id", F.col("bin").alias("i"), F.col("mean").alias("v"))
+    out = fleet.most_similar(_features(spark, d), "user_id", ["f1", "f2", "f3"], "topics", "templates", 1, bins)
+    return out.select("user_id", R("similarity", 5), R("distance"), "why")
+
+
+def false_alarms_per_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Long gaps of topics, taking recordings in which errors are few as clean."""
+    a = arrivals(spark, d)
+    clean = a.groupBy(*KEYS).agg(F.max("v").alias("m")).where("topic <> 'error'").select(F.concat_ws("/", *KEYS).alias("id"))
+    found = _gaps(spark, d).where("duration_s > 5400").select(F.concat_ws("/", *KEYS).alias("id"))
+    return gate.false_alarms(found, clean, "id").select("recordings", "alarms", R("per_recording", 4))
+
+
 def _episodes(spark, d):
     """A unit's events as an episode."""
     a = arrivals(spark, d)
@@ -209,7 +253,7 @@ def nation_orders(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("r_name", "n_name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orders"), F.round(F.coalesce(F.sum("v"), F.lit(0.0)), 2).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (fleet_summary, group_counts, missions_filtered_page, mission_search, cohort_compare, cohort_before_after, rank_metric, regression_scan, mission_similarity, signal_diff, topic_set_diff, unindexed_antijoin, latest_tag_upsert, replace_rows, signal_stats, preflight, unit_fingerprint, precedents, gate_decisions, gate_summary, gate_rejections, quality_gate, detector_precision_recall, qos_rules, vector_topk_cosine, dtw_rank, stalls_joined, nation_orders)}
+QUERIES = {f.__name__: f for f in (fleet_summary, group_counts, missions_filtered_page, mission_search, cohort_compare, cohort_before_after, rank_metric, regression_scan, mission_similarity, signal_diff, topic_set_diff, unindexed_antijoin, latest_tag_upsert, replace_rows, signal_stats, preflight, unit_fingerprint, precedents, precedents_summary, rank_missions, alignment_modes, find_similar, false_alarms_per_clean, gate_decisions, gate_summary, gate_rejections, quality_gate, detector_precision_recall, qos_rules, vector_topk_cosine, dtw_rank, stalls_joined, nation_orders)}
 
 STEPS |= {
     "mi": "SELECT o_orderkey AS id, o_custkey AS unit, o_orderstatus AS verdict, o_totalprice AS value, o_orderdate AS day, o_orderpriority AS tag FROM orders",
@@ -263,6 +307,10 @@ SQL = {
     "preflight": chain("SELECT user_id, n, last_score, compromised, round(slope, 6) AS slope, CASE WHEN last_score < 60 OR compromised >= 2 THEN 'block' WHEN last_score < 85 OR coalesce(slope, 0) < -2 OR n < 3 THEN 'warn' ELSE 'go' END AS decision FROM (SELECT user_id, count(*) AS n, arg_max(score, x) AS last_score, sum((score < 60)::INT)::BIGINT AS compromised FROM hl GROUP BY ALL) LEFT JOIN (SELECT p.user_id, quantile_cont((q.score - p.score) / (q.x - p.x), 0.5) AS slope FROM hl p JOIN hl q ON p.user_id = q.user_id AND p.x < q.x GROUP BY ALL) USING (user_id)", "hl"),
     "unit_fingerprint": chain(f"SELECT user_id, metric, {r('slope')}, round(abs(slope) / greatest(mad, 1e-9), 4) AS weight FROM ({_trend('hm', 'user_id, metric')}) WHERE n >= 3 AND abs(slope) * (n - 1) > mad AND slope <= 0", "hm"),
     "precedents": chain("SELECT seq AS id, topic AS kind, round(t, 6) AS t, user_id AS unit FROM a WHERE topic = 'error' ORDER BY a.t DESC, seq LIMIT 20", "a"),
+    "precedents_summary": chain("SELECT count(*) AS occurrences, array_to_string(list_sort(list(DISTINCT unit)), ',') AS units, count(DISTINCT unit) > 1 AS fleet_wide FROM (SELECT user_id AS unit FROM a WHERE topic = 'error' ORDER BY a.t DESC, seq LIMIT 20)", "a"),
+    "rank_missions": " UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS metric, row_number() OVER (ORDER BY {v} {o}, o_orderkey)::INT AS rank, o_orderkey AS id, round(({v})::DOUBLE, 4) AS value FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_linenumber) AS g, sum(l_quantity) AS q, max(l_discount) AS j, count(*) FILTER (l_returnflag = 'R') AS e, count(*) FILTER (l_returnflag = 'R' AND l_linenumber >= 4) AS x FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey) WHERE rank <= 5" for k, v, o in (("health_score", "o_totalprice", "DESC"), ("duration_s", "epoch_us(o_orderdate)", "ASC"), ("message_count", "o_custkey % 1000", "DESC"), ("size_bytes", "trunc(o_totalprice * 100)", "DESC"), ("gap_count", "coalesce(g, 0)", "DESC"), ("estimated_dropped", "coalesce(q, 0)", "DESC"), ("max_jitter_cv", "coalesce(j, 0)", "DESC"), ("event_count", "coalesce(e, 0)", "DESC"), ("critical_events", "coalesce(x, 0)", "DESC"))),
+    "alignment_modes": chain("SELECT user_id, round(t0, 6) AS absolute, round(m, 6) AS anchor, source, round(t0 / greatest(t1, 1e-9), 6) AS progress, round(t0 - coalesce(m, 0), 6) AS event FROM (SELECT user_id, min(t) AS t0, max(t) AS t1 FROM a GROUP BY ALL) LEFT JOIN (SELECT user_id, arg_min(t, p) AS m, arg_min(topic, p) AS source FROM (SELECT user_id, topic, min(t) AS t, list_position(['purchase', 'signup', 'click'], topic) AS p FROM a WHERE topic IN ('purchase', 'signup', 'click') AND abs(v) > 90 GROUP BY ALL) GROUP BY ALL) USING (user_id)", "a"),
+    "false_alarms_per_clean": chain(f"SELECT count(*) AS recordings, coalesce(sum(n), 0)::BIGINT AS alarms, round(coalesce(sum(n), 0) / count(*), 4) AS per_recording FROM (SELECT DISTINCT {K} FROM a WHERE topic <> 'error') LEFT JOIN (SELECT {K}, count(*) AS n FROM gaps WHERE duration_s > 5400 GROUP BY ALL) USING ({K})", "gaps"),
     "gate_decisions": chain("SELECT user_id, verdict, decision, reasons FROM ep", "ep"),
     "gate_summary": chain("SELECT decision, count(*) AS n, round(sum(t_end), 4) AS seconds FROM ep GROUP BY ALL", "ep"),
     "gate_rejections": chain("SELECT code, count(*) AS n FROM (SELECT unnest(string_split(reasons, ',')) AS code FROM ep WHERE reasons <> '') GROUP BY ALL", "ep"),

@@ -28,6 +28,19 @@ def stream_gaps(spark: SparkSession, d: str) -> DataFrame:
     return seen.select(*KEYS, F.round("t_start", 6).alias("t_start"), F.round("t_end", 6).alias("t_end"), F.round("period", 5).alias("period"))
 
 
+def stream_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots of each recording after every 500 arrivals, as a stream of the events gives them."""
+    e = table(spark, d, "events")
+    raw = spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet*")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    t = (us - F.unix_micros(F.date_trunc("month", "ts").cast("timestamp"))) / F.lit(1e6)
+    rows = raw.select(F.date_format("ts", "yyyy-MM").alias("mission_id"), F.col("event_type").alias("topic"), F.col("event_id").alias("seq"), us.alias("us"), t.alias("t"))
+    out = fresh_folder(spark)
+    q = monitor.snapshots_of(rows, 500, C).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(monitor.SNAPSHOT).parquet(f"{out}/rows")
+
+
 def recording_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Generated recordings in three formats, parsed on the executors: messages, topics and time by format."""
     import pyarrow as pa
@@ -61,7 +74,7 @@ def pointcloud_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*KEYS, "n", F.round("mean_points", 4).alias("mean_points"), "min_points", "max_points", F.round("empty_share", 4).alias("empty_share"), F.round("mean_bytes", 4).alias("mean_bytes"), "verdict")
 
 
-QUERIES = {f.__name__: f for f in (stream_gaps, recording_roundtrip, db3_join, keyframes_nearest, pointcloud_summary)}
+QUERIES = {f.__name__: f for f in (stream_gaps, stream_snapshots, recording_roundtrip, db3_join, keyframes_nearest, pointcloud_summary)}
 
 SQL = {
     "stream_gaps": chain(f"SELECT {K}, round(first_value((us - m) / 1e6 - dt) OVER w, 6) AS t_start, round((us - m) / 1e6, 6) AS t_end, round(first_value(period) OVER w, 5) AS period FROM (SELECT *, epoch_us(strptime(mission_id || '-01', '%Y-%m-%d')) AS m FROM c2) WINDOW w AS (PARTITION BY {K}, gap ORDER BY us, seq)", "c2"),
