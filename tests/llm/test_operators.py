@@ -284,8 +284,12 @@ def test_sentencepiece(docs, empty):
     v = sentencepiece.StreamingViterbi(m)
     v.feed("▁the▁cat▁sat" * 400)
     assert len(v.text) <= 3 * m.longest  # decided parts are let go
-    out = sentencepiece.decoded(sentencepiece.encoded(docs, path), path).toPandas()
-    assert dict(zip(out.doc_id, out.text, strict=True)) == {**dict(rows_of(docs))} or len(out) == docs.count()
+    assert len(m.known) + len(m.older) > 0 and all(len(k) <= 64 for k in m.known)
+    out = sentencepiece.decoded(sentencepiece.encoded(docs, path), path).collect()
+    assert sorted((str(r.doc_id), r.text) for r in out) == sorted((str(i), t.replace("▁", " ")) for i, t in rows_of(docs))
+    for r in sentencepiece.encoded(docs, path).collect():
+        t = {**dict(rows_of(docs)), 5: texts()[5]}[r.doc_id]
+        assert np.frombuffer(r.ids, "<u4").tolist() == sp.encode(t)
     assert sentencepiece.encoded(empty, path).count() == 0
     assert sentencepiece_model_pb2 is not None
 
@@ -403,12 +407,19 @@ def test_embeddings(spark):
         if (new == comp).all():
             break
         comp = new
-    found = sum(got[i][0] for i in ids.tolist())
-    assert found >= 0.99 * near.sum() and found <= near.sum()
-    assert np.mean([got[i] == (int(n), int(c)) for i, n, c in zip(ids.tolist(), near.sum(1), comp, strict=True)]) > 0.97
+    assert all(got[i] == (int(n), int(c)) for i, n, c in zip(ids.tolist(), near.sum(1), comp, strict=True))
     assert all(got[i] == (0, i) for i in range(2000, 2006))
 
 
+def test_embeddings_odd_rows(spark):
+    kind = "vec_id long, embedding array<float>, label int, kept string, shard int"
+    assert embeddings.near_duplicates(spark.createDataFrame([], kind)).count() == 0
+    v = [1.0, 2.0, 3.0]
+    rows = [(None, v, 1, "x", 9), (1, v, 1, "x", 9), (1, v, 1, "y", 9), (2, [2.0, 4.0, 6.0], 1, None, 1), (3, v, 2, None, 1), (4, [3.0, -1.0, 0.0], 1, None, None)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows, kind)).collect()), key=str)
+    assert got == sorted([(None, 0, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True)], key=str)
+
+
 def test_graph_recall():
     rng = np.random.default_rng(5)
     x = embeddings.unit(rng.normal(size=(1500, 24)) + 3 * rng.normal(size=(30, 24))[rng.integers(0, 30, 1500)])
@@ -453,11 +464,48 @@ def test_marginals_equal_enumeration():
     assert np.allclose(p[:4], want) and np.isclose(p[4], 1 / (1 + np.exp(-(u[4] + start))))
 
 
-def test_held_out_accuracy(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    found = toxicity.score(docs, toxicity.trained(docs, labels)).join(labels, "doc_id").where(toxicity.held_out())
-    rows = found.select("score", "toxic").collect()
-    assert np.mean([(r.score >= 0.5) == bool(r.toxic) for r in rows]) >= 0.85
+def test_held_out_ranking(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.trained(docs, labels)
+    held = docs.join(labels.where(toxicity.held_out()), "doc_id", "left_semi")
+    rows = toxicity.score(held, model).join(labels, "doc_id").select("score", "toxic").collect()
+    bad, good = np.array([r.score for r in rows if r.toxic]), np.array([r.score for r in rows if not r.toxic])
+    auc = np.mean([np.mean(b > good) + 0.5 * np.mean(b == good) for b in bad])
+    assert len(bad) >= 20 and auc >= 0.9 and np.mean(bad >= 0.5) >= 0.7 and np.mean(good >= 0.5) <= 0.05
+
+
+def test_offsets_are_places_in_the_text(spark):
+    y = np.array([k % 3 == 0 for k in range(300)])
+    rng = random.Random(8)
+    words = ["river", "stone", "table", "green", "walks", "under"]
+    model = toxicity.fit([" ".join(rng.choice(words) for _ in range(30)) + (" grubble grubble" if t else "") for t in y], y.astype(int))
+    text = "İİİİ river STONE Grubble GRUBBLE under"
+    r = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert len(toxicity.lowered(text)) == len(text) and [text[s.start : s.end].lower() for s in r.spans] == ["grubble grubble"]
+
+
+def test_placing_against_force():
+    rng = np.random.default_rng(6)
+    demand = rng.random((60, 3)) * np.array([0.1, 0.05, 0.02])
+    left = np.ones((5, 3))
+    want = np.empty(60, int)
+    for i in np.argsort(-demand.max(axis=1), kind="stable"):
+        dots = [sum(w * d * r for w, d, r in zip(sharding.WEIGHTS, demand[i], row, strict=True)) for row in left]
+        want[i] = max(range(5), key=lambda k: (round(dots[k], 12), -k))
+        left[want[i]] -= demand[i]
+    residual = np.ones((5, 3))
+    assert sharding.place(demand, residual).tolist() == want.tolist() and np.allclose(residual, left)
+
+
+def test_planted_secrets_are_found(spark):
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = {r.doc_id: r for r in secrets.scan(docs, secrets.trained()).collect()}
+    planted = {r.doc_id: re.findall(r'(?:token|key|secret|password)\s*=\s*"([0-9a-f]{40})"', r.text or "") for r in docs.collect()}
+    with_ = [i for i, x in planted.items() if x]
+    assert len(with_) >= 5 and all(x not in out[i].redacted for i in with_ for x in planted[i])
+    assert sum(any(f.secret for f in out[i].findings) for i in out if not planted[i]) <= 0.02 * len(out)
 
 
 def test_pipeline(spark, tmp_path):
@@ -474,3 +522,60 @@ def test_pipeline(spark, tmp_path):
     assert kept.where("text rlike 'token = \"[0-9a-f]{40}\"'").count() == 0
     out = pipeline.run(spark, SF)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def test_pipeline_against_force(spark, tmp_path):
+    """Every stage's rows against plain Python, on texts with exact and near copies, nulls, repeated rows and clashing columns."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    base = texts()
+    for t in base[3:9]:
+        w = t.split()
+        base += [" ".join([*w, "added"]), " ".join(w[:-1]), " ".join(rng.sample(w, len(w)))]
+    rows = [(i, t, "en", "s", len(t), i) for i, t in enumerate(base)]
+    rows += [(700, None, None, None, None, None), (701, base[10], "en", "s", 1, 1), (701, base[10], "en", "s", 1, 1), (5, "another text of five", "en", "s", 1, 1), (None, "no id", "en", "s", 1, 1)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, digest long"
+    docs = spark.createDataFrame(rows, kind).repartition(4)
+    model = toxicity.trained(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    steps = dict(pipeline.STAGES)
+
+    def run(name, df):
+        out = steps[name](spark, df, SF)
+        out.write.parquet(str(tmp_path / name.replace(" ", "_")))
+        return spark.read.parquet(str(tmp_path / name.replace(" ", "_")))
+
+    key = lambda x: (str(x[0]), str(x[1]))
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=key)
+    scores = {(r.doc_id, r.text): toxicity.score(spark.createDataFrame([(r.doc_id, r.text)], "doc_id long, text string"), model).first().score for r in docs.limit(5).collect()}
+    clean = run("toxicity", docs)
+    bad = {r.doc_id for r in toxicity.score(docs, model).where("score >= 0.5").collect()}
+    assert pairs(clean) == sorted(((i, t) for i, t, *_ in rows if i is None or i not in bad), key=key) and all(0 <= s <= 1 for s in scores.values())
+    once = run("exact dedup", clean)
+    best = {}
+    for i, t in pairs(clean):
+        k = t or ""
+        if k not in best or (i is not None and (best[k] is None or i < best[k])):
+            best[k] = i
+    assert sorted(((r.doc_id, r.text or "") for r in once.collect()), key=key) == sorted(((i, t) for t, i in best.items()), key=key)
+    sets_ = {}
+    for i, t in pairs(once):
+        if i is not None:
+            w = (t or "").encode().lower().split()
+            sets_.setdefault(i, []).append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    want = linked(list(sets_.items()), lambda a, b: any(len(x & y) >= 0.8 * len(x | y) for x in a for y in b))
+    apart = run("near dedup", once)
+    assert pairs(apart) == [x for x in pairs(once) if x[0] is None or want[x[0]] == x[0]] and len(pairs(apart)) < len(pairs(once))
+    hidden = run("secret scan", apart)
+    assert [i for i, _ in pairs(hidden)] == [i for i, _ in pairs(apart)]
+    changed = [(a, b) for a, b in zip(pairs(apart), pairs(hidden), strict=True) if a != b]
+    assert len(changed) == 1 and "0123abcd" in changed[0][0][1] and "0123abcd" not in changed[0][1][1]
+    packed = run("packing", hidden).toPandas()
+    tok = Tokenizer.from_file(queries.tokenizer())
+    assert packed.length.sum() == sum(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in pairs(hidden))
+    for _, g in packed.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.length.sum() <= 2048 and (g.offset.to_numpy() == np.cumsum(g.length) - g.length).all()
+    assert all(stage(spark, docs.limit(0), SF).count() == 0 for _, stage in pipeline.STAGES)
+    assert all(c.columns == docs.columns for c in (clean, once, apart, hidden))
