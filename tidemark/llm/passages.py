@@ -283,10 +283,10 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append((doc, len(text), int(m.sum()), int(m[0]) + int((m[1:] & ~m[:-1]).sum()), np.frombuffer(text, np.uint8)[~m].tobytes()))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    asked = work.groupBy("batch").cogroup(beside().groupBy("batch")).applyInPandas(ask, "to long, batch long, data binary").repartition(hash_groups, "to")
+    asked = work.groupBy("batch").cogroup(beside().groupBy("batch")).applyInPandas(ask, "to int, batch long, data binary").repartitionById(hash_groups, F.col("to"))
     answers = stored(asked.groupBy("to").applyInPandas(answer, "batch long, data binary"))
     release(spark)
-    sent = work.groupBy("batch").cogroup(beside(answers).groupBy("batch")).applyInPandas(send, "to long, batch long, cover boolean, data binary").repartition(groups, "to")
+    sent = work.groupBy("batch").cogroup(beside(answers).groupBy("batch")).applyInPandas(send, "to int, batch long, cover boolean, data binary").repartitionById(groups, F.col("to"))
     covers = stored(sent.groupBy("to").applyInPandas(sort, "batch long, data binary"))
     release(spark)
     out = work.groupBy("batch").cogroup(beside(covers).groupBy("batch")).applyInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -102,7 +102,7 @@ def links(nodes: DataFrame, n: int, bits: int = 3) -> DataFrame:
                 keys = variants(f).ravel()
                 f, k = np.repeat(f, 64), np.repeat(k, 64)
                 mixed = keys * np.uint64(0x9E3779B97F4A7C15)
-                to = ((mixed >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+                to = ((mixed >> np.uint64(32)) % np.uint64(groups)).astype(np.int32)
                 order = np.argsort(to, kind="stable")
                 ids, first = np.unique(to[order], return_index=True)
                 cut = [*first.tolist(), len(order)]
@@ -113,7 +113,7 @@ def links(nodes: DataFrame, n: int, bits: int = 3) -> DataFrame:
         a, b = linked(all_[0], all_[1], all_[2].view(np.int64), bits)
         return pd.DataFrame({"a": a, "b": b})
 
-    return nodes.mapInPandas(emit, "to long, rows binary").repartition(groups, "to").groupBy("to").applyInPandas(meet, "a long, b long")
+    return nodes.mapInPandas(emit, "to int, rows binary").repartitionById(groups, F.col("to")).groupBy("to").applyInPandas(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:

@@ -153,12 +153,12 @@ def shared_entries(rows: DataFrame, entries: int, every: int, words: int, simila
             e["key"], e["doc"], e["size"], e["place"] = h & np.uint64(0xFFFFFFFF), ids[own], n[own], np.minimum(place, 65535)
             hot = count >= HOT
             home = (h >> np.uint64(32)) % np.uint64(groups)
-            to = np.where(hot, mixed(ids[own].astype(np.int64).view(np.uint64)) % np.uint64(groups), home).astype(np.int64)
+            to = np.where(hot, mixed(ids[own].astype(np.int64).view(np.uint64)) % np.uint64(groups), home).astype(np.int32)
             order = np.lexsort((hot, to))
             e, to, hot, home = e[order], to[order], hot[order], home[order]
             cut = np.flatnonzero(np.r_[True, (to[1:] != to[:-1]) | (hot[1:] != hot[:-1])]) if len(e) else []
             ends = [*cut[1:], len(e)]
-            yield pa.RecordBatch.from_arrays([pa.array(to[cut] if len(e) else [], pa.int64()), pa.array(hot[cut] if len(e) else [], pa.bool_()), pa.array([e[s:t].tobytes() for s, t in zip(cut, ends, strict=True)], pa.binary()), pa.array([home[s:t].astype("<u4").tobytes() if hot[s] else b"" for s, t in zip(cut, ends, strict=True)], pa.binary())], names=["to", "hot", "rows", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(to[cut] if len(e) else [], pa.int32()), pa.array(hot[cut] if len(e) else [], pa.bool_()), pa.array([e[s:t].tobytes() for s, t in zip(cut, ends, strict=True)], pa.binary()), pa.array([home[s:t].astype("<u4").tobytes() if hot[s] else b"" for s, t in zip(cut, ends, strict=True)], pa.binary())], names=["to", "hot", "rows", "home"])
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -175,8 +175,8 @@ def shared_entries(rows: DataFrame, entries: int, every: int, words: int, simila
             found.append(pd.DataFrame({"key": key[on], "doc_id": e["doc"][on], "size": e["size"][on].astype(np.int32), "place": e["place"][on].astype(np.int32), "many": many[on].astype(np.int32)}))
         return pd.concat(found)
 
-    blobs = rows.mapInArrow(emit, "to long, hot boolean, rows binary, home binary")
-    return blobs.repartition(groups, "to").groupBy("to").applyInPandas(meet, "key long, doc_id long, size int, place int, many int")
+    blobs = rows.mapInArrow(emit, "to int, hot boolean, rows binary, home binary")
+    return blobs.repartitionById(groups, F.col("to")).groupBy("to").applyInPandas(meet, "key long, doc_id long, size int, place int, many int")
 
 
 def crossing(entries, similarity: float):
