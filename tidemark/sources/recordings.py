@@ -363,3 +363,17 @@ def synthetic(topics: dict[str, float], seconds: float, seed: int = 42, cv: floa
         t = rng.random() / hz + np.cumsum(dt)
         out += [(topic, start_ns + int(x * 1e9), start_ns + int(x * 1e9), 100) for x in t[t < seconds]]
     return sorted(out, key=lambda r: (r[1], r[0]))
+
+
+def generated(spark: SparkSession, n: int, missions: int, hz: list[float], silence_s: float = 12.0) -> DataFrame:
+    """About n arrivals (mission_id, topic, seq, us, t) of recordings whose topics have these rates, made where they run.
+
+    Spacings vary by a tenth; all topics but the last are silent once, at three fifths of their arrivals.
+    """
+    each = n // (missions * len(hz))
+    i, k = F.col("id") % each, F.floor(F.col("id") / each) % len(hz)
+    late = F.when((i > 0.6 * each) & (k < len(hz) - 1), silence_s).otherwise(0.0)
+    noise = (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0 - 0.5) * 0.1
+    t = (i + noise + 1) / F.element_at(F.array(*map(F.lit, hz)), (k + 1).cast("int")) + late
+    rows = spark.range(each * missions * len(hz)).select(F.format_string("m%04d", F.floor(F.col("id") / (each * len(hz)))).alias("mission_id"), F.format_string("/t%d", k).alias("topic"), F.col("id").alias("seq"), (t * 1e6).cast("long").alias("us"))
+    return rows.withColumn("t", F.col("us") / F.lit(1e6))
