@@ -88,6 +88,37 @@ def test_payloads_decode(spark, folder):
     assert [(r.topic, r.text) for r in schema] == [("/odom", ODOM)]
 
 
+def test_inspection(spark, folder):
+    from tidemark import inspect
+
+    at, rows, values = folder
+    path = str(at / "a.mcap")
+    own = [v for r, v in zip(rows, values, strict=True) if r[0] == "/odom"]
+    assert [r.topic for r in inspect.list_topics(spark, path, hide=["/im*"]).collect()] == ["/odom"]
+    assert inspect.topic_schema(spark, path, "/odom").first().text == ODOM
+    some = inspect.sample_messages(spark, path, "/odom", 5).orderBy("position").collect()
+    assert len(some) == 5 and json.loads(some[0].payload)["position"] == own[0]["position"] and json.loads(some[-1].payload)["position"] == own[-1]["position"]
+    one = inspect.get_message_at(spark, path, "/odom", 10.0).collect()
+    assert len(one) == 1 and abs(one[0].t - 10) < 0.1 and inspect.get_message_at(spark, path, "/odom", 99.0).count() == 0
+    s = inspect.field_stats(spark, path, "/odom", "extra[1]").first()
+    assert (s.n, s.min, s.max) == (len(own), 2.0, 2.0)
+    with pytest.raises(PermissionError):
+        inspect.field_stats(spark, path, "/odom", "position.x", secret=["position"])
+
+
+def test_integrity_counts_what_is_claimed(folder, tmp_path):
+    at, rows, _ = folder
+    whole = (at / "a.mcap").read_bytes()
+    ok = recordings.integrity(whole, "mcap")
+    assert (ok["claimed"], ok["messages"], ok["file_score"], ok["issues"]) == (len(rows), len(rows), 100.0, [])
+    middle = len(whole) // 2
+    broken = recordings.integrity(whole[:middle] + bytes(64) + whole[middle + 64 :], "mcap")
+    assert broken["readable"] and 0 < broken["messages"] < len(rows) and broken["corrupt_share"] > 0.2 and broken["file_score"] < 80 and broken["issues"]
+    db = recordings.write_db3(rows)
+    assert recordings.integrity(db, "db3")["file_score"] == 100.0
+    assert recordings.integrity(b"nothing", "db3")["file_score"] == 0.0
+
+
 def test_metadata_from_the_summary(spark, folder):
     at, rows, _ = folder
     got = {(r.path.rsplit("/", 1)[1], r.topic): r for r in of(spark, at, what="topics").collect()}

@@ -220,3 +220,20 @@ def test_results():
     assert page_start(next_page(10, 5, 100)) == 15 and next_page(10, 5, 15) is None
     assert spaced(5, 3) == [0, 2, 4] and tokens("x" * 36) == 11
     assert fitted({"a": "x" * 40000}, [lambda r: r | {"a": "x"}, lambda r: r])["truncated"]
+
+
+def test_reports_and_pictures():
+    from tidemark.functions import results
+    from tidemark.operators import frames, qos
+
+    page = results.plot_html({"a<b": [(0.0, 1.0), (1.0, None), (2.0, 3.0)]}, "x & y")
+    assert page.count("M") == 2 and "a&lt;b" in page and "x &amp; y" in page
+    assert len(results.layout([f"/t{k}" for k in range(9)], 4.0)["panels"]) == 6
+    text = results.report({"mission_id": "m", "verdict": "healthy", "score": 99, "confidence": 1.0}, [], [{"topic": "/a", "status": "assessed", "n": 3, "score": 100}])
+    assert text.startswith("# m: healthy") and "None." in text and "| /a | assessed | 3 | 100 |" in text
+    image = frames.raw_image(bytes(range(12)), 2, 2, "bgr8")
+    assert image.shape == (2, 2, 3) and image[0, 0].tolist() == [2, 1, 0] and frames.raw_image(bytes(8), 2, 2, "mono16").dtype == np.uint16
+    assert frames.contact_sheet([image] * 5, 4).shape == (4, 8, 3)
+    text = "- history: keep_last\n  depth: 5\n  reliability: best_effort\n  durability: volatile\n  deadline: {sec: 0, nsec: 10000000}\n"
+    assert qos.parsed(text) == {"history": "keep_last", "depth": 5, "reliability": "best_effort", "durability": "volatile", "deadline_s": 0.01}
+    assert qos.parsed(None)["deadline_s"] is None

@@ -144,7 +144,7 @@ def audit(spark: SparkSession, path: str, topics: list[str] | None = None, roots
     found["findings"] = kept(findings(found, c))
     found["files"] = state
     found["clocks"] = kept(clock.report(clock.with_clock(arrivals), c))
-    incomplete = state.select("mission_id", (F.col("truncated") | ~F.col("summary")).alias("incomplete"), F.lit(0.0).alias("corrupt_share"))
+    incomplete = state.select("mission_id", (F.col("truncated") | ~F.col("summary")).alias("incomplete"), "corrupt_share")
     found["caveats"] = kept(caveats(found, found["findings"], found["clocks"], incomplete))
     return found
 
@@ -167,8 +167,8 @@ def explained(found: dict[str, DataFrame], detector: str) -> DataFrame:
 def decided(found: dict[str, DataFrame], policy: gate.Policy) -> DataFrame:
     """Each recording of an audit with the reasons against it as training data and the decision."""
     topics = found["topics"].groupBy("mission_id").agg(F.array_sort(F.collect_set("topic")).alias("topics"), F.max("longest_gap_s").alias("longest_gap_s"), (F.sum("dropped") / F.sum(F.col("n") + F.col("dropped"))).alias("loss"))
-    files = found["files"].groupBy("mission_id").agg(F.max("path").alias("path"), F.max(F.col("truncated") | ~F.col("readable")).alias("truncated"))
-    rows = found["recordings"].drop("topics").join(topics, "mission_id").join(found["clocks"], "mission_id").join(files, "mission_id").withColumn("corrupt_share", F.lit(0.0))
+    files = found["files"].groupBy("mission_id").agg(F.max("path").alias("path"), F.max(F.col("truncated") | ~F.col("readable")).alias("truncated"), F.max("corrupt_share").alias("corrupt_share"))
+    rows = found["recordings"].drop("topics").join(topics, "mission_id").join(found["clocks"], "mission_id").join(files, "mission_id")
     return gate.decided(rows.withColumn("lag_s", F.col("peak_lag")), policy)
 
 

@@ -82,27 +82,37 @@ def learned(pos: DataFrame, c: Config = ROBOT) -> DataFrame:
     return at.select(*KEYS, "warm_n", "period", F.when(k > 2, sd / mean).otherwise(F.lit(0.02)).alias("period_cv"))
 
 
-def timed_of(ia: DataFrame, c: Config = ROBOT) -> tuple[DataFrame, DataFrame]:
-    """timed() of rows that warmed() has made."""
+def declared_period(observed: Column, declared: Column) -> Column:
+    """A declared period holds where it is within a third and three times the observed one."""
+    return F.when(declared.between(observed / 3, observed * 3), declared).otherwise(observed)
+
+
+def with_declared(periods: DataFrame, declared: DataFrame) -> DataFrame:
+    """periods with those of declared(keys, declared_s) where they hold, and mismatch where they don't; observed is what was learned."""
+    out = periods.join(declared.where("declared_s > 0").select(*KEYS, "declared_s"), list(KEYS), "left").withColumn("observed", F.col("period"))
+    out = out.withColumn("period", declared_period(F.col("observed"), F.col("declared_s")))
+    return out.withColumn("mismatch", F.coalesce(F.col("period") != F.col("declared_s"), F.lit(False)))
+
+
+def timed_of(ia: DataFrame, c: Config = ROBOT, declared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """timed() of rows that warmed() has made. A declared period that holds goes before a learned one."""
     early = positive(ia.where("warm_n is null or n <= warm_n"), c)
-    periods = kept(learned(early, c))
+    periods = learned(early, c)
+    periods = kept(periods if declared is None else with_declared(periods, declared))
     late = ia.where("dt > 0 and n >= warm_n").join(periods.select(*KEYS, "period"), list(KEYS))
     early = early.where("warm_n is null or n < warm_n").withColumn("period", F.when(F.col("pr") >= 5, F.col("run_mode")).otherwise(F.col("run_median")))
+    if declared is not None:  # before a topic is warm, what it declares stands
+        early = early.join(declared.where("declared_s > 0").select(*KEYS, "declared_s"), list(KEYS), "left").withColumn("period", F.coalesce("declared_s", "period"))
     return late.unionByName(early.select(*late.columns)), periods
 
 
-def timed(arrivals: DataFrame, c: Config = ROBOT) -> tuple[DataFrame, DataFrame]:
+def timed(arrivals: DataFrame, c: Config = ROBOT, declared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows with dt > 0 and their period as it stood, and the learned periods (a row for each topic, kept).
 
     The period is the learned one once a topic is warm, else the running mode, else the running median. Running modes
     are worked out for the beginnings of topics only, which are short: rows after them take one sort by topic.
     """
-    return timed_of(warmed(interarrival(arrivals), c), c)
-
-
-def declared_period(observed: Column, declared: Column) -> Column:
-    """A declared period holds where it is within a third and three times the observed one."""
-    return F.when(declared.between(observed / 3, observed * 3), declared).otherwise(observed)
+    return timed_of(warmed(interarrival(arrivals), c), c, declared)
 
 
 def rates(arrivals: DataFrame) -> DataFrame:

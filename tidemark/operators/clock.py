@@ -61,9 +61,16 @@ def events(clocked: DataFrame, least: float = 0.5, apart: float = 1.0) -> DataFr
     return rows.groupBy("mission_id").applyInPandas(run, "mission_id string, kind string, topic string, t double, size double")
 
 
-def lag_trend(clocked: DataFrame, alpha: float = 0.01) -> DataFrame:
-    """(mission_id, start_lag, end_lag, growth, peak_lag): the average of log time behind publishing time, in log order."""
-    rows = clocked.withColumn("lag", (F.col("us") - F.col("pub_us")) / F.lit(1e6))
+def lag_trend(clocked: DataFrame, alpha: float = 0.01, least: float = 0.5) -> DataFrame:
+    """(mission_id, start_lag, end_lag, growth, peak_lag): the average of log time behind publishing time, in log order.
+
+    Steps of the clock up to an arrival are taken off its lag. A recording is one window.
+    """
+    steps_ = events(clocked, least).where("kind = 'step'").select("mission_id", "t", "size")
+    rows = clocked.select("mission_id", "us", "seq", "t", ((F.col("us") - F.col("pub_us")) / F.lit(1e6)).alias("raw")).unionByName(steps_, allowMissingColumns=True)
+    w = Window.partitionBy("mission_id").orderBy("t", F.col("us").isNotNull(), "us", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    signed = F.col("size")
+    rows = rows.withColumn("lag", F.col("raw") - F.coalesce(F.sum(signed).over(w), F.lit(0.0))).where("us is not null")
     ends = rows.groupBy("mission_id").agg(F.min_by("lag", F.struct("us", "seq")).alias("start_lag"), F.max(F.abs("lag")).alias("peak_lag"))
     out = ewma(rows, ["mission_id"], alpha, "lag").join(ends, "mission_id")
     return out.select("mission_id", "start_lag", F.col("ewma").alias("end_lag"), (F.col("ewma") - F.col("start_lag")).alias("growth"), "peak_lag")
@@ -72,7 +79,7 @@ def lag_trend(clocked: DataFrame, alpha: float = 0.01) -> DataFrame:
 def report(clocked: DataFrame, c: Config = ROBOT) -> DataFrame:
     """(mission_id, backward, steps, growth, peak_lag, lagging): a recording's clocks; where time runs back, lag says nothing."""
     found = events(clocked, c.step).groupBy("mission_id").agg(F.sum((F.col("kind") == "backward").cast("long")).alias("backward"), F.sum((F.col("kind") == "step").cast("long")).alias("steps"))
-    out = lag_trend(clocked).join(found, "mission_id", "left").fillna(0, ["backward", "steps"])
+    out = lag_trend(clocked, least=c.step).join(found, "mission_id", "left").fillna(0, ["backward", "steps"])
     lagging = (F.col("backward") == 0) & ((F.col("growth") > c.lag_growth) | (F.col("peak_lag") > 0.5))
     return out.select("mission_id", "backward", "steps", "growth", "peak_lag", lagging.alias("lagging"))
 

@@ -99,6 +99,14 @@ def cadence_aperiodic(spark: SparkSession, d: str) -> DataFrame:
     return r.select(*KEYS, health.status(F.col("period"), F.col("sustained_hz"), C).alias("status"))
 
 
+def qos_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    """Periods of topics that promise one: 600 s for those of five letters and fewer, else 60 s."""
+    a = arrivals(spark, d)
+    declared = a.select(*KEYS).distinct().withColumn("declared_s", F.when(F.length("topic") <= 5, 600.0).otherwise(60.0))
+    out = cadence.timed(a, C, declared)[1]
+    return out.select(*KEYS, R6("observed").alias("observed"), "declared_s", R6("period").alias("period"), "mismatch")
+
+
 def gap_detect(spark: SparkSession, d: str) -> DataFrame:
     return gaps.candidates(_timed(spark, d), C).select(*KEYS, "seq", R6("t_start").alias("t_start"), R6("t_end").alias("t_end"), R6("period").alias("period"))
 
@@ -228,13 +236,14 @@ def coverage_fraction(spark: SparkSession, d: str) -> DataFrame:
     return health.coverage(health.timeline(a, C), _ends(a)).select("mission_id", "covered", "columns", R6("coverage").alias("coverage"))
 
 
-def audited(a: DataFrame, files: DataFrame | None = None, c=C) -> dict[str, DataFrame]:
+def audited(a: DataFrame, files: DataFrame | None = None, c=C, declared: DataFrame | None = None) -> dict[str, DataFrame]:
     """All detectors over arrivals: periods, gaps (classed), stalls, drifts, jitter, drops, topics and recordings.
 
-    files(mission_id, file_score) has scores of the files they come from. What is a few rows for each topic is kept.
+    files(mission_id, file_score) has scores of the files they come from, declared(keys, declared_s) the periods that
+    topics promise. What is a few rows for each topic is kept.
     """
     a = kept(cadence.warmed(cadence.interarrival(a), c).select(*KEYS, "seq", "us", "t", "dt", "n", "first_t", "warm_n"))
-    timed, periods = cadence.timed_of(a, c)
+    timed, periods = cadence.timed_of(a, c, declared)
     found = kept(gaps.gaps(gaps.candidates(timed, c), c))
     rates, ends = kept(cadence.rates(a)), kept(_ends(a))
     topics = _topics(rates, periods)
@@ -288,7 +297,7 @@ def caveats(spark: SparkSession, d: str) -> DataFrame:
     return findings.caveats(found, kept(findings.findings(found, C))).select("mission_id", "place", "caveat")
 
 
-QUERIES = {f.__name__: f for f in (arrival_interarrival, arrival_rates, late_or_duplicate_arrivals, cadence_log_histogram, cadence_mode, cadence_running_mode, cadence_warmup_period, cadence_aperiodic, gap_detect, gap_merged, gap_severity, gap_topn_bounded, gap_totals, jitter_rolling_cv, jitter_episodes, dropped_estimate, clock_backward, clock_divergence, recorder_lag_summary, lag_curve_decimated, concurrency_classify, merged_stalls, gap_stall_rollup, gap_stall_seconds, rate_buckets, rate_degradation, streaming_unassessable, gap_ranking, gap_nearest_interval, interval_union_seconds, density_timeline, coverage_fraction, topic_score, overall_verdict, audit_findings, related_findings, caveats)}
+QUERIES = {f.__name__: f for f in (arrival_interarrival, arrival_rates, late_or_duplicate_arrivals, cadence_log_histogram, cadence_mode, cadence_running_mode, cadence_warmup_period, cadence_aperiodic, qos_mismatch, gap_detect, gap_merged, gap_severity, gap_topn_bounded, gap_totals, jitter_rolling_cv, jitter_episodes, dropped_estimate, clock_backward, clock_divergence, recorder_lag_summary, lag_curve_decimated, concurrency_classify, merged_stalls, gap_stall_rollup, gap_stall_seconds, rate_buckets, rate_degradation, streaming_unassessable, gap_ranking, gap_nearest_interval, interval_union_seconds, density_timeline, coverage_fraction, topic_score, overall_verdict, audit_findings, related_findings, caveats)}
 
 _LN = f"{math.log(C.lo)!r}::DOUBLE"
 _SCALE = f"{C.bins / (math.log(C.hi) - math.log(C.lo))!r}::DOUBLE"
@@ -427,6 +436,7 @@ SQL = {
     "cadence_running_mode": chain(f"SELECT {K}, seq, pr, mode_bin FROM p3", "p3"),
     "cadence_warmup_period": chain(f"SELECT {K}, warm_n, {r('period')}, {r('period_cv')} FROM learned", "learned"),
     "cadence_aperiodic": chain(f"SELECT {K}, CASE WHEN period IS NULL THEN 'sparse' WHEN 1 / period > {C.aperiodic_ratio} * sustained_hz THEN 'aperiodic' ELSE 'assessed' END AS status FROM rates LEFT JOIN learned USING ({K})", "rates"),
+    "qos_mismatch": chain(f"SELECT {K}, round(p, 6) AS observed, s AS declared_s, round(CASE WHEN s BETWEEN p / 3 AND p * 3 THEN s ELSE p END, 6) AS period, NOT s BETWEEN p / 3 AND p * 3 AS mismatch FROM (SELECT {K}, period AS p, CASE WHEN length(topic) <= 5 THEN 600.0::DOUBLE ELSE 60.0::DOUBLE END AS s FROM learned)", "learned"),
     "gap_detect": chain(f"SELECT {K}, seq, {r('t_start')}, {r('t_end')}, {r('period')} FROM cand", "cand"),
     "gap_merged": chain(f"SELECT {K}, {r('t_start')}, {r('t_end')}, pieces, {r('silent_s')}, severity, lost, {r('confidence', 4)} FROM gaps", "gaps"),
     "gap_severity": chain(f"SELECT {K}, severity, count(*) AS n FROM gaps GROUP BY ALL", "gaps"),

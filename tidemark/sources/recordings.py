@@ -270,9 +270,23 @@ def mission_id(b: bytes) -> str:
     return mission_of(len(b), b[: 1 << 20], b[-(1 << 20) :] if len(b) > 2 << 20 else b"")
 
 
+def claimed(b: bytes) -> int | None:
+    """How many messages the summary of an MCAP file speaks of, if it has one."""
+    if b[-8:] != MAGIC or len(b) < 45 or not (at := struct.unpack_from("<Q", b, len(b) - 28)[0]):
+        return None
+    for op, r in mcap_records(b[:-8], at):
+        if op == 0x0B:
+            return struct.unpack_from("<Q", r)[0]
+    return None
+
+
 def integrity(b: bytes, kind: str) -> dict[str, object]:
-    """Readable, summary present, messages read, bytes after the last whole record, score from 0 to 100."""
-    n, torn, readable, summary = 0, 0, True, True
+    """Readable, summary present, messages read and claimed, bytes after the last whole record, issues, score from 0 to 100.
+
+    Points go for a missing summary, a torn end, messages that are claimed and don't decode, and each issue; a file
+    without messages that can be read has none.
+    """
+    n, torn, readable, summary, says, issues = 0, 0, True, True, None, []
     try:
         if kind == "mcap":
             ends_well = b[-8:] == MAGIC and len(b) > 45
@@ -282,16 +296,29 @@ def integrity(b: bytes, kind: str) -> dict[str, object]:
                 while at + 9 <= len(b) and at + 9 + struct.unpack_from("<Q", b, at + 1)[0] <= len(b):
                     at += 9 + struct.unpack_from("<Q", b, at + 1)[0]
                 torn = len(b) - at
+            says = claimed(b) if summary else None
+        elif kind == "db3":
+            con = sqlite3.connect(":memory:")
+            con.deserialize(b)
+            if (said := con.execute("PRAGMA quick_check").fetchone()) and said[0] != "ok":
+                issues.append(f"sqlite: {said[0]}"[:200])
         for _ in READERS[kind](b):
             n += 1
     except Torn:
         pass
-    except Exception:
+    except Exception as e:  # whatever a broken file raises is its state
+        issues.append(f"{type(e).__name__}: {e}"[:200])
         readable = n > 0
+    lost = (says - n) / says if says and n < says else 0.0
+    if lost:
+        issues.append(f"{says} messages claimed, {n} decode")
     truncated = torn > 4096
+    if truncated:
+        issues.append("records end mid-stream")
+    readable = readable and (n > 0 or summary)
     share = 100.0 * torn / max(1, len(b))
-    score = 100.0 - (0 if summary else 15) - (min(35.0, 10 + share) if truncated else 0)
-    return {"readable": readable, "summary": summary, "messages": n, "torn_bytes": torn, "truncated": truncated, "file_score": score if readable else 0.0}
+    score = max(0.0, 100.0 - (0 if summary else 15) - (min(35.0, 10 + share) if truncated else 0) - 80 * lost - min(20, 6 * len(issues)))
+    return {"readable": readable, "summary": summary, "messages": n, "claimed": says, "torn_bytes": torn, "truncated": truncated, "corrupt_share": lost, "issues": issues, "file_score": score if readable else 0.0}
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
@@ -329,16 +356,17 @@ def read_arrivals(spark: SparkSession, root: str | list[str]) -> DataFrame:
 
 
 def read_integrity(spark: SparkSession, root: str | list[str]) -> DataFrame:
-    """(path, mission_id, readable, summary, messages, torn_bytes, truncated, file_score) of all recordings."""
-    names = ("readable", "summary", "messages", "torn_bytes", "truncated", "file_score")
+    """(path, mission_id) and integrity() of all recordings."""
+    schema = pa.schema([("path", pa.string()), ("mission_id", pa.string()), ("readable", pa.bool_()), ("summary", pa.bool_()), ("messages", pa.int64()), ("claimed", pa.int64()), ("torn_bytes", pa.int64()), ("truncated", pa.bool_()), ("corrupt_share", pa.float64()), ("issues", pa.list_(pa.string())), ("file_score", pa.float64())])
 
     def run(batches):
         for b in batches:
             for path, kind, content in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
                 found = integrity(content, kind)
-                yield pa.RecordBatch.from_pydict({"path": [path], "mission_id": [mission_id(content)]} | {n: [found[n]] for n in names})
+                found |= {"path": path, "mission_id": mission_id(content)}
+                yield pa.RecordBatch.from_arrays([pa.array([found[f.name]], f.type) for f in schema], schema=schema)
 
-    return _parsed(spark, root, run, "path string, mission_id string, readable boolean, summary boolean, messages long, torn_bytes long, truncated boolean, file_score double")
+    return _parsed(spark, root, run, "path string, mission_id string, readable boolean, summary boolean, messages long, claimed long, torn_bytes long, truncated boolean, corrupt_share double, issues array<string>, file_score double")
 
 
 def read_metadata(spark: SparkSession, root: str) -> DataFrame:
