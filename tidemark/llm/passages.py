@@ -26,12 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import bucketed, parts, release, stored
+from tidemark.llm.shared import bucketed, parts, release, stored, trim
 from tidemark.llm.suffixes import shares_prefix, suffix_array
 
 LENGTH, GRAM = 50, 16
 #: Bytes of a batch, of the text behind one group of hashes and of stretches; batches in a bucket; windows at a time.
-BATCH, HASHES, STRETCHES, TOGETHER, SLICE = 8_000_000, 16_000_000, 8_000_000, 3, 1_000_000
+BATCH, HASHES, STRETCHES, TOGETHER, SLICE = 8_000_000, 16_000_000, 8_000_000, 3, 500_000
 
 
 def grams(b: np.ndarray, k: int = GRAM) -> np.ndarray:
@@ -138,6 +138,7 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def apart(part: pd.DataFrame, side: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
         """A batch's rows that are no copies, in order: their places there name them in all steps; and the found data."""
+        trim()
         part, copied = in_order(part), side[side.digest.notna()]
         if len(copied):
             known = set(zip(copied.doc_id.tolist(), map(bytes, copied.digest), strict=True))
@@ -179,6 +180,7 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pd.DataFrame({"to": [x[0] for x in got], "batch": int(part.batch.iloc[0]), "data": [x[1] for x in got]})
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
+        trim()
         each = [np.frombuffer(x, np.uint64) for x in part.data]
         x = np.concatenate(each)
         h = x & np.uint64(0xFFFFFFFFFFFFFFFE)
@@ -230,6 +232,7 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pd.DataFrame({"to": [x[0] for x in out], "batch": batch, "cover": [x[1] for x in out], "data": [x[2] for x in out]}) if out else empty
 
     def sort(part: pd.DataFrame) -> pd.DataFrame:
+        trim()
         out = [(b, d) for b, c, d in zip(part.batch.tolist(), part.cover.tolist(), part.data.tolist(), strict=True) if c]
         asked = part[~part.cover.astype(bool)]
         least: dict[bytes, int] = {}
