@@ -129,6 +129,33 @@ def test_variants_reach_three_bits():
         assert all(set(u.tolist()) & set(v.tolist()) for u, v in zip(simhash.variants(a), simhash.variants(b), strict=True))
 
 
+def test_keys_of_many_fingerprints(monkeypatch):
+    """All have one half, give or take a bit; cutting again finds the links that comparing all does."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64) & np.uint64(0xFFFFFFFF)
+    for shift in (np.uint64(0), np.uint64(32)):
+        fp = rng.choice(base, 3000)
+        for _ in range(3):
+            fp = fp ^ (np.uint64(1) << rng.integers(0, 32, 3000).astype(np.uint64)) * (rng.random(3000) < 0.6).astype(np.uint64)
+        fp = np.unique(fp << shift | (np.uint64(7) << (np.uint64(32) - shift)))
+        keys, node = simhash.variants(fp).ravel(), np.arange(len(fp))
+        got = []
+        for most in (10, 1 << 40):
+            monkeypatch.setattr(simhash, "LONG", most)
+            a, b = simhash.linked(keys, np.repeat(fp, 64), np.repeat(node, 64), 3)
+            label = node.copy()
+            label[a] = b
+            got.append(label.tolist())
+        near = np.bitwise_count(fp[:, None] ^ fp[None]) <= 3
+        want = node.copy()
+        while True:
+            new = np.where(near, want[None], len(fp)).min(1)
+            if (new == want).all():
+                break
+            want = new
+        assert got[0] == got[1] == want.tolist() and 5 < len(set(want.tolist())) < len(fp) / 2
+
+
 def test_similar(docs):
     def shingles(t):
         w = t.encode().lower().split()

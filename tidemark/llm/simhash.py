@@ -64,10 +64,12 @@ def variants(fp: np.ndarray, segments: int = 2) -> np.ndarray:
     return ((part[:, :, None] & keep[None, None, :]) | tag[None]).reshape(len(fp), 64)
 
 
-def linked(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between fingerprints that share a key and differ in so many bits at most."""
-    order = np.argsort(keys, kind="stable")
-    keys, fp, node = keys[order], fp[order], node[order]
+#: Fingerprints of one key from which on they are cut again.
+LONG = 512
+
+
+def _met(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of equal keys, which are in order: a key's entries are compared with each other."""
     left, right, held = [], [], 0
     at, step = np.arange(len(keys)), 1
     while True:
@@ -88,6 +90,33 @@ def linked(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int) -> tup
     return forest(np.concatenate(left), np.concatenate(right))
 
 
+def linked(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between fingerprints that share a key and differ in so many bits at most.
+
+    Keys are those of variants() for two segments. A key that very many fingerprints share is cut again: they differ in
+    three bits at most in the other half too, so they share a one-wildcard variant of one of its quarters; then no more
+    than the other 17 bits tell those that meet apart, however many fingerprints there are.
+    """
+    order = np.argsort(keys, kind="stable")
+    keys, fp, node = keys[order], fp[order], node[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    many = np.diff(np.r_[first, len(keys)])
+    long = np.repeat(many > (LONG if bits <= 3 else len(keys)), many)
+    a, b = _met(keys[~long], fp[~long], node[~long], bits)
+    if long.any():
+        run = np.repeat(np.arange(len(first), dtype=np.uint64), many)[long]
+        keys, fp, node = keys[long], fp[long], node[long]
+        other = np.where(keys >> np.uint64(37) == 0, fp >> np.uint64(32), fp & np.uint64(0xFFFFFFFF))  # the half that the key does not hold
+        for quarter in (0, 16):
+            part = (other >> np.uint64(quarter)) & np.uint64(0xFFFF)
+            for bit in range(16):
+                key = run << np.uint64(16) | part & np.uint64(0xFFFF ^ 1 << bit)
+                order = np.argsort(key, kind="stable")
+                x, y = _met(key[order], fp[order], node[order], bits)
+                a, b = forest(np.r_[a, x], np.r_[b, y])
+    return a, b
+
+
 def links(nodes: DataFrame, n: int, bits: int = 3) -> DataFrame:
     """(a, b): a forest of links between the distinct fingerprints nodes(fp long, node long)."""
     groups = parts(64 * n, ENTRIES)
