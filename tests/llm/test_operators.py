@@ -275,6 +275,17 @@ def test_suffix_array():
         assert suffixes.suffix_array(s).tolist() == want
 
 
+def test_shared_prefixes():
+    rng = np.random.default_rng(1)
+    for length in (3, 8, 13, 20):
+        raw = rng.integers(1, 3, 400).astype(np.uint8)
+        order = np.array(sorted(range(380), key=lambda i: bytes(raw[i:])))
+        order = order[rng.random(len(order)) < 0.8]
+        padded = np.concatenate([raw, np.zeros(length + 16, np.uint8)])
+        want = [False] + [bytes(padded[a : a + length]) == bytes(padded[b : b + length]) for a, b in zip(order, order[1:], strict=False)]
+        assert suffixes.shares_prefix(padded, order, length, 64).tolist() == want
+
+
 def test_passages(docs, empty):
     rows = sorted((i, t.encode()) for i, t in rows_of(docs) if i is not None)
     first = {}

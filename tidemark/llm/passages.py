@@ -31,7 +31,7 @@ from tidemark.llm.suffixes import shares_prefix, suffix_array
 
 LENGTH, GRAM = 50, 16
 #: Bytes of a batch, of the text behind one group of hashes and of stretches; batches in a bucket; windows at a time.
-BATCH, HASHES, STRETCHES, TOGETHER, SLICE = 8_000_000, 16_000_000, 8_000_000, 3, 500_000
+BATCH, HASHES, STRETCHES, TOGETHER, SLICE = 8_000_000, 16_000_000, 6_000_000, 3, 500_000
 
 
 def grams(b: np.ndarray, k: int = GRAM) -> np.ndarray:
@@ -89,15 +89,15 @@ def covered(stretch: list[bytes], own: np.ndarray, length: int = LENGTH) -> list
     sizes = np.array([len(x) for x in stretch])
     raw = np.frombuffer(b"\0".join(stretch) + b"\0", np.uint8)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    of = np.repeat(np.arange(len(stretch)), sizes + 1)
-    at = np.arange(len(raw)) - starts[of]
+    of = np.repeat(np.arange(len(stretch), dtype=np.int32), sizes + 1)
+    at = (np.arange(len(raw)) - starts[of]).astype(np.int32)
     s = raw.astype(np.int32) + 2
     s[at == sizes[of]] = 1
-    order = suffix_array(np.concatenate([s, [0]]))[1:]
+    order = suffix_array(np.append(s, np.int32(0)))[1:]
     valid = at + length <= sizes[of]
     padded = np.concatenate([raw, np.zeros(length + 16, np.uint8)])
     order = order[valid[order]]
-    same = _shares(padded, order, length)
+    same = shares_prefix(padded, order, length)
     runs = np.flatnonzero(~same)
     least = np.repeat(np.minimum.reduceat(own[of[order]], runs), np.diff([*runs, len(order)]))
     hit = np.sort(order[least < own[of[order]]])
@@ -108,12 +108,6 @@ def covered(stretch: list[bytes], own: np.ndarray, length: int = LENGTH) -> list
     return list(zip(of[first].tolist(), at[first].tolist(), (at[last] + length).tolist(), strict=True))
 
 
-def _shares(padded: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """shares_prefix() for an order that leaves suffixes out."""
-    full = np.concatenate([order, np.setdiff1d(np.arange(len(padded) - length - 16), order)])
-    return shares_prefix(padded, full, length)[: len(order)] & (np.arange(len(order)) > 0)
-
-
 def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for docs(doc_id, text)."""
     spark = docs.sparkSession

@@ -146,30 +146,27 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return _induce(s, small, order, k)
 
 
-def shares_prefix(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """For each place of the order but the first: whether its suffix and the one before share so many symbols.
+def shares_prefix(text: np.ndarray, order: np.ndarray, length: int, together: int = 1 << 20) -> np.ndarray:
+    """For each place of the order: whether its suffix and the one before in the order share so many symbols.
 
-    Common prefixes are permuted: worked out in the order of the text, where reads are near each other, and eight
-    symbols at a time. text are bytes, padded by length zeros.
+    Common prefixes are permuted: worked out in the order of the text, where reads are near each other, eight symbols at
+    a time and so many suffixes together. The order may leave suffixes out; text are bytes, padded by length + 8 zeros.
     """
-    n = len(order)
-    before = np.full(n, -1, np.int64)
+    before = np.full(len(text), -1, np.int32)
     before[order[1:]] = order[:-1]
-    word = text.astype(np.uint64)
-    have = 1
-    while have < 8:
-        word = word[:-have] | (word[have:] << np.uint64(8 * have))
-        have *= 2
-    here = np.flatnonzero(before >= 0)
-    there = before[here]
-    steps = [*range(0, length - 8, 8), length - 8] if length >= 8 else []
-    for o in steps:
-        m = word[here + o] == word[there + o]
-        here, there = here[m], there[m]
-    if length < 8:
-        for o in range(length):
-            m = text[here + o] == text[there + o]
+    word, have = text, 1
+    if length >= 8:
+        word = text.astype(np.uint64)
+        while have < 8:
+            word = word[:-have] | (word[have:] << np.uint64(8 * have))
+            have *= 2
+    steps = [*range(0, length - 8, 8), length - 8] if length >= 8 else range(length)
+    equal = np.zeros(len(text), bool)
+    for begin in range(0, len(text), together):
+        here = np.flatnonzero(before[begin : begin + together] >= 0) + begin
+        there = before[here]
+        for o in steps:
+            m = word[here + o] == word[there + o]
             here, there = here[m], there[m]
-    equal = np.zeros(n, bool)
-    equal[here] = True
+        equal[here] = True
     return equal[order]
