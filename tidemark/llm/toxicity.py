@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import slices
+from tidemark.llm.shared import slices, trim
 
 #: Labelled documents of each kind that the model is fitted on, at most.
 SAMPLE = 1500
 BITS, CHAIN, CACHE, WIDTH = 20, 64, 150_000, 10
 #: Bytes of text that are scored at once.
 TOGETHER = 1_000_000
+#: Texts that training works on at once.
+SECTION = 250
 TOKEN = re.compile(r"\w+|[.!?\n]+")
 
 
@@ -159,38 +161,43 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Model:
     model = Model()
     if not len(texts) or toxic.all() or not toxic.any():
         return model
-    words = Words()
-    c = chains([words.number(TOKEN.findall(lowered(t))) for t in texts])
+    words, n, y = Words(), len(texts), toxic.astype(bool)
+    numbered = [words.number(TOKEN.findall(lowered(t))) for t in texts]
     rows = words.rows()
     words.of.clear()
-    n, y = len(texts), toxic.astype(bool)
-    each = np.unique(c.doc * len(rows) + c.words)
-    counts, edges = np.zeros((2, 1 << BITS), np.int64), np.searchsorted(each, np.arange(0, n + 100, 100) * len(rows))
-    for a, b in zip(edges, edges[1:], strict=False):  # a hundred texts at a time
-        seen = np.unique(((each[a:b] // len(rows))[:, None] << BITS | rows[each[a:b] % len(rows)]).ravel())
-        kind = y[seen >> BITS]
-        counts += np.stack([np.bincount((seen & ((1 << BITS) - 1))[k], minlength=1 << BITS) for k in (~kind, kind)])
+    sections = [(a, chains(numbered[a : a + SECTION])) for a in range(0, n, SECTION)]
+    counts = np.zeros((2, 1 << BITS), np.int64)
+    for a, c in sections:
+        each = np.unique(c.doc * len(rows) + c.words)
+        for part in np.split(each, np.searchsorted(each, np.arange(50, SECTION, 50) * len(rows))):  # fifty texts
+            seen = np.unique(((part // len(rows))[:, None] << BITS | rows[part % len(rows)]).ravel())
+            kind = y[a + (seen >> BITS)]
+            counts += np.stack([np.bincount((seen & ((1 << BITS) - 1))[k], minlength=1 << BITS) for k in (~kind, kind)])
     good, bad = counts
     odds = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((good + 1.5) / ((~y).sum() + 3))
     strong = (odds > np.log(8)) & (bad >= 5)
     strong[0] = False
     mark = strong[np.delete(rows, 1, axis=1)].any(1)
-    tag = (mark[c.words] & y[c.doc]).astype(float)
-    # maximum likelihood by Adam; gradients gather on distinct words first
+    tags = [(mark[c.words] & y[a + c.doc]).astype(float) for a, c in sections]
+    # maximum likelihood by Adam; gradients gather on distinct words first, some texts at a time
     key = rows[:, 0]
     state: list[list] = [[np.zeros(1 << BITS), 0, 0], [np.zeros((2, 1 << BITS)), 0, 0], [np.zeros(5), 0, 0]]
-    before_ok, after_ok = ~c.first[1:], ~c.last[:-1]
-    y1, y0 = tag[1:], tag[:-1]
-    inner = before_ok
-    seen_moves = np.array([[((1 - y0) * (1 - y1))[inner].sum(), ((1 - y0) * y1)[inner].sum()], [(y0 * (1 - y1))[inner].sum(), (y0 * y1)[inner].sum()]])
+    seen_moves = np.zeros((2, 2))
+    for (_, c), tag in zip(sections, tags, strict=True):
+        inner, y1, y0 = ~c.first[1:], tag[1:], tag[:-1]
+        seen_moves += np.array([[((1 - y0) * (1 - y1))[inner].sum(), ((1 - y0) * y1)[inner].sum()], [(y0 * (1 - y1))[inner].sum(), (y0 * y1)[inner].sum()]])
     for k in range(1, rounds + 1):
-        own, near, rest = state[0][0], state[1][0], state[2][0]
-        p, moved = marginals(c, unary(c, own[rows].sum(1), near[0][key], near[1][key]), rest[:4].reshape(2, 2), rest[4], pairs=True)
-        d = p - tag
-        by_word = np.bincount(c.words, d, len(rows))
-        prev = np.bincount(c.words[:-1][before_ok], d[1:][before_ok], len(rows))
-        nxt = np.bincount(c.words[1:][after_ok], d[:-1][after_ok], len(rows))
-        grads = [np.bincount(rows.ravel(), np.repeat(by_word, rows.shape[1]), 1 << BITS), np.stack([np.bincount(key, prev, 1 << BITS), np.bincount(key, nxt, 1 << BITS)]), np.concatenate([(moved - seen_moves).ravel(), [d[c.first].sum()]])]
+        near, rest = state[1][0], state[2][0]
+        own, left, right = state[0][0][rows].sum(1), near[0][key], near[1][key]
+        by_word, prev, nxt, moved, first = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows)), np.zeros((2, 2)), 0.0
+        for (_, c), tag in zip(sections, tags, strict=True):
+            p, m = marginals(c, unary(c, own, left, right), rest[:4].reshape(2, 2), rest[4], pairs=True)
+            d, before_ok, after_ok = p - tag, ~c.first[1:], ~c.last[:-1]
+            by_word += np.bincount(c.words, d, len(rows))
+            prev += np.bincount(c.words[:-1][before_ok], d[1:][before_ok], len(rows))
+            nxt += np.bincount(c.words[1:][after_ok], d[:-1][after_ok], len(rows))
+            moved, first = moved + m, first + d[c.first].sum()
+        grads = [np.bincount(rows.ravel(), np.repeat(by_word, rows.shape[1]), 1 << BITS), np.stack([np.bincount(key, prev, 1 << BITS), np.bincount(key, nxt, 1 << BITS)]), np.concatenate([(moved - seen_moves).ravel(), [first]])]
         for s, g in zip(state, grads, strict=True):
             g = g + 0.5 * s[0]
             s[1], s[2] = 0.9 * s[1] + 0.1 * g, 0.99 * s[2] + 0.01 * g * g
@@ -198,8 +205,9 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Model:
         state[0][0][0] = 0
     model.own, model.near = state[0][0].astype(np.float32), state[1][0].astype(np.float32)
     model.moves, model.start = state[2][0][:4].reshape(2, 2), float(state[2][0][4])
-    p, _ = marginals(c, unary(c, model.own[rows].sum(1), model.near[0][key], model.near[1][key]), model.moves, model.start)
-    x, w = sums(p, c.doc, n), np.zeros(3)
+    own, left, right = model.own[rows].sum(1), model.near[0][key], model.near[1][key]
+    x = np.concatenate([sums(marginals(c, unary(c, own, left, right), model.moves, model.start)[0], c.doc, min(SECTION, n - a)) for a, c in sections])
+    w = np.zeros(3)
     for _ in range(30):  # Newton's steps
         q = 1 / (1 + np.exp(-x @ w))
         w -= np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (q - y) + 0.1 * w)
@@ -217,6 +225,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = sorted((r.doc_id, r.toxic, r.text or "") for r in found.toLocalIterator())
     toxic = np.array([r[1] for r in rows], int)
     model = fit([r[2] for r in rows], toxic)
+    trim()
     if model.curve is not None:  # the sample is more even than the labels are
         n = {r[0]: r[1] for r in label.groupBy("toxic").count().collect()}
         model.curve[2] += np.log(n[1] / n[0]) - np.log(toxic.sum() / (len(toxic) - toxic.sum()))
