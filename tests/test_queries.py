@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, db, name):
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(QUERIES) - set(SQL) == {"changepoints_all", "dtw_rank", "caveats", "find_similar"}
+    assert set(QUERIES) - set(SQL) == {"dtw_rank", "caveats", "find_similar"}
 
 
 def test_entry(spark):

@@ -51,7 +51,7 @@ def changepoint_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def changepoints_all(spark: SparkSession, d: str) -> DataFrame:
-    return series.changepoints(arrivals(spark, d), T)
+    return series.changepoints(arrivals(spark, d), T).select(*T, "cut", R6("mean_before"), R6("mean_after"), R6("shift"))
 
 
 def _binned(spark, d, topic):
@@ -265,6 +265,14 @@ STEPS |= {
     "shift": f"SELECT {K}, count(*) AS stalls, avg((sign(sm - m_base) = sign(m_pre - m_base))::INT::DOUBLE) AS consistency FROM each JOIN sums USING ({K}) GROUP BY ALL",
 }
 
+STEPS["ct0"] = f"SELECT {K}, 0::BIGINT AS cut FROM a WHERE false"
+STEPS["ci"] = f"SELECT {K}, v, row_number() OVER (PARTITION BY {K} ORDER BY us, seq) AS i FROM a"
+for _k in range(1, 7):  # the sixth only cuts rows into segments
+    STEPS[f"cs{_k}"] = f"SELECT ci.mission_id, ci.topic, ci.v, ci.i, count(z.cut) AS seg FROM ci LEFT JOIN ct{_k - 1} z ON z.mission_id = ci.mission_id AND z.topic = ci.topic AND z.cut < ci.i GROUP BY ALL"
+    STEPS[f"cg{_k}"] = f"SELECT {K}, i, s * s / j + (al - s) * (al - s) / (n - j) - al * al / n AS gain FROM (SELECT *, row_number() OVER w AS j, sum(v) OVER w AS s, count(*) OVER p AS n, sum(v) OVER p AS al FROM cs{_k} WINDOW w AS (PARTITION BY {K}, seg ORDER BY i), p AS (PARTITION BY {K}, seg)) WHERE j >= 20 AND n - j >= 20"
+    STEPS[f"ct{_k}"] = f"SELECT {K}, cut FROM ct{_k - 1} UNION ALL SELECT {K}, i FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY gain DESC, i) AS q FROM cg{_k}) WHERE q = 1 AND gain > 0"
+STEPS["cm"] = f"SELECT {K}, seg, max(i) AS last, avg(v) AS m FROM cs6 GROUP BY ALL"
+
 _DESC = ", ".join([r("min"), r("max"), r("mean"), r("std"), *[r(f"p{round(q * 100):02d}") for q in series.PERCENTILES]])
 
 
@@ -304,6 +312,7 @@ SQL = {
     "outliers_iqr": chain(f"SELECT {K}, seq, round(abs(v - q2) / (q3 - q1), 4) AS score FROM a JOIN iq USING ({K}) WHERE q3 > q1 AND (v < q1 - 1.0 * (q3 - q1) OR v > q3 + 1.0 * (q3 - q1))", "iq"),
     "outliers_mad": chain(f"SELECT {K}, seq, round(abs(v - med) / (1.4826::DOUBLE * mad), 4) AS score FROM mz WHERE mad > 0 AND abs(v - med) / (1.4826::DOUBLE * mad) > 3.0", "mz"),
     "changepoint_first": chain(f"SELECT {K}, i AS cut, round(gain, 2) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY gain DESC, i) AS q FROM (SELECT {K}, i, round(s * s / i + (al - s) * (al - s) / (c - i) - al * al / c, 4) AS gain FROM cp WHERE i >= 20 AND c - i >= 20)) WHERE q = 1", "cp"),
+    "changepoints_all": chain("SELECT x.mission_id, x.topic, x.last AS cut, round(x.m, 6) AS mean_before, round(y.m, 6) AS mean_after, round(y.m - x.m, 6) AS shift FROM cm x JOIN cm y ON x.mission_id = y.mission_id AND x.topic = y.topic AND y.seg = x.seg + 1", "cm"),
     "cross_correlate_lag": chain(
         f"""SELECT lag, round(s / sqrt(px * py), 5) AS r FROM (SELECT l AS lag, sum(x.x * y.x) AS s FROM (SELECT unnest(range(-5, 6)) AS l), x0 x JOIN y0 y ON y.i = x.i + l GROUP BY ALL), (SELECT sum(x * x) AS px FROM x0), (SELECT sum(x * x) AS py FROM y0)""".replace("FROM (SELECT l AS lag", "FROM (WITH n AS (SELECT least((SELECT max(i) FROM " + _six("click") + "), (SELECT max(i) FROM " + _six("view") + ")) AS n), x1 AS (SELECT * FROM " + _six("click") + " WHERE i <= (SELECT n FROM n)), y1 AS (SELECT * FROM " + _six("view") + " WHERE i <= (SELECT n FROM n)), x0 AS (SELECT i, coalesce(v, (SELECT avg(v) FROM x1)) - (SELECT avg(v) FROM x1) AS x FROM x1), y0 AS (SELECT i, coalesce(v, (SELECT avg(v) FROM y1)) - (SELECT avg(v) FROM y1) AS x FROM y1) SELECT (SELECT sum(x * x) FROM x0) AS px, (SELECT sum(x * x) FROM y0) AS py, l AS lag").replace(", (SELECT sum(x * x) AS px FROM x0), (SELECT sum(x * x) AS py FROM y0)", ""),
         "a",
