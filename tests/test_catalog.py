@@ -72,6 +72,31 @@ def test_audit_of_a_file(spark, folder):
         catalog.audit(spark, str(folder), roots=["/nowhere"])
 
 
+def test_delivery_settings(spark, tmp_path):
+    rows = recordings.synthetic({"/imu": 50.0, "/odom": 30.0, "/scan": 10.0}, 30.0, 5)
+    text = "- history: keep_last\n  depth: 3\n  reliability: {}\n  durability: volatile\n  deadline: {{sec: {}, nsec: 0}}\n"
+    (tmp_path / "q.mcap").write_bytes(recordings.write_mcap(rows, 100, True, qos={"/imu": text.format("best_effort", 0), "/odom": text.format("reliable", 5)}))
+    found = catalog.audit(spark, str(tmp_path / "q.mcap"))
+    got = {r.topic: r.issues for r in catalog.qos_report(spark, str(tmp_path / "q.mcap"), found).collect()}
+    assert got == {"/imu": ["best_effort", "shallow_queue"], "/odom": ["shallow_queue", "deadline_mismatch"], "/scan": ["no_settings"]}
+
+
+def test_tables_trimming_and_command_line(spark, folder, capsys):
+    from tidemark.__main__ import main
+    from tidemark.sources import sinks
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS fleet_test")
+    sinks.create_catalog(spark, "fleet_test")
+    sinks.create_catalog(spark, "fleet_test")
+    assert {t.name for t in spark.catalog.listTables("fleet_test")} >= set(sinks.CATALOG)
+    spark.sql("DROP DATABASE fleet_test CASCADE")
+    a = recordings.timed(recordings.read_arrivals(spark, str(folder / "r1" / "clean.mcap")))
+    some = sinks.trimmed(a, 10.0, 20.0, ["/odom"])
+    assert some.agg({"t": "min"}).first()[0] >= 10 and some.select("topic").distinct().count() == 1 and 190 < some.count() < 210
+    assert main(["gate", str(folder / "r1")]) == 1
+    assert '"accept"' in capsys.readouterr().out
+
+
 def test_gate_of_a_folder(spark, folder, tmp_path):
     out = catalog.gate_folder(spark, str(folder), Policy(topics=("/scan",)), str(tmp_path / "m.json"))
     assert out == json.loads((tmp_path / "m.json").read_text())

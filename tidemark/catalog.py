@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from tidemark.config import ROBOT, Config
 from tidemark.functions.results import report
-from tidemark.operators import clock, fleet, gate, logs
+from tidemark.operators import clock, fleet, gate, logs, qos
 from tidemark.operators.findings import caveats, findings, related
 from tidemark.plans.detect import audited
 from tidemark.sources import recordings
-from tidemark.sources.datasource import resolved
+from tidemark.sources.datasource import register, resolved
 from tidemark.sources.sinks import CATALOG, cache_signals, read_signal, replace_missions  # noqa: F401  read_signal is part of the catalog
 from tidemark.sources.tables import kept
 
@@ -164,6 +164,26 @@ def explained(found: dict[str, DataFrame], detector: str) -> DataFrame:
     return related(all_.where(F.col("detector") == detector), all_).withColumn("next_step", F.lit(NEXT_STEPS[detector]))
 
 
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """(mission_id, topic, reliability, history, depth, durability, deadline_s) of topics; nulls where a file has none."""
+    register(spark)
+    topics = spark.read.format("recording").options(path=path, what="topics").load().where("error is null").select("mission_id", "topic", "qos")
+
+    def run(batches):
+        for b in batches:
+            found = [qos.parsed(x) for x in b.qos]
+            yield b[["mission_id", "topic"]].assign(**{k: [f[k] for f in found] for k in ("reliability", "history", "depth", "durability", "deadline_s")})
+
+    return topics.mapInPandas(run, "mission_id string, topic string, reliability string, history string, depth int, durability string, deadline_s double")
+
+
+def qos_report(spark: SparkSession, path: str, found: dict[str, DataFrame]) -> DataFrame:
+    """(mission_id, topic, issues): what speaks against each topic's delivery settings at its rate; no_settings without any."""
+    health = found["topics"].select("mission_id", "topic", F.coalesce("expected_hz", "observed_hz").alias("hz"), (F.col("dropped") / (F.col("n") + F.col("dropped"))).alias("drop_rate"))
+    rows = qos.checked(settings(spark, path).join(health, ["mission_id", "topic"], "left"))
+    return rows.select("mission_id", "topic", F.when(F.col("reliability").isNull() & F.col("history").isNull(), F.array(F.lit("no_settings"))).otherwise(F.col("issues")).alias("issues"))
+
+
 def decided(found: dict[str, DataFrame], policy: gate.Policy) -> DataFrame:
     """Each recording of an audit with the reasons against it as training data and the decision."""
     topics = found["topics"].groupBy("mission_id").agg(F.array_sort(F.collect_set("topic")).alias("topics"), F.max("longest_gap_s").alias("longest_gap_s"), (F.sum("dropped") / F.sum(F.col("n") + F.col("dropped"))).alias("loss"))

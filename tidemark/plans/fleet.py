@@ -245,6 +245,13 @@ def stalls_joined(spark: SparkSession, d: str) -> DataFrame:
     return overlapping(a, s, ["mission_id"], 3600.0, strict=False).groupBy(*KEYS).agg(F.countDistinct("seq").alias("n"))
 
 
+def finding_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Names of events by hash of what they are, in three ways, and as a page token would carry them."""
+    e = table(spark, d, "events")
+    what = F.concat_ws("|", "event_type", F.col("user_id").cast("string"), F.col("event_id").cast("string"))
+    return e.select("event_id", F.md5(what.cast("binary")).alias("md5"), F.sha1(what.cast("binary")).alias("sha1"), F.substring(F.sha2(what.cast("binary"), 256), 1, 24).alias("short"), F.base64(what.cast("binary")).alias("token"))
+
+
 def nation_orders(spark: SparkSession, d: str) -> DataFrame:
     """A star join: customers, nations and regions."""
     c, n, g = table(spark, d, "customer"), table(spark, d, "nation"), table(spark, d, "region")
@@ -253,7 +260,7 @@ def nation_orders(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("r_name", "n_name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orders"), F.round(F.coalesce(F.sum("v"), F.lit(0.0)), 2).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (fleet_summary, group_counts, missions_filtered_page, mission_search, cohort_compare, cohort_before_after, rank_metric, regression_scan, mission_similarity, signal_diff, topic_set_diff, unindexed_antijoin, latest_tag_upsert, replace_rows, signal_stats, preflight, unit_fingerprint, precedents, precedents_summary, rank_missions, alignment_modes, find_similar, false_alarms_per_clean, gate_decisions, gate_summary, gate_rejections, quality_gate, detector_precision_recall, qos_rules, vector_topk_cosine, dtw_rank, stalls_joined, nation_orders)}
+QUERIES = {f.__name__: f for f in (fleet_summary, group_counts, missions_filtered_page, mission_search, cohort_compare, cohort_before_after, rank_metric, regression_scan, mission_similarity, signal_diff, topic_set_diff, unindexed_antijoin, latest_tag_upsert, replace_rows, signal_stats, preflight, unit_fingerprint, precedents, precedents_summary, rank_missions, alignment_modes, find_similar, false_alarms_per_clean, gate_decisions, gate_summary, gate_rejections, quality_gate, detector_precision_recall, qos_rules, vector_topk_cosine, dtw_rank, stalls_joined, finding_ids, nation_orders)}
 
 STEPS |= {
     "mi": "SELECT o_orderkey AS id, o_custkey AS unit, o_orderstatus AS verdict, o_totalprice AS value, o_orderdate AS day, o_orderpriority AS tag FROM orders",
@@ -319,5 +326,6 @@ SQL = {
     "qos_rules": chain("SELECT user_id, topic, concat_ws(',', CASE WHEN user_id % 2 = 0 THEN CASE WHEN (user_id % 7) / 100.0 > 0.02 THEN 'best_effort:high' ELSE 'best_effort' END END, CASE WHEN user_id % 11 BETWEEN 1 AND 5 AND hz >= 1.2 THEN 'shallow_queue' END, CASE WHEN user_id % 5 = 0 AND (1.0 * hz < 1.0 / 3 OR 1.0 * hz > 3) THEN 'deadline_mismatch' END, CASE WHEN user_id % 3 = 0 AND hz >= 1.2 THEN 'transient_local_stream' END) AS issues FROM (SELECT user_id, topic, count(*) / 10.0::DOUBLE AS hz FROM a GROUP BY ALL)", "a"),
     "vector_topk_cosine": "SELECT e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], g.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(g.embedding::DOUBLE[], g.embedding::DOUBLE[])), 5) AS cosine FROM embeddings e JOIN embeddings g ON g.vec_id = 0 WHERE e.vec_id <> 0 ORDER BY cosine DESC, e.vec_id LIMIT 10",
     "stalls_joined": chain("SELECT a.mission_id, a.topic, count(DISTINCT seq) AS n FROM a JOIN stalls s ON s.mission_id = a.mission_id AND a.t BETWEEN s.t_start AND s.t_end GROUP BY ALL", "stalls"),
+    "finding_ids": "SELECT event_id, md5(w) AS md5, sha1(w) AS sha1, substr(sha256(w), 1, 24) AS short, to_base64(encode(w)) AS token FROM (SELECT event_id, concat_ws('|', event_type, user_id, event_id) AS w FROM events)",
     "nation_orders": "SELECT r_name, n_name, coalesce(sum(n), 0)::BIGINT AS orders, round(coalesce(sum(v), 0), 2) AS value FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS v FROM orders GROUP BY ALL) ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
 }

@@ -91,18 +91,20 @@ def unpacked_chunk(r: bytes) -> bytes:
     return _unpacked(r[at + 8 : at + 8 + n], kind, size)
 
 
-def write_mcap(rows: list[Arrival], chunk: int = 0, indexed: bool = False, schemas: dict[str, tuple[str, str]] | None = None, payloads: list[bytes] | None = None) -> bytes:
+def write_mcap(rows: list[Arrival], chunk: int = 0, indexed: bool = False, schemas: dict[str, tuple[str, str]] | None = None, payloads: list[bytes] | None = None, qos: dict[str, str] | None = None) -> bytes:
     """An MCAP file of empty payloads of the given sizes, or of payloads; chunks of so many messages, zstd, or none.
 
-    schemas are (name, text) by topic. indexed adds the summary: schemas, channels, chunk index and statistics.
+    schemas are (name, text) by topic, qos the text of delivery settings. indexed adds the summary: schemas, channels, chunk index and statistics.
     """
     text = lambda s: struct.pack("<I", len(s.encode())) + s.encode()
     record = lambda op, r: struct.pack("<BQ", op, len(r)) + r
     pairs = lambda kind, d: struct.pack("<I", len(d) * struct.calcsize("<" + kind)) + b"".join(struct.pack("<" + kind, *x) for x in d.items())
+    settings = lambda t: text("offered_qos_profiles") + text(qos[t]) if qos and t in qos else b""
+    strings = lambda t: struct.pack("<I", len(settings(t))) + settings(t)
     ids = {t: i + 1 for i, t in enumerate(dict.fromkeys(r[0] for r in rows))}
     of = {t: i + 1 for i, t in enumerate(schemas or {})}
     known = [record(0x03, struct.pack("<H", of[t]) + text(name) + text("ros2msg") + text(body)) for t, (name, body) in (schemas or {}).items()]
-    known += [record(0x04, struct.pack("<HH", i, of.get(t, 0)) + text(t) + text("cdr" if t in of else "") + struct.pack("<I", 0)) for t, i in ids.items()]
+    known += [record(0x04, struct.pack("<HH", i, of.get(t, 0)) + text(t) + text("cdr" if t in of else "") + strings(t)) for t, i in ids.items()]
     out = [MAGIC, record(0x01, text("") + text("tidemark")), *known]
     body = payloads or [bytes(r[3]) for r in rows]
     messages = [record(0x05, struct.pack("<HIQQ", ids[t], k, log, pub) + x) for k, ((t, log, pub, _), x) in enumerate(zip(rows, body, strict=True))]
