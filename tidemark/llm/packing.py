@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import parts, stored
+from tidemark.llm.shared import parts, slices, stored
 
 CAPACITY, SEPARATOR = 2048, 0
-#: Pieces that share a salt.
-SALT_ROWS = 50_000
+#: Pieces that share a salt, and bytes of text that are encoded at once.
+SALT_ROWS, TOGETHER = 50_000, 2_000_000
 
 
 @cache
@@ -84,14 +84,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
 
     def run(batches):
         encode = encoder(tokenizer)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                rows: list[tuple] = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.array([*encode(text or ""), separator], "<u4")
-                    rows += [(doc, i, s, n, ids[s : s + n].tobytes()) for i, (s, n) in enumerate(cuts(len(ids), capacity))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        for part in slices(batches, TOGETHER):
+            rows: list[tuple] = []
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                ids = np.array([*encode(text or ""), separator], "<u4")
+                rows += [(doc, i, s, n, ids[s : s + n].tobytes()) for i, (s, n) in enumerate(cuts(len(ids), capacity))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 

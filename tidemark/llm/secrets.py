@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import trim
+
 #: Findings the forest is trained on at most, trees, depth, and features that a split looks at.
 SAMPLE, TREES, DEPTH, TRIED = 6000, 40, 9, 6
 NEAR = 48
@@ -183,6 +185,7 @@ def scan(docs: DataFrame, forest: Forest, path: str | None = None, least: float
     redacted is the text with secrets replaced. path names a column that holds where a text is from."""
 
     def run(batches):
+        trim()
         for b in batches:
             found, clean = [], []
             for t, w in zip(b.column(1), b.column(2), strict=True):
@@ -206,6 +209,7 @@ def redact(docs: DataFrame, forest: Forest, text: str = "text", least: float = 0
     """docs, all columns and rows, with secrets in the text column replaced; a length column n_chars follows."""
 
     def run(batches):
+        trim()
         for b in batches:
             clean = []
             for t in b.column(text):

@@ -58,9 +58,10 @@ def measured(docs: DataFrame, tokens=None) -> DataFrame:
 def assign(slim: DataFrame, shards: int) -> DataFrame:
     """slim(doc_id, size, tokens, digest, ...) with shard int and slot long.
 
-    Rows with equal digests form a group and stay in one shard, unless its share is so large (WHOLE) that shards of near equal bytes need it split; portions are fixed by doc_id. Units of a noticeable share (at most
-    3 / FIRST of them) are placed in one task; all others are dealt to tasks by hash, and each task fills an equal
-    part of what is left of every shard. Slots count from 0 in each shard without gaps.
+    Rows with equal digests form a group and stay in one shard, unless its share is so large (WHOLE) that shards of near
+    equal bytes need it split; portions are fixed by doc_id. Units of a noticeable share (at most 3 / FIRST of them) are
+    placed in one task; all others are dealt to tasks by hash, and each task fills an equal part of what is left of every
+    shard. Slots count from 0 in each shard without gaps.
     An empty table gives an empty result; repeated rows count one by one and take slots of their own.
     """
     total = slim.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first()

@@ -28,7 +28,7 @@ BITS, CHAIN, CACHE, WIDTH = 20, 64, 150_000, 10
 #: Bytes of text that are scored at once.
 TOGETHER = 1_000_000
 #: Texts that training works on at once.
-SECTION = 250
+SECTION = 1000
 TOKEN = re.compile(r"\w+|[.!?\n]+")
 
 
@@ -180,32 +180,35 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Model:
     mark = strong[np.delete(rows, 1, axis=1)].any(1)
     tags = [(mark[c.words] & y[a + c.doc]).astype(float) for a, c in sections]
     # maximum likelihood by Adam; gradients gather on distinct words first, some texts at a time
-    key = rows[:, 0]
-    state: list[list] = [[np.zeros(1 << BITS), 0, 0], [np.zeros((2, 1 << BITS)), 0, 0], [np.zeros(5), 0, 0]]
+    del counts, good, bad, odds
+    used, rows_at = np.unique(np.append(rows, 0), return_inverse=True)  # only features that occur have weights
+    at, m = rows_at[:-1].reshape(rows.shape), len(used)
+    key = at[:, 0]
+    state: list[list] = [[np.zeros(m), 0, 0], [np.zeros((2, m)), 0, 0], [np.zeros(5), 0, 0]]
     seen_moves = np.zeros((2, 2))
     for (_, c), tag in zip(sections, tags, strict=True):
         inner, y1, y0 = ~c.first[1:], tag[1:], tag[:-1]
         seen_moves += np.array([[((1 - y0) * (1 - y1))[inner].sum(), ((1 - y0) * y1)[inner].sum()], [(y0 * (1 - y1))[inner].sum(), (y0 * y1)[inner].sum()]])
     for k in range(1, rounds + 1):
         near, rest = state[1][0], state[2][0]
-        own, left, right = state[0][0][rows].sum(1), near[0][key], near[1][key]
+        own, left, right = state[0][0][at].sum(1), near[0][key], near[1][key]
         by_word, prev, nxt, moved, first = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows)), np.zeros((2, 2)), 0.0
         for (_, c), tag in zip(sections, tags, strict=True):
-            p, m = marginals(c, unary(c, own, left, right), rest[:4].reshape(2, 2), rest[4], pairs=True)
+            p, pairs = marginals(c, unary(c, own, left, right), rest[:4].reshape(2, 2), rest[4], pairs=True)
             d, before_ok, after_ok = p - tag, ~c.first[1:], ~c.last[:-1]
             by_word += np.bincount(c.words, d, len(rows))
             prev += np.bincount(c.words[:-1][before_ok], d[1:][before_ok], len(rows))
             nxt += np.bincount(c.words[1:][after_ok], d[:-1][after_ok], len(rows))
-            moved, first = moved + m, first + d[c.first].sum()
-        grads = [np.bincount(rows.ravel(), np.repeat(by_word, rows.shape[1]), 1 << BITS), np.stack([np.bincount(key, prev, 1 << BITS), np.bincount(key, nxt, 1 << BITS)]), np.concatenate([(moved - seen_moves).ravel(), [first]])]
+            moved, first = moved + pairs, first + d[c.first].sum()
+        grads = [np.bincount(at.ravel(), np.repeat(by_word, at.shape[1]), m), np.stack([np.bincount(key, prev, m), np.bincount(key, nxt, m)]), np.concatenate([(moved - seen_moves).ravel(), [first]])]
         for s, g in zip(state, grads, strict=True):
             g = g + 0.5 * s[0]
             s[1], s[2] = 0.9 * s[1] + 0.1 * g, 0.99 * s[2] + 0.01 * g * g
             s[0] = s[0] - 0.15 * (s[1] / (1 - 0.9**k)) / (np.sqrt(s[2] / (1 - 0.99**k)) + 1e-8)
         state[0][0][0] = 0
-    model.own, model.near = state[0][0].astype(np.float32), state[1][0].astype(np.float32)
+    model.own[used], model.near[:, used] = state[0][0], state[1][0]
     model.moves, model.start = state[2][0][:4].reshape(2, 2), float(state[2][0][4])
-    own, left, right = model.own[rows].sum(1), model.near[0][key], model.near[1][key]
+    own, left, right = state[0][0][at].sum(1), state[1][0][0][key], state[1][0][1][key]
     x = np.concatenate([sums(marginals(c, unary(c, own, left, right), model.moves, model.start)[0], c.doc, min(SECTION, n - a)) for a, c in sections])
     w = np.zeros(3)
     for _ in range(30):  # Newton's steps
