@@ -9,7 +9,7 @@ from tidemark.config import EVENTS as C
 from tidemark.operators import frames
 from tidemark.plans.detect import K, chain
 from tidemark.sources import recordings
-from tidemark.sources.events import KEYS, arrivals, table
+from tidemark.sources.events import KEYS, ROOT, arrivals, table
 from tidemark.sources.tables import fresh_folder
 from tidemark.streaming import monitor
 
@@ -45,6 +45,8 @@ def recording_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Generated recordings in three formats, parsed on the executors: messages, topics and time by format."""
     import pyarrow as pa
 
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+
     def run(batches):
         for b in batches:
             for k in b.column(0).to_pylist():
