@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def dispersion(stalls: DataFrame, ends: DataFrame, window: float = 30.0) -> DataFrame:
-    """(mission_id, n, index, pattern) from stalls per window: population variance over mean, empty windows included."""
+    """(mission_id, n, index, pattern) from stalls per window: population variance over mean, empty windows included; NaN without stalls."""
     grid = ends.select("mission_id", "t_end", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("t_end") / window))).alias("w"))
     counts = stalls.groupBy("mission_id", F.floor(F.col("t_start") / window).alias("w")).agg(F.count("*").alias("c"))
-    out = grid.join(counts, ["mission_id", "w"], "left").groupBy("mission_id").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), (F.var_pop(F.coalesce("c", F.lit(0))) / F.avg(F.coalesce("c", F.lit(0)))).alias("index"), F.max("t_end").alias("e"))
+    c = F.coalesce("c", F.lit(0))
+    index = F.when(F.sum("c") > 0, F.var_pop(c) / F.avg(c)).otherwise(float("nan"))
+    out = grid.join(counts, ["mission_id", "w"], "left").groupBy("mission_id").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), index.alias("index"), F.max("t_end").alias("e"))
     pattern = F.when((F.col("n") < 4) | (F.col("e") <= window), "unknown").when(F.col("index") > 2, "clustered").when(F.col("index") < 0.5, "periodic").otherwise("random")
     return out.select("mission_id", "n", "index", pattern.alias("pattern"))
 
