@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import fleet, gate, qos, series
@@ -177,11 +177,20 @@ def false_alarms_per_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _episodes(spark, d):
-    """A unit's events as an episode."""
-    a = arrivals(spark, d)
-    e = a.groupBy("user_id").agg((F.max("t") - F.min("t")).alias("t_end"), F.avg("v").alias("score"), F.array_sort(F.collect_set("topic")).alias("topics"), F.sum(F.when(F.col("topic") == "error", 1.0).otherwise(0.0)).alias("errors"), F.count("*").alias("n"))
+    """A unit's events as an episode.
+
+    A score is the plain sum of values in order of seq over their number, so no layout of rows changes a bit of it.
+    Verdicts go by the sum in decimals, so a mean that is the bound is not below it by rounding; where values do not
+    fit decimals, by the score.
+    """
+    w = Window.partitionBy("user_id").orderBy("seq", "us", "v")
+    a = arrivals(spark, d).withColumn("_i", F.row_number().over(w)).withColumn("_sum", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    score = F.try_divide(F.max_by("_sum", "_i"), F.count("v"))
+    exact = F.expr("try_cast(v AS DECIMAL(38, 18))")
+    mean = F.when(F.count(exact) == F.count("v"), F.try_divide(F.try_sum(exact).cast("double"), F.count("v")))
+    e = a.groupBy("user_id").agg((F.max("t") - F.min("t")).alias("t_end"), score.alias("score"), F.coalesce(mean, score).alias("mean"), F.array_sort(F.collect_set("topic")).alias("topics"), F.sum(F.when(F.col("topic") == "error", 1.0).otherwise(0.0)).alias("errors"), F.count("*").alias("n"))
     loss = F.col("errors") / F.col("n")
-    verdict = F.when(F.col("n") < 50, "unassessable").when(F.col("score") >= 50, "healthy").when(F.col("score") >= 45, "degraded").otherwise("compromised")
+    verdict = F.when(F.col("n") < 50, "unassessable").when(F.col("mean") >= 50, "healthy").when(F.col("mean") >= 45, "degraded").otherwise("compromised")
     e = e.select("user_id", "t_end", "score", "topics", loss.alias("loss"), verdict.alias("verdict"), (F.col("errors") * 3600.0).alias("stalled_s"), F.lit(0.05).alias("lag_s"), F.lit(0.0).alias("longest_gap_s"), F.lit(0).alias("backward"), (F.col("user_id") % 50 == 0).alias("truncated"), F.lit(0.0).alias("corrupt_share"))
     return gate.decided(e, gate.Policy(loss=0.22, stall=0.03, topics=("signup",)))
 
