@@ -41,3 +41,13 @@ def test_verdicts_at_a_bound(spark, layouts):
     for d in layouts:
         got = {r.user_id: r.verdict for r in fleet.gate_decisions(spark, d).where("user_id < 40").collect()}
         assert got == {u: "degraded" if u % 2 else "healthy" for u in range(40)}
+
+
+def test_rejections_at_a_bound(spark, layouts):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS FROM '{layouts[0]}/events.parquet/*.parquet'")
+    cents = "SELECT user_id, sum(round(value * 100)::BIGINT) AS s, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY ALL"
+    want = dict(zip(("compromised", "message_loss"), con.sql(f"SELECT count(*) FILTER (s < 4500 * n), count(*) FILTER (100 * errors > 22 * n) FROM ({cents})").fetchall()[0], strict=True))
+    for d in layouts:
+        got = {r.code: r.n for r in fleet.gate_rejections(spark, d).collect()}
+        assert {k: got[k] for k in want} == want
