@@ -51,3 +51,12 @@ def test_rejections_at_a_bound(spark, layouts):
     for d in layouts:
         got = {r.code: r.n for r in fleet.gate_rejections(spark, d).collect()}
         assert {k: got[k] for k in want} == want
+
+
+def test_scores_do_not_depend_on_layout(spark, layouts):
+    con = duckdb.connect(config={"threads": 1})  # so that it sums in order of rows
+    con.sql(f"CREATE VIEW events AS FROM '{layouts[0]}/events.parquet/*.parquet'")
+    sql = f"SELECT user_id, score, before, passed FROM ({fleet.SQL['quality_gate']}) WHERE user_id >= 40 ORDER BY user_id"  # no verdicts at a bound
+    want = con.sql(sql).fetchall()
+    for d in layouts:
+        assert [tuple(r) for r in fleet.quality_gate(spark, d).where("user_id >= 40").orderBy("user_id").collect()] == want
