@@ -13,6 +13,7 @@ result; other columns are ignored. A literal U+2581 in a text decodes to a space
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 from functools import cache
@@ -48,7 +49,7 @@ class StreamingViterbi:
     def _reach(self, end: int) -> None:
         """Lets pieces begin at all boundaries before end (counted from base)."""
         m, text, n = self.model, self.text, len(self.text)
-        best, back, idx, trie, merges, pairs, none = self.best, self.back, self.id, m.trie, m.merges, m.pairs, NONE
+        best, back, idx, trie, merges, pairs, shift, none = self.best, self.back, self.id, m.trie, m.merges, m.pairs, m.shift, NONE
         if len(best) <= n:
             more = n + 1 - len(best)
             best += [none] * more
@@ -66,7 +67,7 @@ class StreamingViterbi:
                         single = True
                     if merges:
                         if best[j] < 0:
-                            ok = last < 0 or pairs.get(last << 32 | piece)
+                            ok = last < 0 or pairs.get(last << shift | piece)
                             if ok is None:
                                 ok = m.follows(last, piece)
                             if ok:
@@ -138,6 +139,7 @@ class Model:
         n = sp.get_piece_size()
         self.merges = model_type(path) == 2
         self.pairs: dict[int, bool] = {}
+        self.shift = n.bit_length()
         self.surface = [sp.id_to_piece(i) for i in range(n)]
         self.pieces: dict[str, tuple[float, int] | None] = {}
         self.bytes: dict[int, int] = {}
@@ -175,11 +177,11 @@ class Model:
         """Whether a piece of a BPE model may stand after another."""
         if left < 0 or right < 0:
             return True
-        ok = self.pairs.get(left << 32 | right)
+        ok = self.pairs.get(left << self.shift | right)
         if ok is None:
             if len(self.pairs) >= 3 * CACHE:
                 self.pairs.clear()
-            ok = self.pairs[left << 32 | right] = self.merged(self.surface[left] + self.surface[right]) == [self.surface[left], self.surface[right]]
+            ok = self.pairs[left << self.shift | right] = self.merged(self.surface[left] + self.surface[right]) == [self.surface[left], self.surface[right]]
         return ok
 
     def merged(self, text: str) -> list[str]:
@@ -248,7 +250,9 @@ class Model:
 
 @cache
 def model(path: str) -> Model:
-    return Model(path)
+    m = Model(path)
+    gc.freeze()  # the collector would go through the whole trie again and again
+    return m
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
