@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import bucketed, parts, release, stored, trim
+from tidemark.llm.shared import bucketed, parts, release, stored, trim, uncollected
 from tidemark.llm.suffixes import shares_prefix, suffix_array
 
 LENGTH, GRAM = 50, 16
@@ -280,13 +280,13 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append((doc, len(text), int(m.sum()), int(m[0]) + int((m[1:] & ~m[:-1]).sum()), np.frombuffer(text, np.uint8)[~m].tobytes()))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    asked = work.groupBy("batch").cogroup(beside().groupBy("batch")).applyInPandas(ask, "to int, batch long, data binary").repartitionById(hash_groups, F.col("to"))
+    asked = work.groupBy("batch").cogroup(beside().groupBy("batch")).applyInPandas(lambda part, side: uncollected(ask, part, side), "to int, batch long, data binary").repartitionById(hash_groups, F.col("to"))
     answers = stored(asked.groupBy("to").applyInPandas(answer, "batch long, data binary"))
     release(spark)
-    sent = work.groupBy("batch").cogroup(beside(answers).groupBy("batch")).applyInPandas(send, "to int, batch long, cover boolean, data binary").repartitionById(groups, F.col("to"))
-    covers = stored(sent.groupBy("to").applyInPandas(sort, "batch long, data binary"))
+    sent = work.groupBy("batch").cogroup(beside(answers).groupBy("batch")).applyInPandas(lambda part, side: uncollected(send, part, side), "to int, batch long, cover boolean, data binary").repartitionById(groups, F.col("to"))
+    covers = stored(sent.groupBy("to").applyInPandas(lambda part: uncollected(sort, part), "batch long, data binary"))
     release(spark)
-    out = work.groupBy("batch").cogroup(beside(covers).groupBy("batch")).applyInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = work.groupBy("batch").cogroup(beside(covers).groupBy("batch")).applyInPandas(lambda part, side: uncollected(cut, part, side), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     n = F.octet_length("text").cast("long")
     zero = F.lit(0).cast("long")
     short = rows.where((F.octet_length("text") < length) | F.col("doc_id").isNull()).select("doc_id", n.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").alias("kept"))

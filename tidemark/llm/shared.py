@@ -32,6 +32,15 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def uncollected(f: Callable, *args):
+    """f(*args) without the collector, which would go through all its lists and tuples again and again; f makes no cycles of them."""
+    gc.disable()
+    try:
+        return f(*args)
+    finally:
+        gc.enable()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for key, value in WORKERS.items():
         spark.sparkContext.environment.setdefault(key, value)
