@@ -156,6 +156,22 @@ def test_keys_of_many_fingerprints(monkeypatch):
         assert got[0] == got[1] == want.tolist() and 5 < len(set(want.tolist())) < len(fp) / 2
 
 
+def test_links_of_many_groups(spark, monkeypatch):
+    """Groups of entries go to their partitions in small rows, unsorted, and together find all links."""
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    fp = np.unique(np.r_[fp, fp[:200] ^ np.uint64(1 << 40 | 1 << 3), fp[:100] ^ np.uint64(1 << 63 | 1 << 40 | 1 << 3 | 1)])
+    nodes = spark.createDataFrame([(int(f), k) for k, f in enumerate(fp.view(np.int64))], "fp long, node long").repartition(3)
+    monkeypatch.setattr(simhash, "ENTRIES", 4000)
+    found = simhash.links(nodes, len(fp))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "FlatMapGroups" not in plan
+    assert found.rdd.getNumPartitions() == -(-64 * len(fp) // 4000) > 1
+    got = {r.node: r.component for r in components(found, forests=True).collect()}
+    want = linked(list(enumerate(fp.tolist())), lambda a, b: (a ^ b).bit_count() <= 3)
+    assert {k: got.get(k, k) for k in want} == want and 150 < len(got) < len(fp)
+
+
 def test_similar(docs):
     def shingles(t):
         w = t.encode().lower().split()

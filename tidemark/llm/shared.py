@@ -157,15 +157,18 @@ def _local(batches):
         yield pd.DataFrame({"a": a, "b": b})
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, forests: bool = False) -> DataFrame:
     """(node, component) for every node of links(a long, b long); component is the smallest node reachable.
 
+    Links are made a forest in each partition first, unless forests says that they are.
+
     Rounds of contraction: every node takes the smallest of its neighbours' neighbours as its label, links move to
     the labels, loops and repeats go. Each round is joins and partially aggregated sums, so that a node with very
     many links is spread by adaptive skew joins; the lineage is cut by a stored table per round. No links: no rows.
     """
     spark = links.sparkSession
-    links = stored(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInPandas(_local, "a long, b long"))
+    links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
+    links = stored(links if forests else links.mapInPandas(_local, "a long, b long"))
     steps: list[DataFrame] = []
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))

@@ -10,17 +10,20 @@ one doc_id stay as they are; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import components, forest, parts, stored
+from tidemark.llm.shared import components, forest, parts, slices, stored, trim
 
 SEED = 42
 #: Variant entries (24 bytes each) that one group of the index holds.
 ENTRIES = 1_000_000
+#: Bytes of a row of entries, about: above half a megabyte the JVM gives each row regions of its heap of its own.
+ROW = 1 << 18
+#: Bytes of texts at a time.
+CHUNK = 4_000_000
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -47,7 +50,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp long): fp is the fingerprint's two's complement."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, CHUNK):
             fp = np.array([fingerprint(x.as_py(), words) for x in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
@@ -118,16 +121,19 @@ def linked(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int) -> tup
 
 
 def links(nodes: DataFrame, n: int, bits: int = 3) -> DataFrame:
-    """(a, b): a forest of links between the distinct fingerprints nodes(fp long, node long)."""
+    """(a, b): links between the distinct fingerprints nodes(fp long, node long); those of a partition are a forest.
+
+    Entries go to their group's partition as they are, neither sorted nor gathered there by the JVM.
+    """
     groups = parts(64 * n, ENTRIES)
+    some = min(20_000, max(1, ROW * groups // (64 * 24)))
 
     def emit(batches):
+        trim()
         for b in batches:
-            if not len(b):
-                continue
-            fp, node = b.fp.to_numpy().view(np.uint64), b.node.to_numpy()
-            for at in range(0, len(fp), 20_000):
-                f, k = fp[at : at + 20_000], node[at : at + 20_000]
+            all_, nodes_ = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64)
+            for at in range(0, len(all_), some):
+                f, k = all_[at : at + some], nodes_[at : at + some]
                 keys = variants(f).ravel()
                 f, k = np.repeat(f, 64), np.repeat(k, 64)
                 mixed = keys * np.uint64(0x9E3779B97F4A7C15)
@@ -135,20 +141,28 @@ def links(nodes: DataFrame, n: int, bits: int = 3) -> DataFrame:
                 order = np.argsort(to, kind="stable")
                 ids, first = np.unique(to[order], return_index=True)
                 cut = [*first.tolist(), len(order)]
-                yield pd.DataFrame({"to": ids, "rows": [np.stack([keys[o], f[o], k[o].view(np.uint64)]).tobytes() for o in (order[s:e] for s, e in zip(cut, cut[1:], strict=False))]})
+                rows = [np.stack([keys[o], f[o], k[o]]).tobytes() for o in (order[s:e] for s, e in zip(cut, cut[1:], strict=False))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(rows, pa.binary())], names=["to", "rows"])
+        trim()
 
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        all_ = np.concatenate([np.frombuffer(x, np.uint64).reshape(3, -1) for x in part.rows], 1)
-        a, b = linked(all_[0], all_[1], all_[2].view(np.int64), bits)
-        return pd.DataFrame({"a": a, "b": b})
+    def meet(batches):
+        trim()
+        held = [np.frombuffer(x.as_buffer(), np.uint64).reshape(3, -1) for b in batches for x in b.column(1)]
+        if held:
+            all_ = np.concatenate(held, 1)
+            held.clear()
+            a, b = linked(all_[0], all_[1], all_[2].view(np.int64), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            del all_, a, b
+        trim()
 
-    return nodes.mapInPandas(emit, "to int, rows binary").repartitionById(groups, F.col("to")).groupBy("to").applyInPandas(meet, "a long, b long")
+    return nodes.select("fp", "node").mapInArrow(emit, "to int, rows binary").repartitionById(groups, F.col("to")).mapInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for docs(doc_id, text); component_id is the smallest doc_id reachable by links."""
     prints = stored(fingerprints(docs, words))
     nodes = stored(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    joined = components(links(nodes, nodes.count(), bits))
+    joined = components(links(nodes, nodes.count(), bits), forests=True)
     named = stored(nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
